@@ -1,24 +1,121 @@
-"""Queries of the training-data operators, each over its whole table."""
+"""Queries of the training-data operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(doc_id: str, folds: int) -> Column:
+    """crc32 of an id's text modulo the number of folds."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, and all spans."""
+    from .pii import KINDS, identifiers
+
+    found = identifiers(_table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank[s["kind"]].alias("rank"), s["end"], s["kind"])))
+        return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(spans: str, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": count("base", k) for k in KINDS}
+    extra = {f"n_{k}_added": count("added", k) for k in KINDS}
+    return found.select(
+        "doc_id", *[v.alias(k) for k, v in counts.items()], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), *[v.alias(k) for k, v in extra.items()]
+    )
+
+
+def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the multi-line chunks that stand elsewhere before."""
+    from .line_chunks import drop_repeated_chunks
+
+    return drop_repeated_chunks(_table(spark, sf_dir, "documents"))
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    from .mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates in every document."""
+    from .licenses import license_matches
+
+    found = license_matches(_table(spark, sf_dir, "documents"))
+    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template_id"])))
+    spans = F.transform("matches", lambda m: F.concat(m["template_id"], F.lit(":"), m["start"].cast("string"), F.lit(":"), m["end"].cast("string")))
+    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(ids, ",").alias("templates"), F.array_join(spans, ",").alias("spans"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    from .decontam import decontaminate
+
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
     from .near_dup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram and unigram log-probabilities of every document, learned from six of seven folds."""
+    from .lm import fit, scores
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _fold("doc_id", 7) == 2
+    model = fit(docs.where(~held_out))
+    return scores(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as media, and what its stored bytes say."""
+    from .media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four of five folds."""
+    from .langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _fold("doc_id", 5) == 0
+    filters = fit(docs.where(~held_out))
+    return identify(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token sequence of the documents at its slot of the training order."""
+    from .token_shards import materialise
+
+    return materialise(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_near_dup": op6_near_dup,
+    f.__name__: f
+    for f in (op1_pii, op2_line_chunks, op3_mix, op4_licenses, op5_decontaminate, op6_near_dup, op7_lm_score, op8_media, op9_language, op10_token_shards)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,29 +1,73 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Every stage takes what its predecessor kept, whole, and is written as Parquet
+before the next one reads it.  All but the last return the columns of
+``documents``; the last writes token shards and returns their index.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from barlake.llm import decontam, langid, mixing, near_dup, token_shards
 from barlake.llm.shared import stored
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text of which less than this share of n-grams belongs to any language is rejected.
+LEAST_LANGUAGE = 0.3
+#: Ids up to this count (8 bytes each) are sent to all executors; beyond it they are shuffled.
+BROADCAST_IDS = 4_000_000
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among ``ids``."""
+    ids = stored(ids.select("doc_id").distinct(), name)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters or in no known language go."""
+    found = langid.identify(docs, langid.fit(docs))
+    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE)), "no-language")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    from barlake.llm.near_dup import near_duplicates
+    return _without(docs, near_dup.near_duplicates(docs).where("not kept"), "copies")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with enough of a benchmark's passages go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontam.decontaminate(docs, items).where("contaminated"), "contaminated")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as the mix takes them."""
+    plan = mixing.thresholds(stored(mixing.sizes(docs), "sizes"))
+    taken = mixing.with_copies(docs, plan).where("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*docs.columns)
+
 
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences in training order."""
+    return token_shards.materialise(docs, TOKENIZER)
 
 
-STAGES = [("near_dup", near_dup_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("near_dup", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
