@@ -13,8 +13,8 @@
     still hold several components propose again with other centres.
 4.  What then remains (classes that share a bucket but no component) is settled
     exactly: a class too few of whose shingles occur in any other remaining
-    class cannot reach the threshold and leaves; the others are compared
-    pairwise by likelihood and verified.
+    class cannot reach the threshold and leaves; the others are compared in
+    pairs of blocks, by likelihood and then by their sets.
 
 Two texts at similarity 0.75 share no band of 32 with probability 5e-6.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -45,7 +45,7 @@ THRESHOLD = 0.75
 #: Similarity at which the likelihood must still rise: 4.5 standard errors of 128 registers below 0.75.
 LIKELY = 0.58
 #: Star rounds before the remaining classes are compared directly.
-ROUNDS = 3
+ROUNDS = 2
 #: Ids up to this count (8 bytes each) are sent to all executors; beyond it they are shuffled.
 BROADCAST_IDS = 4_000_000
 
@@ -113,41 +113,33 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.select(["a", "b"]).slice(at, 1)
 
 
-def _register_counts(x: Column, y: Column) -> Column:
-    """(x greater, y greater, equal) over the registers, given as arrays."""
-    return F.aggregate(
-        F.zip_with(x, y, lambda p, q: F.signum((p - q).cast("double")).cast("int")),
-        F.struct(F.lit(0).alias("up"), F.lit(0).alias("down"), F.lit(0).alias("same")),
-        lambda acc, s: F.struct(
-            (acc["up"] + (s > 0).cast("int")).alias("up"), (acc["down"] + (s < 0).cast("int")).alias("down"), (acc["same"] + (s == 0).cast("int")).alias("same")
-        ),
-    )
-
-
-def likely(x: Column, y: Column, n_x: Column, n_y: Column, at: float = LIKELY) -> Column:
+def rising(up: np.ndarray, down: np.ndarray, same: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, at: float = LIKELY) -> np.ndarray:
     """Whether the joint likelihood of two sketches still rises at similarity ``at``.
 
     With known set sizes the counts of greater, smaller and equal registers are
     multinomial with p(u - vJ), p(v - uJ) and the rest, where
     p(z) = -log_b(1 - z(b - 1)/b); its logarithm is concave in J.
     """
-    c = (BASE - 1) / BASE
-    ln_b = math.log(BASE)
+    c, ln_b = (BASE - 1) / BASE, math.log(BASE)
     u = n_x / (n_x + n_y)
-    v = n_y / (n_x + n_y)
-    up, down = F.greatest(u - v * at, F.lit(1e-9)), F.greatest(v - u * at, F.lit(1e-9))
-    p_up, p_down = -F.log(1 - up * c) / ln_b, -F.log(1 - down * c) / ln_b
-    d_up, d_down = -v * c / (1 - up * c) / ln_b, -u * c / (1 - down * c) / ln_b
-    n = _register_counts(x, y)
-    slope = n["up"] * d_up / p_up + n["down"] * d_down / p_down - n["same"] * (d_up + d_down) / F.greatest(1 - p_up - p_down, F.lit(1e-9))
-    return F.when(F.least(n_x, n_y) < THRESHOLD * F.greatest(n_x, n_y), False).otherwise(slope >= 0)
+    v = 1 - u
+    more, less = np.maximum(u - v * at, 1e-9), np.maximum(v - u * at, 1e-9)
+    p_up, p_down = -np.log1p(-more * c) / ln_b, -np.log1p(-less * c) / ln_b
+    d_up, d_down = -v * c / (1 - more * c) / ln_b, -u * c / (1 - less * c) / ln_b
+    slope = up * d_up / p_up + down * d_down / p_down - same * (d_up + d_down) / np.maximum(1 - p_up - p_down, 1e-9)
+    return (slope >= 0) & (np.minimum(n_x, n_y) >= THRESHOLD * np.maximum(n_x, n_y))
+
+
+def _as_matrix(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, REGISTERS)
 
 
-def _as_array(sketch: Column) -> Column:
-    """Registers of a binary sketch (little-endian uint16) as an array of int."""
-    digits = F.hex(sketch)
-    at = F.sequence(F.lit(0), F.lit(REGISTERS - 1))
-    return F.transform(at, lambda i: F.conv(F.concat(F.substring(digits, i * 4 + 3, F.lit(2)), F.substring(digits, i * 4 + 1, F.lit(2))), 16, 10).cast("int"))
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (_as_matrix(batch.column(name).to_pylist()) for name in ("s_a", "s_b"))
+        up, same = (x > y).sum(axis=1), (x == y).sum(axis=1)
+        keep = rising(up, REGISTERS - up - same, same, batch.column("n_a").to_numpy().astype(float), batch.column("n_b").to_numpy().astype(float))
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -165,30 +157,34 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_agree, "a long, b long"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: int | None = None) -> DataFrame:
     """(doc_id, component): the smallest id reachable over links (a, b).
 
-    Each round takes the least label among neighbours and then the label of
-    that label, until nothing changes; every round is a written table.
+    Each step takes the least label among neighbours and then the label of that
+    label, and writes the table.  Without ``steps`` this ends when nothing
+    changes; with it, labels are ids of the same component, not yet the least.
     """
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.col("doc_id"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("doc_id").alias("b"), "component"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "doc_id").select("doc_id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
+    labels = stored(both.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("b")).select("doc_id", F.least("doc_id", "b").alias("component")), "labels")
+    while steps is None or steps > 0:
+        near = both.join(labels.select(F.col("doc_id").alias("b"), "component"), "b").select(F.col("a").alias("doc_id"), "component", F.lit(None).cast("long").alias("was"))
+        least = near.union(labels.withColumn("was", F.col("component"))).groupBy("doc_id").agg(F.min("component").alias("now"), F.max("was").alias("was"))
         jump = labels.select(F.col("doc_id").alias("now"), F.col("component").alias("next"))
         moved = stored(least.join(jump, "now").select("doc_id", "was", F.least("now", "next").alias("component")), "labels")
         labels = moved.select("doc_id", "component")
-        if moved.where("was <> component").isEmpty():
-            return labels
+        if steps is not None:
+            steps -= 1
+        elif moved.where("was <> component").isEmpty():
+            break
+    return labels
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Bucket members (band, doc_id) with their component so far, of buckets that hold several."""
-    if links is None:
+    if labels is None:
         out = members.withColumn("component", F.col("doc_id"))
     else:
-        out = members.join(components(links), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        out = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = out.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     return stored(out.join(several, "band").select("band", "doc_id", "component"), "buckets")
 
@@ -197,7 +193,7 @@ def _likely_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     s = sketches.select("doc_id", "n_shingles", "sketch")
     with_a = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a")), "a")
     with_b = with_a.join(s.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b")), "b")
-    return with_b.where(likely(_as_array(F.col("s_a")), _as_array(F.col("s_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return with_b.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_likely, "a long, b long")
 
 
 def _star(members: DataFrame, turn: int) -> DataFrame:
@@ -207,41 +203,76 @@ def _star(members: DataFrame, turn: int) -> DataFrame:
     return members.join(centre, "band").where("component <> cc").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
-        ids = batch.column(0).to_numpy()
-        for a, b in row_slices(offsets, 1 << 17):
-            sets = list(shingle_sets(words_of(data, offsets[a : b + 1], space_table()), K))
-            flat = np.concatenate(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], [len(s) for s in sets])), pa.array(flat.view(np.int64))], ["doc_id", "shingle"])
+        for a, b in row_slices(offsets):
+            sets = [s.tobytes() for s in shingle_sets(words_of(data, offsets[a : b + 1], space_table()), K)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
-def _remaining(members: DataFrame, sketches: DataFrame, docs: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs still to verify among buckets that hold several components.
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = batch.column(1).to_pylist()
+        flat = np.frombuffer(b"".join(sets), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in sets])), pa.array(flat)], ["doc_id", "shingle"])
+
+
+#: Bytes of shingle sets in a block of bucket members.
+BLOCK_BYTES = 1 << 20
+
+
+def _remaining_links(members: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components of a bucket, found exactly; one a pair of components and blocks.
 
     A link needs at least 3/7 of the two set sizes in common.  The shingles of
     a class that occur in any other remaining class bound what it can share,
     so classes below that bound (for the smallest mate in their buckets) leave.
+    The others are dealt by hash into blocks, and every pair of a bucket's
+    blocks is compared in one step: no task holds a whole bucket, and neither
+    candidates nor links inside a component are emitted.
     """
     sized = members.join(sketches.select("doc_id", "n_shingles"), "doc_id")
     least = sized.groupBy("band").agg(F.min("n_shingles").alias("least"))
     mates = sized.join(least, "band").groupBy("doc_id", "n_shingles").agg(F.min("least").alias("least"))
-    rows = _only(docs, stored(members.select("doc_id").distinct(), "open")).select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(_shingle_rows, "doc_id long, shingle long")
-    rows = stored(rows, "shingles")
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    support = rows.join(shared, "shingle").groupBy("doc_id").agg(F.count("*").alias("support"))
+    texts = _only(docs, stored(members.select("doc_id").distinct(), "open")).dropDuplicates(["doc_id"])
+    sets = stored(texts.select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    rows = sets.mapInArrow(_shingle_rows, "doc_id long, shingle long")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("x"))
+    # every occurrence but those that stand alone
+    alone = shared.where("n = 1").groupBy(F.col("x").alias("doc_id")).agg(F.count("*").alias("alone"))
     need = (F.col("n_shingles") + F.greatest("least", THRESHOLD * F.col("n_shingles"))) * THRESHOLD / (1 + THRESHOLD)
-    able = mates.join(support, "doc_id").where(F.col("support") >= need - 1e-6).select("doc_id", "n_shingles")
-    full = members.join(able, "doc_id").join(sketches.select("doc_id", _as_array(F.col("sketch")).alias("r")), "doc_id")
-    full = stored(full, "able")
-    x, y = full.alias("x"), full.alias("y")
-    met = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & likely(F.col("x.r"), F.col("y.r"), F.col("x.n_shingles"), F.col("y.n_shingles")),
-    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return met.join(done, ["a", "b"], "left_anti")
+    able = mates.join(alone, "doc_id", "left").where(F.col("n_shingles") - F.coalesce("alone", F.lit(0)) >= need - 1e-6).select("doc_id", "n_shingles")
+    full = members.join(able, "doc_id").join(sketches.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id")
+    sizes = members.join(able, "doc_id").groupBy("band").agg(F.sum("n_shingles").alias("n"), F.countDistinct("component").alias("c")).where("c > 1")
+    dealt = full.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int"))
+    blocks = stored(dealt.groupBy("band", "block").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "shingles")).alias("rows")), "blocks")
+    x, y = blocks.select("band", F.col("block").alias("i"), F.col("rows").alias("x")), blocks.select("band", F.col("block").alias("j"), F.col("rows").alias("y"))
+    return stored(x.join(y, "band").where("i <= j").select("x", "y").mapInArrow(_block_links, "a long, b long").distinct(), "links")
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            component, n = np.array([r["component"] for r in right]), np.array([r["n_shingles"] for r in right], float)
+            sketch = _as_matrix([r["sketch"] for r in right])
+            flat = np.frombuffer(b"".join(r["shingles"] for r in right), np.uint64)
+            ends = np.cumsum(n).astype(np.int64)
+            met: set[tuple[int, int]] = set()
+            for r in left:
+                s = np.frombuffer(r["sketch"], np.uint16)
+                up, same = (s > sketch).sum(axis=1), (s == sketch).sum(axis=1)
+                likely = (component != r["component"]) & rising(up, REGISTERS - up - same, same, np.full(len(n), float(r["n_shingles"])), n)
+                if not likely.any():
+                    continue
+                own = np.frombuffer(r["shingles"], np.uint64)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.diff(np.concatenate(([0], np.cumsum(own[at] == flat)[ends - 1])))
+                for k in np.flatnonzero(likely & (100 * both >= 100 * THRESHOLD * (n + len(own) - both))).tolist():
+                    pair = (min(r["component"], int(component[k])), max(r["component"], int(component[k])))
+                    if pair not in met:
+                        met.add(pair)
+                        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in pair], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -258,22 +289,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared_bands = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = stored(banded.join(shared_bands, "band"), "bands")
 
-    # An id that stands on rows with different texts is compared by its least class.
-    done = links = None
+    # An id that stands on rows with different texts is compared by one of them.
+    done = links = labels = None
     for turn in range(ROUNDS):
-        members = _labelled(buckets, links)
-        pairs = _star(members, turn)
+        labels = None if links is None else components(links, steps=1)
+        pairs = _star(_labelled(buckets, labels), turn)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(_likely_pairs(pairs, reps), "pairs")
-        if turn and pairs.isEmpty():
-            break
         found = _verified(pairs, docs)
         done = pairs if done is None else done.union(pairs)
         links = found if links is None else links.union(found)
-    members = _labelled(buckets, links)
+    labels = components(links)
+    members = _labelled(buckets, labels)
     if not members.isEmpty():
-        links = links.union(_verified(stored(_remaining(members, reps, docs, done), "pairs"), docs))
-    final = components(links)
-    out = member.join(final.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left")
+        more = _remaining_links(members, reps, docs)
+        if not more.isEmpty():
+            labels = components(more.union(labels.select("doc_id", "component")))
+    out = member.join(labels.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
