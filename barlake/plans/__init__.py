@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import indicators
+from . import bars, indicators
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "indicators"]
+__all__ = ["ORACLE", "QUERIES", "bars", "indicators"]
