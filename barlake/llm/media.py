@@ -3,14 +3,16 @@
 A document's bytes, padded with zeros to a positive multiple of 64, are the
 samples of an 8-bit grey PNG 64 pixels wide, one row for each 64 bytes.  The
 digest of the text's bytes is the address: every distinct content is stored
-once, in the tar shard that a hash of its digest names, and rows carry shard,
-offset and length.  Width, height and bit depth are read back from the first
-33 bytes alone (a range read); the other features from the stored member.
+once, and rows carry shard, offset and length.  Width, height and bit depth are
+read back from the first 33 bytes alone (a range read); the other features from
+the stored member.
 
-Contents are made distinct within each input partition before they are
-shuffled, so a group of copies reaches its shard once a partition.  A shard is
-written by one task under a name that only its number decides; a repeated task
-writes the same members.  The index of the shards is a written table.
+Of rows with one digest the smallest doc_id stands for all: only digests and
+ids are shuffled to find it.  Texts stay where they are read: each task writes
+the contents that its rows stand for as one tar shard, under a temporary name
+that becomes the shard's name when it is complete, so a repeated task leaves
+the same shard.  The index of the shards is a written table, from which the
+columns are read back shard by shard.
 
 Null text is stored as empty text (64 zero bytes); equal texts share all values.
 """
@@ -34,8 +36,8 @@ from .shared import new_folder, stored
 from .words import row_slices, text_buffer
 
 UNIT = 64
-#: Bytes of text a tar shard stands for.
-SHARD = 64 << 20
+#: Digests (32 bytes and an id) up to this count are sent to all executors.
+BROADCAST_ROWS = 1_000_000
 HEADER_BYTES = 33
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -74,57 +76,41 @@ def decode(media: bytes) -> bytes:
     return np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, width + 1)[:, 1:].tobytes()
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, n_bytes, media): each content once a partition."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests = batch.column(0).to_pylist()
-        data, offsets = text_buffer(batch.column(1))
-        for a, b in row_slices(offsets, 4 << 20):
-            keys, sizes, media = [], [], []
-            for i in range(a, b):
-                key = bytes.fromhex(digests[i])
-                if key not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(key)
-                    content = data[offsets[i] : offsets[i + 1]].tobytes()
-                    keys.append(digests[i])
-                    sizes.append(len(content))
-                    media.append(encode(content))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["digest", "n_bytes", "media"])
-
+def _writer(folder: str):
+    """Writes a partition's contents as one shard; gives (shard, digest, n_bytes, offset, length)."""
 
-def _writer(folder: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, rows, at, last, name, fs = None, [], 0, None, None, None
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        names = ["shard", "digest", "n_bytes", "offset", "length"]
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        shard, at, out, fs = context.partitionId(), 0, None, None
         for batch in batches:
-            for shard, digest, n_bytes, media in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if digest == last:
-                    continue  # sorted by shard and digest: a copy from another partition
-                if shard != name:
-                    if open_ is not None:
-                        open_.write(bytes(1024))
-                        open_.close()
-                    fs, path = pa.fs.FileSystem.from_uri(f"{folder}/{shard}.tar")
-                    fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    open_, name, at = fs.open_output_stream(path), shard, 0
-                info = tarfile.TarInfo(f"{digest}.png")
-                info.size = len(media)
-                head = info.tobuf(tarfile.USTAR_FORMAT)
-                open_.write(head)
-                open_.write(media)
-                open_.write(bytes(-len(media) % 512))
-                rows.append((shard, digest, n_bytes, at + len(head), len(media)))
-                at += len(head) + len(media) + -len(media) % 512
-                last = digest
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            digests = batch.column(0).to_pylist()
+            data, offsets = text_buffer(batch.column(1))
+            for a, b in row_slices(offsets, 4 << 20):
                 rows = []
-        if open_ is not None:
-            open_.write(bytes(1024))
-            open_.close()
+                for i in range(a, b):
+                    if out is None:
+                        fs, path = pa.fs.FileSystem.from_uri(f"{folder}/{shard}.tar")
+                        fs.create_dir(path.rpartition("/")[0], recursive=True)
+                        part = f"{path}.{context.taskAttemptId()}"
+                        out = fs.open_output_stream(part)
+                    content = data[offsets[i] : offsets[i + 1]].tobytes()
+                    media = encode(content)
+                    info = tarfile.TarInfo(f"{digests[i]}.png")
+                    info.size = len(media)
+                    head = info.tobuf(tarfile.USTAR_FORMAT)
+                    out.write(head)
+                    out.write(media)
+                    out.write(bytes(-len(media) % 512))
+                    rows.append((shard, digests[i], len(content), at + len(head), len(media)))
+                    at += len(head) + len(media) + -len(media) % 512
+                kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(kinds)], ["shard", "digest", "n_bytes", "offset", "length"])
+        if out is not None:
+            out.write(bytes(1024))
+            out.close()
+            fs.move(part, path)
 
     return run
 
@@ -165,13 +151,20 @@ def media_columns(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // SHARD))
     folder = new_folder(spark, "media")
-    shard = F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int").alias("shard")
-    members = docs.select("digest", "text").mapInArrow(_encoded, "digest string, n_bytes long, media binary")
-    placed = members.select(shard, "digest", "n_bytes", "media").repartition(n, "shard").sortWithinPartitions("shard", "digest")
-    index = stored(placed.mapInArrow(_writer(folder, n), "shard int, digest string, n_bytes long, offset long, length long"), "media-index")
+    least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    keys = stored(docs.select("digest", least.alias("id")), "digests")
+    first = keys.groupBy("digest").agg(F.min("id").alias("id"))
+    # rows that another row stands for; a few of the corpus as a rule, else they are shuffled
+    others = stored(keys.join(first, ["digest", "id"], "left_anti").distinct(), "others")
+    others = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    own = docs.withColumn("id", least).join(others, ["digest", "id"], "left_anti").select("digest", "text")
+    written = stored(own.mapInArrow(_writer(folder), "shard int, digest string, n_bytes long, offset long, length long"), "media-index")
+    # equal rows may each have been written: the first place counts
+    place = F.min(F.struct("shard", "offset", "n_bytes", "length")).alias("p")
+    index = written.groupBy("digest").agg(place).select("p.shard", "digest", "p.n_bytes", "p.offset", "p.length")
+    shards = max(1, written.agg(F.countDistinct("shard")).first()[0])
+    index = index.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
     ddl = ", ".join(f"{name} {_DDL[kind]}" for name, kind in zip(NAMES, KINDS, strict=True))
     columns = stored(index.mapInArrow(_reader(folder), ddl), "media-columns")
     return docs.select("doc_id", "digest").join(columns, "digest").withColumn("media_uri", F.concat(F.lit(folder + "/"), F.col("shard"), F.lit(".tar"))).select("doc_id", *[x for x in NAMES if x != "shard"], "media_uri")
