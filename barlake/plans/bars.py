@@ -1,7 +1,6 @@
 """Queries of sources, bar building, filters, fillers, calendars and alignment."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,15 +197,12 @@ def fl1_session_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DAYS}SELECT sid, {t()}, {r('close')} FROM bars WHERE close > 2000 AND volume > 10")
 def fl2_predicate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = fill.apply_filters(day_bars(spark, sf_dir), [lambda df: fill.where_true(df, F.col("volume") > 10), lambda df: fill.where_true(df, _above, ["close"])])
-    return shown(bars, "sid", "ts", "close")
-
-
-def _above(close):  # noqa: ANN001, ANN202
-    return close > 2000
+    def above(close: pd.Series) -> pd.Series:
+        return close > 2000
 
+    bars = fill.apply_filters(day_bars(spark, sf_dir), [lambda df: fill.where_true(df, F.col("volume") > 10), lambda df: fill.where_true(df, above, ["close"])])
+    return shown(bars, "sid", "ts", "close")
 
-_above.__annotations__ = {"close": "pd.Series", "return": "pd.Series"}
 
 _GRID = (
     f"{HOURS}, inside AS (SELECT * FROM bars WHERE strftime(ts, '%H:%M:%S') BETWEEN '09:00:00' AND '17:00:00'), days AS (SELECT sid, ts::DATE AS day, min(ts) AS a, max(ts) AS z FROM inside GROUP BY sid, ts::DATE), ends AS (SELECT *, min(day) OVER (PARTITION BY sid) AS d0, max(day) OVER (PARTITION BY sid) AS d1 FROM days), "
