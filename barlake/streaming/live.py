@@ -15,6 +15,8 @@ from ..operators.resample import bar_aggregates
 from ..sources.schema import FIELDS
 
 DELAY = "1 hour"
+#: Rows that wait for the watermark set one timer for each such stretch of time.
+TIMER_US = 60_000_000
 
 
 def stream_ticks(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -60,7 +62,7 @@ def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str
     """(sid, ts, close, average) of a stream, one state a series.
 
     Rows wait in the state until the watermark has passed them, and are then
-    taken in time order; the average begins with the mean of n values and
+    taken in time order (one row a time: see ``drop_duplicates``); the average begins with the mean of n values and
     recurs as in the batch operator.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -70,37 +72,38 @@ def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str
     class Average(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.state = handle.getValueState("average", "n int, total double, value double")
+            self.state = handle.getValueState("average", "n int, total double, value double, released long")
             self.waiting = handle.getMapState("waiting", "at long", "close double")
 
-        def _due(self, key, limit_ms: int) -> Iterator:  # noqa: ANN001
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: ANN001, N802, N803
+            slots = set()
+            for pdf in rows:
+                for at, close in zip(pdf[ts], pdf["close"], strict=True):
+                    us = int(at.value // 1000)
+                    self.waiting.updateValue((us,), (None if close is None else float(close),))
+                    slots.add((us // TIMER_US + 1) * TIMER_US // 1000)
+            for at in slots:
+                self.handle.registerTimer(at)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: ANN001, N802, N803
             import pandas as pd
 
-            count, total, value = self.state.get() if self.state.exists() else (0, 0.0, None)
+            limit = timerValues.getCurrentWatermarkInMs()
+            count, total, value, released = self.state.get() if self.state.exists() else (0, 0.0, None, -1)
+            if released == limit:
+                return  # another timer of this watermark has taken all that was due
             out = []
-            for (at,), (close,) in sorted(self.waiting.iterator()):
-                if at // 1000 > limit_ms:
-                    continue
+            for (at,), (close,) in sorted(x for x in self.waiting.iterator() if x[0][0] < limit * 1000):
                 self.waiting.removeKey((at,))
                 if close is not None and close == close:
                     count, total = count + 1, total + close
                     value = None if count < n else total / n if count == n else (1 - k) * value + k * close
                 out.append((key[0], pd.Timestamp(at, unit="us"), close, value))
-            self.state.update((count, total, value))
+            self.state.update((count, total, value, limit))
             if out:
                 yield pd.DataFrame(out, columns=[by, ts, "close", "average"])
 
-        def handleInputRows(self, key, rows, timer_values) -> Iterator:  # noqa: ANN001, N802
-            for pdf in rows:
-                for at, close in zip(pdf[ts], pdf["close"], strict=True):
-                    us = int(at.value // 1000)
-                    self.waiting.updateValue((us,), (float(close),))
-                    self.handle.registerTimer(us // 1000 + 1)
-            return iter(())
-
-        def handleExpiredTimer(self, key, timer_values, expired) -> Iterator:  # noqa: ANN001, N802
-            yield from self._due(key, timer_values.getCurrentWatermarkInMs())
-
         def close(self) -> None:
             pass
 
