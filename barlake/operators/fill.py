@@ -140,36 +140,45 @@ def heikin_ashi(bars: DataFrame, *, by: Sequence[str] = BY, order: Sequence[str]
 
 
 def renko(bars: DataFrame, *, by: Sequence[str] = BY, ts: str = "ts", size: float | None = None, autosize: float = 20.0, align: float = 1.0, hilo: bool = False, dynamic: bool = False, round_start: bool = True) -> DataFrame:
-    """Bricks of a fixed size (or the first price / ``autosize``): at most one a bar, volume 0, other bars dropped.
+    """Bricks of a fixed size (or the first open / ``autosize``): at most one a bar, volume 0, other bars dropped.
 
-    Each brick moves the bounds by one size, which depends on what came before:
-    a series' rows go through one task in time order.
+    Bounds lie one size around the first open.  A price at or beyond a bound
+    draws the brick that begins there; the bound becomes the opposite one.  A
+    brick depends on all before it: a series' rows go through one task in time
+    order.
     """
 
     def bricks(pdf):  # noqa: ANN001, ANN202  a series' bars in, its bricks out
         import pandas as pd
 
-        out, top, bottom, step = [], None, None, size
+        out, bounds, step = [], None, size
+
+        def drawn(base: float, way: int, price: float) -> float:
+            """The brick's far end."""
+            nonlocal step
+            if dynamic and size is None:
+                step = float(price // autosize)
+                return round((base + way * step) / align) * align
+            return base + way * step
+
         for r in pdf.sort_values(ts).itertuples(index=False):
-            price = r.close
-            if pd.isna(price):
+            if pd.isna(r.close) or (bounds is None and pd.isna(r.open)):
                 continue
-            if top is None:
-                step = size or max(round(price / autosize / align) * align, align)
-                start = round(price / align) * align if round_start else price
-                top, bottom = start + step, start - step
-                continue
-            high, low = (r.high, r.low) if hilo else (price, price)
-            if high >= top:
-                out.append((*[getattr(r, k) for k in by], getattr(r, ts), top - step, top, top - step, top, 0.0))
-                top, bottom = top + step, top - step
-            elif low <= bottom:
-                out.append((*[getattr(r, k) for k in by], getattr(r, ts), bottom + step, bottom + step, bottom, bottom, 0.0))
-                top, bottom = bottom + step, bottom - step
+            if bounds is None:
+                start = round(r.open / align) * align
+                step = size or float(start // autosize)
+                start = int(start) if round_start else start
+                bounds = (start - step, start + step)
+            high, low = (r.high, r.low) if hilo else (r.close, r.close)
+            if high >= bounds[1]:
+                base, end = bounds[1], drawn(bounds[1], 1, r.close)
+                bounds = (base, end)
+            elif low <= bounds[0]:
+                base, end = bounds[0], drawn(bounds[0], -1, r.close)
+                bounds = (end, base)
             else:
                 continue
-            if dynamic and size is None:
-                step = max(round(price / autosize / align) * align, align)
+            out.append((*[getattr(r, k) for k in by], getattr(r, ts), float(base), float(max(base, end)), float(min(base, end)), float(end), 0.0))
         return pd.DataFrame(out, columns=[*by, ts, *PRICES, "volume"])
 
     schema = T.StructType([bars.schema[c] for c in (*by, ts)] + [T.StructField(c, T.DoubleType()) for c in (*PRICES, "volume")])
