@@ -118,4 +118,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_pii, op2_line_chunks, op3_mix, op4_licenses, op5_decontaminate, op6_near_dup, op7_lm_score, op8_media, op9_language, op10_token_shards)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for the same results; the others are tested against brute force, a round trip or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op3_mix": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight, source_size * 3.0e0 AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM p),
+k AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS i, coalesce(sum(cap) OVER o, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS open_weight FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, max(CASE WHEN (total - capped) / open_weight * weight <= cap THEN (total - capped) / open_weight END) OVER () AS level FROM k),
+g AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM g),
+r AS (SELECT *, target - base * source_size AS rest FROM b),
+hs AS (SELECT source, h, sum(size) AS size FROM d WHERE size > 0 GROUP BY source, h),
+hr AS (SELECT hs.source, hs.h, hs.size, r.rest, sum(hs.size) OVER (PARTITION BY hs.source ORDER BY hs.h) AS ran FROM hs JOIN r ON hs.source IS NOT DISTINCT FROM r.source),
+e AS (SELECT source, h + CASE WHEN 2 * (rest - (ran - size)) >= size THEN 1 ELSE 0 END AS threshold FROM hr WHERE ran > rest AND ran - size <= rest),
+f AS (SELECT r.*, e.threshold FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source),
+o AS (SELECT d.doc_id, d.size, f.source_size, f.target, least(3, f.base + CASE WHEN f.rest > 0 AND coalesce(d.h < f.threshold, TRUE) THEN 1 ELSE 0 END)::BIGINT AS copies FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM o
+""",
+    "op5_decontaminate": r"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ig AS (SELECT item_id, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i, w FROM iw WHERE len(w) > 0),
+ik AS (SELECT DISTINCT item_id::VARCHAR AS item_id, n, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS k FROM ig),
+ns AS (SELECT DISTINCT n FROM ik),
+dg AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM dw, ns WHERE len(w) >= n),
+dk AS (SELECT doc_id, n, i, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS k FROM dg),
+m AS (SELECT dk.doc_id, dk.i, dk.n, ik.item_id FROM dk JOIN ik ON dk.n = ik.n AND dk.k = ik.k),
+hw AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM m),
+hn AS (SELECT doc_id, count(*) AS n_hit FROM hw GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(dw.w) AS contaminated FROM dw LEFT JOIN hn USING (doc_id) LEFT JOIN hi USING (doc_id)
+""",
+    "op6_near_dup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i, w FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS k FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x AS doc_id, min(y) AS y FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, w.doc_id <= coalesce(m.y, w.doc_id) AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id
+""",
+}

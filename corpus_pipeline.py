@@ -46,8 +46,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix takes them."""
     plan = mixing.thresholds(stored(mixing.sizes(docs), "sizes"))
-    taken = mixing.with_copies(docs, plan).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*docs.columns)
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))  # whatever its columns are called
+    taken = mixing.with_copies(rows, plan).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
