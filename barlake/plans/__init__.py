@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import bars, indicators, portfolio, streams
+from . import bars, indicators, more, portfolio, streams
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "bars", "indicators", "portfolio", "streams"]
+__all__ = ["ORACLE", "QUERIES", "bars", "indicators", "more", "portfolio", "streams"]
