@@ -33,6 +33,8 @@ ONE_IN = 3
 LEAST_LINES, MOST_LINES = 2, 64
 #: Documents up to this count are named to all executors; beyond it ids are shuffled.
 BROADCAST_IDS = 4_000_000
+#: As above for rows with their lists of places.
+BROADCAST_ROWS = 250_000
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
@@ -122,13 +124,15 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     repeats = stored(places.groupBy("chunk").agg(F.count("*").alias("n"), first).where("n > 1").drop("n"), "repeats")
     inside = places.join(repeats, "chunk").groupBy("doc_id", "row_key").agg(F.collect_list("position").alias("wanted"))
     inside = stored(inside, "wanted")
-    few = inside.count() <= BROADCAST_IDS
-    ids = inside.select("doc_id", "row_key")
-    holding = docs.join(F.broadcast(ids) if few else ids, ["doc_id", "row_key"], "left_semi").join(inside, ["doc_id", "row_key"])
+    n, ids = inside.count(), inside.select("doc_id", "row_key")
+    if n <= BROADCAST_ROWS:
+        holding = docs.join(F.broadcast(inside), ["doc_id", "row_key"])
+    else:
+        holding = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, ["doc_id", "row_key"], "left_semi").join(inside, ["doc_id", "row_key"])
     bodies = holding.select("doc_id", "row_key", "text", "wanted").mapInArrow(_bodies, "doc_id long, row_key long, position int, chunk long, body binary").join(repeats, "chunk")
     bodies = stored(bodies.withColumn("is_first", F.struct("doc_id", "row_key", "position") == F.col("first")), "bodies")
     kept = bodies.where("is_first").select("chunk", F.col("body").alias("first_body")).dropDuplicates(["chunk"])
     gone = bodies.where("not is_first").join(kept, "chunk").where("body = first_body").groupBy("doc_id", "row_key").agg(F.collect_set("position").alias("gone"))
     gone = stored(gone, "gone")
-    marked = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 16 else gone, ["doc_id", "row_key"], "left")
+    marked = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["doc_id", "row_key"], "left")
     return marked.select("doc_id", "text", "gone").mapInArrow(_without, "doc_id long, n_lines long, n_chunks long, n_removed long, n_removed_lines long, text string")
