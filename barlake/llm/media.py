@@ -97,7 +97,7 @@ def _writer(folder: str):
                         out = fs.open_output_stream(part)
                     content = data[offsets[i] : offsets[i + 1]].tobytes()
                     media = encode(content)
-                    info = tarfile.TarInfo(f"{digests[i]}.png")
+                    info = tarfile.TarInfo(f"{digests[i].hex()}.png")
                     info.size = len(media)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     out.write(head)
@@ -105,7 +105,7 @@ def _writer(folder: str):
                     out.write(bytes(-len(media) % 512))
                     rows.append((shard, digests[i], len(content), at + len(head), len(media)))
                     at += len(head) + len(media) + -len(media) % 512
-                kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(kinds)], ["shard", "digest", "n_bytes", "offset", "length"])
         if out is not None:
             out.write(bytes(1024))
@@ -142,15 +142,15 @@ def _reader(folder: str):
 
 
 NAMES = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "media_offset", "width", "height", "bit_depth"]
-KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-_DDL = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int"}
+KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+_DDL = {pa.binary(): "binary", pa.string(): "string", pa.int64(): "long", pa.int32(): "int"}
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id and the media columns for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     folder = new_folder(spark, "media")
     least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     keys = stored(docs.select("digest", least.alias("id")), "digests")
@@ -159,7 +159,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     others = stored(keys.join(first, ["digest", "id"], "left_anti").distinct(), "others")
     others = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
     own = docs.withColumn("id", least).join(others, ["digest", "id"], "left_anti").select("digest", "text")
-    written = stored(own.mapInArrow(_writer(folder), "shard int, digest string, n_bytes long, offset long, length long"), "media-index")
+    written = stored(own.mapInArrow(_writer(folder), "shard int, digest binary, n_bytes long, offset long, length long"), "media-index")
     # equal rows may each have been written: the first place counts
     place = F.min(F.struct("shard", "offset", "n_bytes", "length")).alias("p")
     index = written.groupBy("digest").agg(place).select("p.shard", "digest", "p.n_bytes", "p.offset", "p.length")
@@ -167,4 +167,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
     index = index.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
     ddl = ", ".join(f"{name} {_DDL[kind]}" for name, kind in zip(NAMES, KINDS, strict=True))
     columns = stored(index.mapInArrow(_reader(folder), ddl), "media-columns")
-    return docs.select("doc_id", "digest").join(columns, "digest").withColumn("media_uri", F.concat(F.lit(folder + "/"), F.col("shard"), F.lit(".tar"))).select("doc_id", *[x for x in NAMES if x != "shard"], "media_uri")
+    return docs.select("doc_id", "digest").join(columns, "digest").withColumn("media_uri", F.concat(F.lit(folder + "/"), F.col("shard"), F.lit(".tar"))).select("doc_id", F.lower(F.hex("digest")).alias("digest"), *NAMES[1:], "media_uri").drop("shard")
