@@ -207,23 +207,23 @@ def rc5_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TR = f"{_M}, lg AS (SELECT *, lag(close) OVER (PARTITION BY sid ORDER BY ts) AS pc, lag(high) OVER (PARTITION BY sid ORDER BY ts) AS ph, lag(low) OVER (PARTITION BY sid ORDER BY ts) AS pl FROM nb), tr AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS up, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS dn, CASE WHEN ph IS NOT NULL THEN CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0.0e0 END END AS pm, CASE WHEN ph IS NOT NULL THEN CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0.0e0 END END AS mm FROM lg)"
 _W14 = "(1.0e0 / 14)"
-_ATR = _TR + _smooth("tr", "tr", _W14, 14, "atr", "")
+ATR = _TR + _smooth("tr", "tr", _W14, 14, "atr", "")
 
 
-@query(f"{_ATR} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('atr.y', 'atr')}, {r('100 * atr.y / nb.close', 'natr')} FROM nb LEFT JOIN atr ON nb.sid = atr.sid AND nb.rn = atr.rn")
+@query(f"{ATR} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('atr.y', 'atr')}, {r('100 * atr.y / nb.close', 'natr')} FROM nb LEFT JOIN atr ON nb.sid = atr.sid AND nb.rn = atr.rn")
 def rc6_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(recursive.atr(month_bars(spark, sf_dir)), "sid", "ts", "atr", "natr")
 
 
-_RSI = _TR + _smooth("tr", "up", _W14, 14, "u", "") + _smooth("tr", "dn", _W14, 14, "v", "")
+RSI = _TR + _smooth("tr", "up", _W14, 14, "u", "") + _smooth("tr", "dn", _W14, 14, "v", "")
 
 
-@query(f"{_RSI} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('CASE WHEN v.y = 0 AND u.y = 0 THEN 50.0e0 WHEN v.y = 0 THEN 100.0e0 ELSE 100 - 100 / (1 + u.y / v.y) END', 'rsi')} FROM nb LEFT JOIN u ON nb.sid = u.sid AND nb.rn = u.rn LEFT JOIN v ON nb.sid = v.sid AND nb.rn = v.rn")
+@query(f"{RSI} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('CASE WHEN v.y = 0 AND u.y = 0 THEN 50.0e0 WHEN v.y = 0 THEN 100.0e0 ELSE 100 - 100 / (1 + u.y / v.y) END', 'rsi')} FROM nb LEFT JOIN u ON nb.sid = u.sid AND nb.rn = u.rn LEFT JOIN v ON nb.sid = v.sid AND nb.rn = v.rn")
 def rc7_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(recursive.rsi(month_bars(spark, sf_dir)), "sid", "ts", "rsi")
 
 
-_DI = _ATR + _smooth("tr", "pm", _W14, 14, "p", "") + _smooth("tr", "mm", _W14, 14, "m", "") + ", di AS (SELECT atr.sid, atr.rn, 100 * p.y / atr.y AS pdi, 100 * m.y / atr.y AS mdi FROM atr JOIN p ON p.sid = atr.sid AND p.rn = atr.rn JOIN m ON m.sid = atr.sid AND m.rn = atr.rn), dx AS (SELECT *, CASE WHEN abs(pdi + mdi) < 1e-8 THEN 0.0e0 ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END AS dx FROM di)" + _smooth("dx", "dx", _W14, 14, "ax", "")
+_DI = ATR + _smooth("tr", "pm", _W14, 14, "p", "") + _smooth("tr", "mm", _W14, 14, "m", "") + ", di AS (SELECT atr.sid, atr.rn, 100 * p.y / atr.y AS pdi, 100 * m.y / atr.y AS mdi FROM atr JOIN p ON p.sid = atr.sid AND p.rn = atr.rn JOIN m ON m.sid = atr.sid AND m.rn = atr.rn), dx AS (SELECT *, CASE WHEN abs(pdi + mdi) < 1e-8 THEN 0.0e0 ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END AS dx FROM di)" + _smooth("dx", "dx", _W14, 14, "ax", "")
 
 
 @query(f"{_DI} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('di.pdi', 'plus_di')}, {r('di.mdi', 'minus_di')}, {r('ax.y', 'adx')}, {r('(ax.y + old.y) / 2', 'adxr')} FROM nb LEFT JOIN di ON nb.sid = di.sid AND nb.rn = di.rn LEFT JOIN ax ON nb.sid = ax.sid AND nb.rn = ax.rn LEFT JOIN ax old ON nb.sid = old.sid AND nb.rn = old.rn + 14")

@@ -13,6 +13,7 @@ from ..sources import sinks
 from ..sources.workdir import new_folder
 from ..streaming import live
 from .base import DAYS, HOURS, MONTHS, UPTO, day_bars, hour_bars, month_bars, query, r, shown, t, table
+from .indicators import ATR
 
 
 @query(f"{HOURS}, k AS (SELECT *, dense_rank() OVER (PARTITION BY sid ORDER BY ts::DATE) AS rk, row_number() OVER w AS n, lag(volume) OVER w AS pv FROM bars WINDOW w AS (PARTITION BY sid, strftime(ts, '%H:%M:%S') ORDER BY ts::DATE, ts)) SELECT sid, {t()}, {r('CASE WHEN n = rk THEN volume / pv END', 'relative_volume')} FROM k")
@@ -51,9 +52,9 @@ def pf11_portfolio_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(performance.portfolio_export(rows))
 
 
-@query()
+@query(f"{ATR} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('0.01e0 * nb.close / atr.y', 'weight')} FROM nb LEFT JOIN atr ON nb.sid = atr.sid AND nb.rn = atr.rn")
 def al4_volatility_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of each month's bars by their volatility (the range is checked against SQL in rc6)."""
+    """Weights of each month's bars by their volatility."""
     return shown(allocate.volatility_weight(atr(month_bars(spark, sf_dir)), 1.0, 0.01), "sid", "ts", "weight")
 
 

@@ -10,6 +10,7 @@ from ..operators import allocate, execution, ledger, performance, signals
 from ..operators.cross import crossover
 from ..operators.rolling import sma
 from .base import DAYS, EVENTS, HOURS, MONTHS, UPTO, S, d, day_bars, event_ticks, hour_bars, last, month_bars, query, r, shown, t, table, warm
+from .indicators import RSI
 
 # --- flagship: ticks to day bars, two averages, their crossing, the position and its return ---
 
@@ -72,7 +73,10 @@ def sg8_trailing_stop_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(signals.trailing_stop_positions(rows, "go", "gap"))
 
 
-@query()
+_BAND = f"{RSI}, q AS (SELECT nb.sid, nb.ts, CASE WHEN v.y = 0 AND u.y = 0 THEN 50.0e0 WHEN v.y = 0 THEN 100.0e0 ELSE 100 - 100 / (1 + u.y / v.y) END AS x FROM nb LEFT JOIN u ON nb.sid = u.sid AND nb.rn = u.rn LEFT JOIN v ON nb.sid = v.sid AND nb.rn = v.rn), z AS (SELECT *, CASE WHEN x IS NOT NULL THEN coalesce(last_value(nullif(x - 30, 0) IGNORE NULLS) OVER {UPTO}, 0.0e0) END AS lo, CASE WHEN x IS NOT NULL THEN coalesce(last_value(nullif(x - 70, 0) IGNORE NULLS) OVER {UPTO}, 0.0e0) END AS hi FROM q)"
+
+
+@query(f"{_BAND} SELECT sid, {t()}, {r('x', 'rsi')}, CASE WHEN lag(lo) OVER s < 0 AND x > 30 THEN 1.0e0 ELSE 0.0e0 END AS long, CASE WHEN x > 50 THEN 1.0e0 ELSE 0.0e0 END AS long_exit, CASE WHEN lag(hi) OVER s > 0 AND x < 70 THEN 1.0e0 ELSE 0.0e0 END AS short, CASE WHEN x < 50 THEN 1.0e0 ELSE 0.0e0 END AS short_exit FROM z {S}")
 def sg7_rsi_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(signals.rsi_band(month_bars(spark, sf_dir)), "sid", "ts", "rsi", "long", "long_exit", "short", "short_exit")
 
