@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder
+from .shared import SharedFile, new_folder
 from .words import alnum_table, grams, row_slices, text_buffer, words_of
 
 WINDOW, K = 13, 6
@@ -218,10 +218,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
             inline.append(ix)
         else:
             folder = paths[0].rpartition("/")[0] if paths else new_folder(spark, "benchmark")
-            fs, at = pa.fs.FileSystem.from_uri(folder)
-            fs.create_dir(at, recursive=True)
-            with fs.open_output_stream(f"{at}/{i}.npz") as out:
-                out.write(ix.dump())
+            out = SharedFile(f"{folder}/{i}.npz")
+            out.write(ix.dump())
+            out.close()
             paths.append(f"{folder}/{i}.npz")
 
     def blocks() -> Iterator[Index]:

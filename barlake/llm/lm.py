@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .shared import new_folder, stored
+from .shared import SharedFile, new_folder, stored
 from .words import row_slices, space_table, text_buffer, words_of
 
 MU = 400.0
@@ -52,11 +52,10 @@ SLICE = 4 << 20
 
 def _write(uri: str, sections: list[np.ndarray]) -> None:
     """One file of 64-bit words; a repeated task writes the same bytes again."""
-    fs, at = pa.fs.FileSystem.from_uri(uri)
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(at) as out:
-        for s in sections:
-            out.write(np.ascontiguousarray(s).view(np.uint64).tobytes())
+    out = SharedFile(uri)
+    for s in sections:
+        out.write(np.ascontiguousarray(s).view(np.uint64).tobytes())
+    out.close()
 
 
 _mapped: dict[str, np.ndarray] = {}

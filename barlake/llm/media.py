@@ -32,7 +32,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, stored
+from .shared import SharedFile, new_folder, stored
 from .words import row_slices, text_buffer
 
 UNIT = 64
@@ -82,8 +82,7 @@ def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        shard, at, out, fs = context.partitionId(), 0, None, None
+        shard, at, out = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             digests = batch.column(0).to_pylist()
             data, offsets = text_buffer(batch.column(1))
@@ -91,10 +90,7 @@ def _writer(folder: str):
                 rows = []
                 for i in range(a, b):
                     if out is None:
-                        fs, path = pa.fs.FileSystem.from_uri(f"{folder}/{shard}.tar")
-                        fs.create_dir(path.rpartition("/")[0], recursive=True)
-                        part = f"{path}.{context.taskAttemptId()}"
-                        out = fs.open_output_stream(part)
+                        out = SharedFile(f"{folder}/{shard}.tar")
                     content = data[offsets[i] : offsets[i + 1]].tobytes()
                     media = encode(content)
                     info = tarfile.TarInfo(f"{digests[i].hex()}.png")
@@ -110,7 +106,6 @@ def _writer(folder: str):
         if out is not None:
             out.write(bytes(1024))
             out.close()
-            fs.move(part, path)
 
     return run
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -39,3 +41,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+class SharedFile:
+    """A file that a task writes under a name of its own and that gets its name when it is complete.
+
+    A lost, repeated or doubled task therefore never leaves a part of a file
+    under the name that readers use.
+    """
+
+    def __init__(self, uri: str):
+        self.fs, self.path = pa.fs.FileSystem.from_uri(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex[:12]}"
+        self.out = self.fs.open_output_stream(self.part)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+
+    def close(self) -> None:
+        self.out.close()
+        if not isinstance(self.fs, pa.fs.LocalFileSystem) and self.fs.get_file_info(self.path).type == pa.fs.FileType.File:
+            self.fs.delete_file(self.path)  # of an earlier attempt; elsewhere the move replaces it
+        self.fs.move(self.part, self.path)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, stored
+from .shared import SharedFile, new_folder, stored
 from .words import row_slices, text_buffer
 
 LENGTH = 2048
@@ -242,9 +242,7 @@ def _shard_writer(folder: str, length: int, per_shard: int, kind: np.dtype):
                 if shard != name:
                     if out is not None:
                         out.close()
-                    fs, at = pa.fs.FileSystem.from_uri(f"{folder}/{shard:08d}.bin")
-                    fs.create_dir(at.rpartition("/")[0], recursive=True)
-                    name, out = shard, fs.open_output_stream(at)
+                    name, out = shard, SharedFile(f"{folder}/{shard:08d}.bin")
                 raw = unpack.decompress(ids)
                 out.write(raw)
                 shards.append(shard)
