@@ -48,6 +48,8 @@ LIKELY = 0.58
 ROUNDS = 2
 #: Ids up to this count (8 bytes each) are sent to all executors; beyond it they are shuffled.
 BROADCAST_IDS = 4_000_000
+#: Set keys (16 bytes and an id) of sets that several documents share: as above.
+BROADCAST_CLASSES = 2_000_000
 
 _rng = np.random.default_rng(20240601)
 _A = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -279,12 +281,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
-    member = stored(
-        sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes"
-    )
-    first = sketches.join(member.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(first.select("doc_id", "n_shingles", "sketch"), "reps")
+    # only sets that several documents have: a few of the corpus as a rule
+    classes = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = stored(classes, "classes")
+    marked = sketches.join(F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes, "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    member = stored(marked.select("doc_id", "n_shingles", "class_id"), "members")
+    first = marked.where("doc_id = class_id and n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "sketch")).alias("s"))
+    reps = stored(first.select("doc_id", "s.n_shingles", "s.sketch"), "reps")
     banded = reps.select("doc_id", "sketch").mapInArrow(_bands, "doc_id long, band long")
     shared_bands = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = stored(banded.join(shared_bands, "band"), "bands")
