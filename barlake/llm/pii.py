@@ -213,7 +213,8 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
         beside_before = (i > 0 and _BETWEEN.fullmatch(text, words[i - 1][1], a)) or _DIGIT_BEFORE.search(text, max(0, a - 14), a)
         beside_after = (i + 1 < len(words) and _BETWEEN.fullmatch(text, b, words[i + 1][0])) or _DIGIT_AFTER.match(text, b)
         if beside_before or beside_after:
-            edits.append((a, b, SPELLED[text[a:b].lower()]))
+            # a dotted capital I matches too and lowers to i and a combining dot
+            edits.append((a, b, SPELLED[text[a:b].lower().replace("i\u0307", "i")]))
     # numbers read out one digit at a time are written without the spaces between them
     joined: list[tuple[int, int, str]] = []
     for a, b, d in edits:
@@ -224,25 +225,11 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return joined
 
 
-_TRIGGERS = frozenset(w.encode() for w in [*SPELLED, *(SIGNS.keys() - {"at", "dash", "hyphen", "minus"})])
-_BLANKS = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
-_BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:at|@|\.)\s{0,2}[\])}>]|[\x20_][@.][\x20_]", re.I)
-
-
-def _may_hide(text: str) -> bool:
-    """Whether any transducer but the look-alikes could change the text (a cheap test on its bytes)."""
-    words = text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).split()
-    return not _TRIGGERS.isdisjoint(words) or bool(_BRACKETED.search(text) if any(c in text for c in "[({<") or " @ " in text or " . " in text or "_" in text else False)
-
-
 def spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and the spans added by deobfuscation."""
     if not text:
         return [], []
     base = detect(text)
-    odd = not text.isascii() and not _odd_characters().keys().isdisjoint(text)
-    if not odd and not _may_hide(text):
-        return base, []
     r = normalise(text)
     if r.text == text:
         return base, []

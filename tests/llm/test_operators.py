@@ -80,6 +80,24 @@ def test_disguises_map_back(text, kind, part):
     assert (part, kind) in added and base == [x for x in base if x not in added]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("mail john at example.com now", "email", "john at example.com"),
+        ("john_at_example.com", "email", "john_at_example.com"),
+        ("call +1 415 dash 555 dash 2671", "phone", "+1 415 dash 555 dash 2671"),
+        ("pay 4111 hyphen 1111 minus 1111 dash 1111", "card", "4111 hyphen 1111 minus 1111 dash 1111"),
+        ("“four 111 1111 1111 1111", "card", "four 111 1111 1111 1111"),
+        ("call +1 fİve 5 5 415 2671", "phone", "+1 fİve 5 5 415 2671"),
+    ],
+)
+def test_one_disguise_is_enough(text, kind, part):
+    base, added = found(text)
+    assert (part, kind) in added
+    # words elsewhere in the text change nothing
+    assert found(f"one point of it. {text}") == (base, added)
+
+
 def test_plain_text_is_left_alone():
     for text in ("", None, "one of the two at the dot", "meet me at four", "a@b", "1.2.3", "é" * 50):
         assert pii.spans(text) == ([], [])
