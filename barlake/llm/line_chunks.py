@@ -1,25 +1,34 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries.
-
-Every non-empty line has a 64-bit hash.  A rolling hash over the last two line
-hashes closes a chunk where it is 0 modulo ``ONE_IN`` (and after
-``MOST_LINES`` lines), so boundaries depend on nearby lines only and move with
-the text: a passage inserted into another document is cut alike once two of
-its lines have gone by.  A chunk of at least ``LEAST_LINES`` lines that occurs
-again anywhere is removed everywhere but at its first place, by (doc_id,
-position), provided that its bytes equal those of the first place.
-
-Only hashes and places are shuffled to find repeats.  Texts move for the byte
-comparison alone, and only those of chunks that repeat.
-
-Null text stays null and has no lines; a row without id is never changed.  Empty lines belong to the chunk around
-them.  A chunk that repeats inside one document counts like any other.  Rows
-with equal ids take their places in the order of their text.  What is left of a
-text keeps its line order; a text whose chunks all go is empty.
+"""Removal of repeated multi-line passages.
+
+Every two neighbouring non-empty lines of a text are a pair; its key is a
+128-bit cryptographic digest of their bytes, blank lines between them included.
+A pair that stands earlier, by (doc_id, position), loses both its lines, so a
+match reaches from the first to the last line that two texts have in common,
+wherever it begins: a repeated passage of ``n >= 2`` lines is ``n - 1`` repeated
+pairs and goes whole.  A line that is repeated without a neighbour stays.
+
+Each line stays at its first place: a line that goes stands earlier beside the
+same neighbour.  A pair that overlaps its own first place (three equal lines)
+stays.  The first place of a pair may lose one of its lines where that line
+belongs to another pair that stands still earlier.
+
+Only digests and places are shuffled to find repeats; texts do not move unless
+more than ``BROADCAST_ROWS`` rows lose lines.
+
+``n_chunks`` counts chunks with content-defined boundaries: a rolling hash over
+the last two line hashes closes a chunk where it is 0 modulo ``ONE_IN`` (and
+after ``MOST_LINES`` lines).  ``n_removed`` counts the chunks that lose lines.
+
+Null text stays null and has no lines; a row without id is never changed.  Empty lines belong to the line before
+them, leading ones to the first line.  A passage that repeats inside one document counts like any other.  Rows
+with equal ids take their places in the order of a hash of their text.  What is left of a
+text keeps its line order; a text whose lines all go is empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .words import line_table, mix, row_slices, text_buffer, words_of
+from .words import Words, line_table, mix, row_slices, text_buffer, words_of
 
 ONE_IN = 3
 LEAST_LINES, MOST_LINES = 2, 64
-#: Documents up to this count are named to all executors; beyond it ids are shuffled.
-BROADCAST_IDS = 4_000_000
-#: As above for rows with their lists of places.
+#: Rows with their lists of places up to this count are sent to all executors; beyond it rows are shuffled.
 BROADCAST_ROWS = 250_000
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+def chunks(data: np.ndarray, offsets: np.ndarray, lines: Words | None = None) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
     """(row, [(first byte, end byte, lines, hash)]): the chunks of each row with a line, covering all its bytes."""
-    w = words_of(data, offsets, line_table())
+    w = lines or words_of(data, offsets, line_table())
     rows = offsets - offsets[0]
     h = w.hashes
     roll = mix(h * np.uint64(0xA0761D6478BD642F) + np.concatenate((h[:1], h[:-1])))
@@ -68,30 +75,18 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[tu
         yield r, out
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, row_keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, row_keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         data, offsets = text_buffer(batch.column(2))
         for a, b in row_slices(offsets):
-            out = [(ids[a + r], row_keys[a + r], i, n, key) for r, found in chunks(data, offsets[a : b + 1]) for i, (_, _, n, key) in enumerate(found) if n >= LEAST_LINES]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["doc_id", "row_key", "position", "lines", "chunk"])
-
-
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the listed chunks of each row, without line ends after the last line."""
-    for batch in batches:
-        ids, row_keys, wanted = (batch.column(i).to_pylist() for i in (0, 1, 3))
-        data, offsets = text_buffer(batch.column(2))
-        for a, b in row_slices(offsets):
-            out = []
-            base = int(offsets[a])
-            for r, found in chunks(data, offsets[a : b + 1]):
-                for i in wanted[a + r] or ():
-                    x, y, _, key = found[i]
-                    out.append((ids[a + r], row_keys[a + r], i, key, data[base + x : base + y].tobytes().strip(b"\n")))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["doc_id", "row_key", "position", "chunk", "body"])
+            w = words_of(data, offsets[a : b + 1], line_table())
+            row = np.repeat(np.arange(a, b), np.diff(w.offsets))
+            at = np.flatnonzero(row[1:] == row[:-1])
+            row, text = row[at], data[offsets[a] : offsets[b]].tobytes()
+            keys = [blake2b(text[x:y], digest_size=16).digest() for x, y in zip(w.starts[at].tolist(), w.ends[at + 1].tolist(), strict=True)]
+            position = (at - w.offsets[row - a]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(row_keys[row], pa.int64()), pa.array(position), pa.array(keys, pa.binary())], ["doc_id", "row_key", "position", "pair"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,16 +96,21 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         missing = texts.is_null().to_pylist()
         data, offsets = text_buffer(texts)
         for a, b in row_slices(offsets):
-            kept = [None if missing[i] else data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
-            lines, n_chunks, lost = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
             base = int(offsets[a])
-            for r, found in chunks(data, offsets[a : b + 1]):
-                drop = set(gone[a + r] or ())
-                lines[r], n_chunks[r] = sum(x[2] for x in found), len(found)
-                lost[r] = sum(x[2] for i, x in enumerate(found) if i in drop)
-                if drop:
-                    kept[r] = b"".join(data[base + x : base + y].tobytes() for i, (x, y, _, _) in enumerate(found) if i not in drop).rstrip(b"\n")
-            removed = np.array([len(gone[i] or ()) for i in range(a, b)], np.int64)
+            kept = [None if missing[i] else data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
+            lines, n_chunks, removed, lost = (np.zeros(b - a, np.int64) for _ in range(4))
+            w = words_of(data, offsets[a : b + 1], line_table())
+            for r, found in chunks(data, offsets[a : b + 1], w):
+                lines[r], n_chunks[r] = w.offsets[r + 1] - w.offsets[r], len(found)
+                pairs = np.array(gone[a + r] or (), np.int64)
+                if len(pairs):
+                    drop = np.zeros(lines[r], bool)
+                    drop[pairs] = drop[pairs + 1] = True
+                    lost[r] = drop.sum()
+                    removed[r] = np.logical_or.reduceat(drop, np.cumsum([0, *[x[2] for x in found[:-1]]])).sum()
+                    # a line reaches to the next one, so that blank lines go with it
+                    cuts = np.concatenate(([offsets[a + r]], base + w.starts[w.offsets[r] + 1 : w.offsets[r + 1]], [offsets[a + r + 1]]))
+                    kept[r] = b"".join(data[cuts[i] : cuts[i + 1]].tobytes() for i in np.flatnonzero(~drop)).rstrip(b"\n")
             texts_out = pa.array([None if x is None else x.decode("utf-8") for x in kept], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x) for x in (lines, n_chunks, removed, lost)), texts_out], ["doc_id", "n_lines", "n_chunks", "n_removed", "n_removed_lines", "text"])
 
@@ -118,21 +118,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_chunks, n_removed, n_removed_lines, text) for every row of ``docs`` (doc_id, text)."""
     text = F.col("text").cast("string")
+    row = ["doc_id", "row_key"]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
-    places = stored(docs.where("doc_id is not null").mapInArrow(_places, "doc_id long, row_key long, position int, lines int, chunk long"), "chunks")
-    first = F.min(F.struct("doc_id", "row_key", "position")).alias("first")
-    repeats = stored(places.groupBy("chunk").agg(F.count("*").alias("n"), first).where("n > 1").drop("n"), "repeats")
-    inside = places.join(repeats, "chunk").groupBy("doc_id", "row_key").agg(F.collect_list("position").alias("wanted"))
-    inside = stored(inside, "wanted")
-    n, ids = inside.count(), inside.select("doc_id", "row_key")
-    if n <= BROADCAST_ROWS:
-        holding = docs.join(F.broadcast(inside), ["doc_id", "row_key"])
-    else:
-        holding = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, ["doc_id", "row_key"], "left_semi").join(inside, ["doc_id", "row_key"])
-    bodies = holding.select("doc_id", "row_key", "text", "wanted").mapInArrow(_bodies, "doc_id long, row_key long, position int, chunk long, body binary").join(repeats, "chunk")
-    bodies = stored(bodies.withColumn("is_first", F.struct("doc_id", "row_key", "position") == F.col("first")), "bodies")
-    kept = bodies.where("is_first").select("chunk", F.col("body").alias("first_body")).dropDuplicates(["chunk"])
-    gone = bodies.where("not is_first").join(kept, "chunk").where("body = first_body").groupBy("doc_id", "row_key").agg(F.collect_set("position").alias("gone"))
+    pairs = docs.where("doc_id is not null").select(*row, "text").mapInArrow(_pairs, "doc_id long, row_key long, position int, pair binary")
+    pairs = stored(pairs, "pairs")
+    first = F.min(F.struct(*row, "position")).alias("first")
+    repeats = pairs.groupBy("pair").agg(F.count("*").alias("n"), first).where("n > 1").select("pair", F.struct(*[f"first.{c}" for c in row]).alias("first"), F.col("first.position").alias("at"))
+    later = (F.struct(*row) != F.col("first")) | (F.col("position") > F.col("at") + 1)
+    gone = pairs.join(repeats, "pair").where(later).groupBy(*row).agg(F.collect_set("position").alias("gone"))
     gone = stored(gone, "gone")
-    marked = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["doc_id", "row_key"], "left")
+    marked = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left")
     return marked.select("doc_id", "text", "gone").mapInArrow(_without, "doc_id long, n_lines long, n_chunks long, n_removed long, n_removed_lines long, text string")

@@ -141,6 +141,19 @@ def test_repeated_passages_go(spark):
     assert line_chunks.drop_repeated_chunks(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_short_passages_go_whole(spark):
+    own = [[f"own line {j} of text {i}" for j in range(8)] for i in range(60)]
+    passages = [[f"line {j} of passage {p} that both have" for j in range(2 + p % 4)] for p in range(20)]
+    at = [(7 * i + p) % 9 for i in range(3) for p in range(20)]
+    texts = ["\n".join([*own[i][: at[i]], *passages[i % 20], *own[i][at[i] :]]) for i in range(60)]
+    got = by_id(line_chunks.drop_repeated_chunks(docs(spark, [*texts, texts[0], "long and alone " * 99, "long and alone " * 99, "x\nx\nx", "y\ny\ny\ny\ny"])))
+    assert all(got[i].text == texts[i] and got[i].n_removed_lines == 0 for i in range(20))
+    for i in range(20, 60):
+        assert got[i].text == "\n".join(own[i]) and got[i].n_removed_lines == len(passages[i % 20])
+    # a whole copy leaves nothing, a single line and a pair on its own first place stay
+    assert [got[i].text for i in range(60, 65)] == ["", "long and alone " * 99, "long and alone " * 99, "x\nx\nx", "y\ny"]
+
+
 def test_chunks_cover_every_byte():
     text = "\n\nfirst\nsecond\n\nthird\n" * 9
     data, offsets = text_buffer(pa.array([text, "", "x", text]))
