@@ -21,7 +21,8 @@ after ``MOST_LINES`` lines).  ``n_removed`` counts the chunks that lose lines.
 
 Null text stays null and has no lines; a row without id is never changed.  Empty lines belong to the line before
 them, leading ones to the first line.  A passage that repeats inside one document counts like any other.  Rows
-with equal ids take their places in the order of a hash of their text.  What is left of a
+with equal ids take their places in the order of a hash of their text; of rows with one id and one text one comes
+first and the others, which cannot be told apart, are copies of it.  What is left of a
 text keeps its line order; a text whose lines all go is empty.
 """
 
@@ -77,8 +78,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray, lines: Words | None = None) ->
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, row_keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        data, offsets = text_buffer(batch.column(2))
+        ids, row_keys, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        data, offsets = text_buffer(batch.column(3))
         for a, b in row_slices(offsets):
             w = words_of(data, offsets[a : b + 1], line_table())
             row = np.repeat(np.arange(a, b), np.diff(w.offsets))
@@ -86,7 +87,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, text = row[at], data[offsets[a] : offsets[b]].tobytes()
             keys = [blake2b(text[x:y], digest_size=16).digest() for x, y in zip(w.starts[at].tolist(), w.ends[at + 1].tolist(), strict=True)]
             position = (at - w.offsets[row - a]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(row_keys[row], pa.int64()), pa.array(position), pa.array(keys, pa.binary())], ["doc_id", "row_key", "position", "pair"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(row_keys[row]), pa.array(copies[row]), pa.array(position), pa.array(keys, pa.binary())], ["doc_id", "row_key", "copy", "position", "pair"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +116,28 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x) for x in (lines, n_chunks, removed, lost)), texts_out], ["doc_id", "n_lines", "n_chunks", "n_removed", "n_removed_lines", "text"])
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``copy``: 0 but for rows with one id and one text, which are numbered from 0."""
+    same = docs.where("doc_id is not null and text is not null").groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).where("n > 1")
+    same = stored(same.select("doc_id", "row_key"), "same")
+    n = same.count()
+    if not n:
+        return docs.withColumn("copy", F.lit(0))
+    same = F.broadcast(same) if n <= BROADCAST_ROWS else same
+    # one row and a count stand for equal rows: no window over them, and they are dealt out again by number
+    once = docs.where("text is not null").join(same, ["doc_id", "row_key"], "left_semi").groupBy("doc_id", "row_key", "text").agg(F.count("*").alias("n"))
+    copies = once.select("doc_id", "row_key", "text", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy")).repartition("doc_id", "row_key", "copy")
+    # a null id or text equals nothing: such rows stay on this side
+    others = docs.join(same.withColumn("_known", F.lit(True)), ["doc_id", "row_key"], "left").where("_known is null or text is null").drop("_known")
+    return others.withColumn("copy", F.lit(0)).unionByName(copies)
+
+
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_chunks, n_removed, n_removed_lines, text) for every row of ``docs`` (doc_id, text)."""
     text = F.col("text").cast("string")
-    row = ["doc_id", "row_key"]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
-    pairs = docs.where("doc_id is not null").select(*row, "text").mapInArrow(_pairs, "doc_id long, row_key long, position int, pair binary")
+    row = ["doc_id", "row_key", "copy"]
+    docs = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text")))
+    pairs = docs.where("doc_id is not null").select(*row, "text").mapInArrow(_pairs, "doc_id long, row_key long, copy int, position int, pair binary")
     pairs = stored(pairs, "pairs")
     first = F.min(F.struct(*row, "position")).alias("first")
     repeats = pairs.groupBy("pair").agg(F.count("*").alias("n"), first).where("n > 1").select("pair", F.struct(*[f"first.{c}" for c in row]).alias("first"), F.col("first.position").alias("at"))

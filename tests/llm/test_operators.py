@@ -154,6 +154,17 @@ def test_short_passages_go_whole(spark):
     assert [got[i].text for i in range(60, 65)] == ["", "long and alone " * 99, "long and alone " * 99, "x\nx\nx", "y\ny"]
 
 
+def test_blank_lines_and_equal_rows(spark):
+    lines = [f"line {i} of the passage" for i in range(9)]
+    spaced, dense = "\n\n".join(lines), "\n".join(lines)
+    # the first place has other blank lines than the later copies
+    rows = [(0, spaced), (1, dense), (2, dense), (3, dense), (None, dense), (None, dense)]
+    rows += [(7, "a\nb\nc")] * 3 + [(7, "d\ne")] * 2 + [(7, "own\nlines"), (7, None), (7, None), (8, "alone"), (8, "alone")]
+    out = line_chunks.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((r.doc_id, r.text) for r in out)
+    assert got == Counter([(0, spaced), (1, dense), (2, ""), (3, ""), (None, dense), (None, dense), (7, "a\nb\nc"), (7, ""), (7, ""), (7, "d\ne"), (7, ""), (7, "own\nlines"), (7, None), (7, None), (8, "alone"), (8, "alone")])
+
+
 def test_chunks_cover_every_byte():
     text = "\n\nfirst\nsecond\n\nthird\n" * 9
     data, offsets = text_buffer(pa.array([text, "", "x", text]))
