@@ -65,6 +65,6 @@ def st7_live_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         ticks = _stream(spark, sf_dir).withColumnRenamed("price", "close")
-        return shown(_run(spark, live.live_average(ticks), "average"))
+        return shown(_run(spark, live.live_average(ticks, tie=("tb",)), "average"))
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

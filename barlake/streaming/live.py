@@ -58,30 +58,42 @@ def inactivity_sessions(ticks: DataFrame, gap: str = "12 hours", delay: str = DE
     return grouped.agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("_w")
 
 
-def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str = "sid", ts: str = "ts", delay: str = DELAY) -> DataFrame:
+def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str = "sid", ts: str = "ts", delay: str = DELAY, tie: Sequence[str] = ()) -> DataFrame:
     """(sid, ts, close, average) of a stream, one state a series.
 
     Rows wait in the state until the watermark has passed them, and are then
-    taken in time order (one row a time: see ``drop_duplicates``); the average begins with the mean of n values and
-    recurs as in the batch operator.
+    taken in time order, rows of one time in the order of ``tie`` (nulls first) and then of arrival; the average
+    begins with the mean of n values and recurs as in the batch operator.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     k = 1.0 / n if wilder else 2.0 / (n + 1)
+    ties = [bars.schema[c] for c in tie]
+    held = T.StructType([T.StructField("close", T.DoubleType()), *[T.StructField(f"tie_{i}", f.dataType) for i, f in enumerate(ties)]])
+    # pandas turns whole numbers beside nulls into floats
+    kinds = [int if isinstance(f.dataType, T.IntegralType) else None for f in ties]
+
+    def plain(x: object, kind: type | None) -> object:
+        if x is None or x != x:
+            return None
+        return kind(x) if kind else x.item() if hasattr(x, "item") else x
 
     class Average(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.state = handle.getValueState("average", "n int, total double, value double, released long")
-            self.waiting = handle.getMapState("waiting", "at long", "close double")
+            self.arrived = handle.getValueState("arrived", "n long")
+            self.waiting = handle.getMapState("waiting", "at long, arrival long", held)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: ANN001, N802, N803
-            slots = set()
+            slots, arrived = set(), self.arrived.get()[0] if self.arrived.exists() else 0
             for pdf in rows:
-                for at, close in zip(pdf[ts], pdf["close"], strict=True):
+                for at, close, *of in zip(pdf[ts], pdf["close"], *[pdf[c] for c in tie], strict=True):
                     us = int(at.value // 1000)
-                    self.waiting.updateValue((us,), (None if close is None else float(close),))
+                    self.waiting.updateValue((us, arrived), (None if close is None else float(close), *map(plain, of, kinds)))
+                    arrived += 1
                     slots.add((us // TIMER_US + 1) * TIMER_US // 1000)
+            self.arrived.update((arrived,))
             for at in slots:
                 self.handle.registerTimer(at)
             return iter(())
@@ -94,8 +106,9 @@ def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str
             if released == limit:
                 return  # another timer of this watermark has taken all that was due
             out = []
-            for (at,), (close,) in sorted(x for x in self.waiting.iterator() if x[0][0] < limit * 1000):
-                self.waiting.removeKey((at,))
+            due = [(at, [(x is not None, x) for x in of], arrival, close) for (at, arrival), (close, *of) in self.waiting.iterator() if at < limit * 1000]
+            for at, _, arrival, close in sorted(due, key=lambda x: x[:3]):
+                self.waiting.removeKey((at, arrival))
                 if close is not None and close == close:
                     count, total = count + 1, total + close
                     value = None if count < n else total / n if count == n else (1 - k) * value + k * close
@@ -108,7 +121,7 @@ def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str
             pass
 
     schema = T.StructType([T.StructField(by, T.StringType()), T.StructField(ts, T.TimestampType()), T.StructField("close", T.DoubleType()), T.StructField("average", T.DoubleType())])
-    rows = bars.select(by, ts, "close").withWatermark(ts, delay)
+    rows = bars.select(by, ts, "close", *tie).withWatermark(ts, delay)
     return rows.groupBy(by).transformWithStateInPandas(Average(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 

@@ -126,3 +126,22 @@ def test_custom_feed(spark):
 
     spark.dataSource.register(registry.feed_source("squares", StructType([StructField("n", LongType())]), 3, lambda i: iter([(i * i,)])))
     assert sorted(r.n for r in spark.read.format("squares").load().collect()) == [0, 1, 4]
+
+
+def test_live_average_keeps_rows_of_one_time(spark, tmp_path):
+    from barlake.streaming import live
+
+    at = [START, START, START, START + timedelta(hours=1), START + timedelta(days=9)]
+    rows = [("a", t, c, k) for t, c, k in zip(at, [5.0, 1.0, 3.0, 9.0, 0.0], [3, None, 2, 1, 1], strict=True)]
+    spark.createDataFrame(rows, "sid string, ts timestamp, close double, tb long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for tie, closes in ((("tb",), [1.0, 3.0, 5.0, 9.0]), ((), [5.0, 1.0, 3.0, 9.0])):
+            ticks = live.stream_ticks(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+            out = str(tmp_path / f"out{len(tie)}")
+            live.metric_stream(live.live_average(ticks, 2, tie=tie), out, f"{out}-state").awaitTermination()
+            got = spark.read.parquet(out).collect()
+            assert len(got) == 4 and {r.close: r.average for r in got} == pytest.approx(dict(zip(closes, average(closes, 2, 2 / 3), strict=True)))
+    finally:
+        spark.conf.unset(key)
