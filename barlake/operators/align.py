@@ -64,11 +64,17 @@ def benchmark_on(days: DataFrame, benchmark: DataFrame, *, day: str = "day", val
     """The benchmark's value on the first of its days at or after each day; null past its end.
 
     Benchmarks are dated series of one row a day, so days are matched by an
-    equi-join with the day that each calendar day maps to.
+    equi-join with the day that each calendar day maps to.  All days before the
+    first of the benchmark map to that one, which is one row beside the others.
     """
+    benchmark = benchmark.where(F.col(day).isNotNull())
     spans = benchmark.select(F.col(day).alias("_to"), F.col(value)).withColumn("_from", F.lag("_to").over(W.orderBy("_to")))
-    mapped = spans.select(F.explode(F.sequence(F.coalesce(F.date_add("_from", 1), F.date_sub("_to", 3660)), "_to")).alias(day), F.col("_to").alias("benchmark_day"), value)
-    return days.join(mapped, day, "left")
+    mapped = spans.select(F.explode(F.sequence(F.coalesce(F.date_add("_from", 1), "_to"), "_to")).alias(day), F.col("_to").alias("benchmark_day"), value)
+    first = benchmark.agg(F.min(F.struct(F.col(day).alias("day"), F.col(value).alias("value"))).alias("_first"))
+    found = days.join(mapped, day, "left").crossJoin(F.broadcast(first))
+    early = F.col(day) < F.col("_first.day")
+    ends = {"benchmark_day": F.when(early, F.col("_first.day")).otherwise(F.col("benchmark_day")), value: F.when(early, F.col("_first.value")).otherwise(F.col(value))}
+    return found.withColumns(ends).drop("_first")
 
 
 def fills_with_orders(fills: DataFrame, orders: DataFrame, columns: Sequence[str] = ("sid",)) -> DataFrame:

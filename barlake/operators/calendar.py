@@ -41,14 +41,24 @@ def sessions(days: DataFrame, open_time: str, close_time: str, early: DataFrame
 
 
 def session_of(rows: DataFrame, table: DataFrame, ts: str = "ts") -> DataFrame:
-    """Rows with the session whose close is the first at or after their time (rolls past a day's close)."""
+    """Rows with the session whose close is the first at or after their time (rolls past a day's close).
+
+    Rows before the first session have that one, however long before it they are; rows after the last have none.
+    """
     from .align import asof
 
+    values = ["day", "open_ts", "close_ts"]
+    table = table.where("close_ts is not null")
+
     marks = table.select(F.lit(0).alias("_g"), F.col("close_ts").alias(ts), "day", "open_ts", F.col("close_ts").alias("_close"))
-    # one calendar for all rows: they are dealt by date, and a mark stands on every date up to its close
-    spread = marks.withColumn("_from", F.coalesce(F.date_add(F.to_date(F.lag(ts).over(W.orderBy(ts))), 0), F.date_sub(F.to_date(ts), 14)))
+    # one calendar for all rows: they are dealt by date, and a mark stands on every date from the last one up to its close
+    spread = marks.withColumn("_from", F.to_date(F.coalesce(F.lag(ts).over(W.orderBy(ts)), ts)))
     by_date = spread.select(F.explode(F.sequence("_from", F.to_date(ts))).alias("_date"), ts, "day", "open_ts", F.col("_close").alias("close_ts"))
-    return asof(rows.withColumn("_date", F.to_date(ts)), by_date, ["day", "open_ts", "close_ts"], by=("_date",), ts=ts, forward=True).drop("_date")
+    found = asof(rows.withColumn("_date", F.to_date(ts)), by_date, values, by=("_date",), ts=ts, forward=True).drop("_date")
+    # the first session is one row beside all others
+    found = found.crossJoin(F.broadcast(table.agg(F.min(F.struct("close_ts", "day", "open_ts")).alias("_first"))))
+    early = F.col(ts) <= F.col("_first.close_ts")
+    return found.select(*[c for c in rows.columns if c not in values], *[F.when(early, F.col(f"_first.{v}")).otherwise(F.col(v)).alias(v) for v in values])
 
 
 def period_closes(days: DataFrame) -> DataFrame:

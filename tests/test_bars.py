@@ -146,3 +146,18 @@ def test_calendar(spark):
     table = calendar.sessions(days, "09:30:00", "15:00:00", early)
     rows = spark.createDataFrame([(T("2024-01-05 11:00:00"),), (T("2024-01-05 12:30:00"),)], "ts timestamp")
     assert [r[1].day for r in collect(calendar.session_of(rows, table), "ts", "day")] == [5, 8]
+
+
+def test_rows_long_before_the_first_mark(spark):
+    days = calendar.trading_days(spark, "2024-01-01", "2024-01-10", holidays=["2024-01-02"])
+    rows = spark.createDataFrame([(1, T("1990-05-01 11:00:00")), (2, T("2023-10-01 11:00:00")), (3, T("2024-01-01 15:00:00")), (4, T("2024-01-01 15:00:01")), (5, T("2024-01-10 15:00:01")), (6, None)], "k int, ts timestamp")
+    got = calendar.session_of(rows, calendar.sessions(days, "09:30:00", "15:00:00"))
+    assert got.columns == ["k", "ts", "day", "open_ts", "close_ts"]
+    assert [(r.k, r.day and r.day.day, r.close_ts) for r in got.orderBy("k").collect()] == [
+        (1, 1, T("2024-01-01 15:00:00")), (2, 1, T("2024-01-01 15:00:00")), (3, 1, T("2024-01-01 15:00:00")), (4, 3, T("2024-01-03 15:00:00")), (5, None, None), (6, None, None),
+    ]
+    asked = spark.createDataFrame([("1980-01-01",), ("2024-01-01",), ("2024-01-05",), ("2024-01-09",), (None,)], "day string").select(F.to_date("day").alias("day"))
+    bm = spark.createDataFrame([("2024-01-01", 0.5), ("2024-01-08", 0.25)], "day string, ret double").select(F.to_date("day").alias("day"), "ret")
+    found = align.benchmark_on(asked, bm)
+    assert found.columns == ["day", "benchmark_day", "ret"]
+    assert {str(r.day): (r.benchmark_day and r.benchmark_day.day, r.ret) for r in found.collect()} == {"1980-01-01": (1, 0.5), "2024-01-01": (1, 0.5), "2024-01-05": (8, 0.25), "2024-01-09": (None, None), "None": (None, None)}
