@@ -1,7 +1,8 @@
 """Tables and files in the folder that driver and executors share.
 
-The folder is the one named in ``spark.checkpoint.dir``.  Only where that
-setting is absent (a local session in tests) a temporary folder is made.
+The folder is the one named in ``spark.checkpoint.dir``.  Only in a local
+session (tests) without that setting a temporary folder is made; a cluster
+without it is an error, since executors would write to their own disks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder; set once per session where the cluster names none."""
     found = spark.conf.get(_SETTING, "") or spark.sparkContext.getConf().get(_SETTING, "")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
@@ -40,7 +43,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables made by ``stored`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class SharedFile:

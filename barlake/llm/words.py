@@ -124,11 +124,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     last[:-1] &= ~word[1:]
     last[inner - 1] |= word[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Words(span_hashes(b, starts, ends), np.searchsorted(starts, rows), starts, ends)
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes (and the length) of each range of ``b``."""
+    n = len(b)
     up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(b * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
-    return Words(hashes, np.searchsorted(starts, rows), starts, ends)
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

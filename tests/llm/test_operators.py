@@ -438,20 +438,44 @@ def test_pieces_are_the_tokenizers_own(texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [encoder.encode_ordinary(t) for t in texts]
 
 
-def test_shards_hold_every_token_once(spark):
-    texts = [prose(i, 20 + i) for i in range(30)] + [None, "", "x"]
-    df = docs(spark, texts).repartition(3).sortWithinPartitions("doc_id")
+def test_a_full_piece_table_forgets(monkeypatch):
+    monkeypatch.setattr(token_shards, "PIECES", 40)
+    encoder = token_shards._encoder(TOKENIZER, token_shards.Tokenizer.PATTERN)
+    tokenizer = token_shards.Tokenizer(TOKENIZER)
+    for seed in range(6):
+        text = f"{prose(seed, 60)} own{seed}piece {seed}"
+        data, offsets = text_buffer(pa.array([text, text[:30]]))
+        ids, bounds = tokenizer.rows(data, offsets)
+        assert ids[: bounds[1]].tolist() == encoder.encode_ordinary(text) and ids[bounds[1] :].tolist() == encoder.encode_ordinary(text[:30])
+
+
+def test_shards_hold_every_token_once(spark, tmp_path):
+    texts = [prose(i, 20 + i) for i in range(30)] + [None, "", "x", prose(5, 900), "x", "x"]
+    rows = [(i if i < 34 else None if i == 34 else 3, t, 1, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot int, part string")
+    df.repartition(3).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    parts = [[(r.doc_id, r.text) for r in part] for part in df.rdd.glom().collect()]
     out = token_shards.materialise(df, TOKENIZER, length=16, per_shard=7, waves=2).orderBy("slot").collect()
     assert [r.slot for r in out] == list(range(len(out)))
+    # brute force: pack every partition, then put each sequence at its slot
     encoder = token_shards._encoder(TOKENIZER, token_shards.Tokenizer.PATTERN)
-    want, got = Counter(), Counter()
-    for t in texts:
-        want.update([*encoder.encode_ordinary(t or ""), 50256])
-    for r in out:
+    packed = []
+    for part in parts:
+        flat = [(i, doc) for doc, t in part for i in [*encoder.encode_ordinary(t or ""), 50256]]
+        packed += [flat[a : a + 16] for a in range(0, len(flat), 16)]
+    slots = token_shards.feistel(np.arange(len(packed)), len(packed)).tolist()
+    want = [packed[i] for i in np.argsort(slots)]
+    raws = []
+    for r, seq in zip(out, want, strict=True):
         fs, path = pa.fs.FileSystem.from_uri(r.uri)
         with fs.open_input_file(path) as f:
-            raw = f.read_at(32, r.byte_offset)
-        assert (r.shard, r.byte_offset, r.crc32) == (r.slot // 7, r.slot % 7 * 32, zlib.crc32(raw))
-        got.update(np.frombuffer(raw, np.uint16)[: r.n_ids].tolist())
-    assert got == want and {d for r in out for d in r.doc_ids} == set(range(len(texts)))
+            raws.append(f.read_at(32, r.byte_offset))
+        assert (r.shard, r.byte_offset, r.crc32) == (r.slot // 7, r.slot % 7 * 32, zlib.crc32(raws[-1]))
+        ids = np.frombuffer(raws[-1], np.uint16).tolist()
+        assert ids == [i for i, _ in seq] + [50256] * (16 - len(seq)) and r.n_ids == len(seq)
+        assert set(r.doc_ids) == {d for _, d in seq}
+    folder = out[0].uri.rpartition("/")[0]
+    for slot in (0, 6, 7, 8, len(out) - 1, len(out)):
+        assert [x.tobytes() for x in token_shards.read_from(folder, slot)] == raws[slot:]
     assert token_shards.materialise(df.where("false"), TOKENIZER).count() == 0
