@@ -156,6 +156,24 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageFilter
     return LanguageFilters(languages, masks, index[usual])
 
 
+def accepted(docs: DataFrame, filters: LanguageFilters, least: float) -> DataFrame:
+    """The rows of ``docs``, whatever else it holds, whose text is in a learned language with at least that share of its n-grams."""
+    held, at = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(at))
+            for a, b in row_slices(offsets):
+                keep = np.zeros(b - a, bool)
+                if model.languages:
+                    rates, has = model.rates(data, offsets[a : b + 1])
+                    keep = has & (rates.max(axis=1) >= least)
+                yield batch.slice(a, b - a).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(filters)

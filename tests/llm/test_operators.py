@@ -318,6 +318,33 @@ def test_near_duplicates_are_brute_force(spark):
     assert near_dup.near_duplicates(docs(spark, texts).where("false")).count() == 0
 
 
+def test_near_duplicate_rows_and_ids(spark):
+    base = prose(5, 60)
+    near, other = edited(base, 7, 1), prose(6, 60)
+    # id 5 stands on two texts, one of them near id 1; equal rows; rows without id; very long texts
+    long = prose(8, 40_000)
+    rows = [(1, base), (5, near), (5, other), (9, other), (9, other), (None, base), (None, prose(77, 30)), (None, prose(77, 30)), (7, ""), (7, ""), (11, long), (12, edited(long, 3, 50)), (None, None)]
+    table = spark.createDataFrame([(i, t, 0, 1, "x") for i, t in rows], "doc_id long, text string, node long, band int, component_id string").repartition(3)
+    out = near_dup.near_duplicates(table).collect()
+    want = Counter([(1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False), (9, 5, False), (None, 1, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (11, 11, True), (12, 11, False), (None, None, True)])
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in out) == want
+    kept = near_dup.one_of_each(table)
+    assert kept.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, base), (5, other), (None, prose(77, 30)), (7, ""), (7, ""), (11, long), (None, None)])
+    assert near_dup.one_of_each(table.where("false")).count() == 0
+
+
+def test_remaining_links_in_stripes(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(near_dup, "STRIPE", 2)
+    monkeypatch.setattr(near_dup, "ROUNDS", 1)
+    monkeypatch.setattr(near_dup, "BROADCAST_BYTES", 0)
+    base = prose(1, 150)
+    texts = [edited(base, i, 2 + i % 7) for i in range(70)]
+    got = by_id(near_dup.near_duplicates(docs(spark, texts)))
+    assert [got[i].component_id for i in range(70)] == brute_components(texts)[0]
+
+
 def test_likelihood_tells_similar_from_not():
     rng = np.random.default_rng(3)
     for share, want in ((0.9, True), (0.78, True), (0.3, False)):
