@@ -265,8 +265,10 @@ def brute_hits(texts, items, n=13):
 @pytest.mark.parametrize("block_words", [4_000_000, 60])
 def test_decontamination_is_brute_force(spark, block_words):
     items = [(i, prose(i, 14 + i)) for i in range(8)] + [(20, "tiny item here"), (21, None), (22, "  "), (None, "another tiny item text"), (1, prose(1, 15))]
+    items += [(30, "a " * 200), (31, "b c " * 60), (32, "a " * 200), (32, "a " * 200)]
     body = prose(3, 17)
-    texts = [f"{prose(50, 40)} {body} {prose(51, 9)} tiny item here {body}", body, " ".join(body.split()[:12]), "tiny ITEM, here!", None, "", prose(60, 500), "another tiny item text", body.upper(), f"{body} {body} {body}"]
+    texts = ["a " * 3000, "x " + "b c " * 900, "a " * 12 + "c b " * 7, prose(1, 15), prose(3, 20_000)]
+    texts += [f"{prose(50, 40)} {body} {prose(51, 9)} tiny item here {body}", body, " ".join(body.split()[:12]), "tiny ITEM, here!", None, "", prose(60, 500), "another tiny item text", body.upper(), f"{body} {body} {body}"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontam.contaminated_spans(docs(spark, texts), bench, block_words=block_words))
     want = brute_hits(texts, items)
@@ -274,6 +276,18 @@ def test_decontamination_is_brute_force(spark, block_words):
     verdict = by_id(decontam.decontaminate(docs(spark, texts), bench))
     assert [verdict[i].contaminated for i in range(len(texts))] == [h > 0 and 20 * h >= n for n, h, _ in want]
     assert decontam.contaminated_spans(docs(spark, texts), bench.where("false")).where("size(spans) > 0").count() == 0
+    assert decontam.decontaminate(docs(spark, texts).where("false"), bench).count() == 0
+    table = spark.createDataFrame([(None if i % 3 else i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, item_id long, spans string")
+    left = [i for i, (n, h, _) in enumerate(want) if not (h > 0 and 20 * h >= n)]
+    assert sorted(r.item_id for r in decontam.uncontaminated(table, bench).collect()) == left
+
+
+def test_repeated_words_stay_linear():
+    index = decontam.Index.of([1], pa.array(["a " * 200]), 13, 6)
+    data, offsets = text_buffer(pa.array(["a " * 500_000]))
+    w = words_of(data, offsets, alnum_table())
+    start, _, _, item = index.hits(w, np.zeros(500_000, np.int64), 13, 6)
+    assert len(start) == 500_000 - 12 and item.tolist() == [0]
 
 
 # --- 6 near duplicates -----------------------------------------------------------------------
