@@ -11,40 +11,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm import decontam, langid, mixing, near_dup, token_shards
-from barlake.llm.shared import stored
+from barlake.llm.shared import dropped, stored
 
 #: A text of which less than this share of n-grams belongs to any language is rejected.
 LEAST_LANGUAGE = 0.3
-#: Ids up to this count (8 bytes each) are sent to all executors; beyond it they are shuffled.
-BROADCAST_IDS = 4_000_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``ids``."""
-    ids = stored(ids.select("doc_id").distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters or in no known language go."""
-    found = langid.identify(docs, langid.fit(docs))
-    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE)), "no-language")
+    """Texts without letters or in no known language go.
+
+    Each row is judged by its own text: nulls and empty texts go, equal rows
+    fare alike, an id decides nothing but whether its row is in the sample.
+    """
+    return langid.accepted(docs, langid.fit(docs), LEAST_LANGUAGE)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return _without(docs, near_dup.near_duplicates(docs).where("not kept"), "copies")
+    """One document of each near-duplicate group stays: that of the smallest id, rows without id last.
+
+    Of rows equal in id and text one stays.  Texts without words are no copies
+    of one another.
+    """
+    return near_dup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with enough of a benchmark's passages go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.decontaminate(docs, items).where("contaminated"), "contaminated")
+    """Documents of whose words a twentieth or more stand in passages of the benchmark go.
+
+    Each row is judged by its own text; null and word-less texts stay.
+    """
+    return decontam.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them."""
+    """Documents stand as often as the mix takes them.
+
+    The hash of a row's id decides, so rows with equal ids (or without one) of
+    a source are taken alike; a text without words counts nothing and follows
+    the same rule.
+    """
     plan = mixing.thresholds(stored(mixing.sizes(docs), "sizes"))
     rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))  # whatever its columns are called
     taken = mixing.with_copies(rows, plan).where("copies > 0")
@@ -52,7 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences in training order."""
+    """Token sequences in training order; a null or empty text is its end id alone."""
     return token_shards.materialise(docs, TOKENIZER)
 
 
@@ -69,6 +75,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            dropped(before)
+        before = docs
+    out = stored(STAGES[-1][1](spark, docs, sf_dir), "stage-tokens")
+    dropped(before)
+    return out
