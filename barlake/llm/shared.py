@@ -15,6 +15,15 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Rows of an Arrow batch: with texts of a few thousand bytes the usual 10,000 fill a worker and the JVM's buffers.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``ARROW_ROWS`` rows; queries and stages over texts call it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:

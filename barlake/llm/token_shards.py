@@ -291,6 +291,7 @@ def materialise(docs: DataFrame, tokenizer: str, end_id: int = 50256, vocabulary
     def slot_of(part: pa.Array, number: pa.Array) -> pa.Array:
         return pa.array(feistel(starts[part.to_numpy()] + number.to_numpy(), n, seed))
 
+    slot_of = slot_of.asNondeterministic()  # it is not; else the filter below would compute it once more
     n_shards = -(-n // per_shard)
     out = []
     for wave in range(waves := max(1, min(waves, n_shards))):
