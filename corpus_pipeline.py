@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm import decontam, langid, mixing, near_dup, token_shards
-from barlake.llm.shared import dropped, stored
+from barlake.llm.shared import bounded_batches, dropped, stored
 
 #: A text of which less than this share of n-grams belongs to any language is rejected.
 LEAST_LANGUAGE = 0.3
@@ -24,6 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Each row is judged by its own text: nulls and empty texts go, equal rows
     fare alike, an id decides nothing but whether its row is in the sample.
     """
+    bounded_batches(spark)
     return langid.accepted(docs, langid.fit(docs), LEAST_LANGUAGE)
 
 
@@ -33,6 +34,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Of rows equal in id and text one stays.  Texts without words are no copies
     of one another.
     """
+    bounded_batches(spark)
     return near_dup.one_of_each(docs)
 
 
@@ -41,6 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Each row is judged by its own text; null and word-less texts stay.
     """
+    bounded_batches(spark)
     return decontam.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -59,6 +62,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences in training order; a null or empty text is its end id alone."""
+    bounded_batches(spark)
     return token_shards.materialise(docs, TOKENIZER)
 
 
