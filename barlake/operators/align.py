@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.windows import BY
+from ..functions.windows import BY, carried
 
 
 def asof(left: DataFrame, right: DataFrame, values: Sequence[str], *, by: Sequence[str] = BY, ts: str = "ts", strict: bool = False, forward: bool = False, tie: Sequence[str] = ()) -> DataFrame:
@@ -49,8 +49,7 @@ def shared_clock(feeds: Mapping[str, DataFrame], value: str = "close", *, by: Se
         all_ = all_.unionByName(df)
     # feeds that advance together share a row
     rows = all_.groupBy(*by, ts).agg(*[F.max(k).alias(k) for k in feeds])
-    w = W.partitionBy(*by or [F.lit(0)]).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
-    return rows.select(*by, ts, *[F.last(k, True).over(w).alias(k) for k in feeds])
+    return carried(rows.select(*by, ts, *feeds), list(feeds), by, ts)
 
 
 def equal_times(left: DataFrame, right: DataFrame, *, on: Sequence[str] = ("ts",), suffixes: tuple[str, str] = ("_l", "_r")) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.windows import BY, series
+from .stepwise import stepwise
 
 # Board and lot by symbol prefix.
 BOARDS = (("688", 2, 200), ("3", 1, 100), ("4", 3, 100), ("8", 3, 100))
@@ -129,22 +131,27 @@ def twap_schedule(orders: DataFrame, bars: DataFrame, lot_size: int = LOT, **opt
 def carry_small(slices: DataFrame, least: float = LEAST_NOTIONAL) -> DataFrame:
     """Slices of an order below ``least`` in value accumulate to a later bar; the last bar takes what is left.
 
-    What is carried depends on what was released, so one order's bars (of one
-    day) go through one task in time order.
+    What is carried depends on what was released, so an order's bars go through
+    one step at a time, in time order.
     """
 
-    def run(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values("bar_ts")
-        out, held = [], 0
-        for i, (n, price) in enumerate(zip(pdf["target"], pdf["bar_close"], strict=True)):
-            held += n
-            go = i == len(pdf) - 1 or held * price >= least
-            out.append(held if go else 0)
-            held = 0 if go else held
-        pdf["target"] = out
-        return pdf[pdf["target"] > 0]
-
-    return slices.select("order_id", "bar_ts", "target", "bar_close").groupBy("order_id").applyInPandas(run, T.StructType([slices.schema[c] for c in ("order_id", "bar_ts", "target", "bar_close")]))
+    def fresh():  # noqa: ANN202
+        held = 0
+
+        def step(row: dict) -> tuple | None:
+            nonlocal held
+            held += row["target"]
+            if not row["_last"] and held * row["bar_close"] < least:
+                return None
+            out, held = held, 0
+            return (out, row["bar_close"]) if out > 0 else None
+
+        return step
+
+    last = F.row_number().over(W.partitionBy("order_id").orderBy(F.col("bar_ts").desc())) == 1
+    rows = slices.select("order_id", "bar_ts", "target", "bar_close", last.alias("_last"))
+    columns = [("target", T.LongType(), pa.int64()), ("bar_close", T.DoubleType(), pa.float64())]
+    return stepwise(rows, fresh, columns, by=("order_id",), ts="bar_ts")
 
 
 def slip(price: Column, is_buy: Column, day_low: Column, day_high: Column, percent: float = 0.0, fixed: float = 0.0) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions.buckets import at_time, in_session
 from ..functions.windows import BY, series
 from ..sources.schema import PRICES
 from .scan import affine_scan
+from .stepwise import stepwise
 
 
 def session_filter(bars: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
@@ -142,47 +144,43 @@ def heikin_ashi(bars: DataFrame, *, by: Sequence[str] = BY, order: Sequence[str]
 def renko(bars: DataFrame, *, by: Sequence[str] = BY, ts: str = "ts", size: float | None = None, autosize: float = 20.0, align: float = 1.0, hilo: bool = False, dynamic: bool = False, round_start: bool = True) -> DataFrame:
     """Bricks of a fixed size (or the first open / ``autosize``): at most one a bar, volume 0, other bars dropped.
 
-    Bounds lie one size around the first open.  A price at or beyond a bound
-    draws the brick that begins there; the bound becomes the opposite one.  A
-    brick depends on all before it: a series' rows go through one task in time
-    order.
+    Prices lie on a ladder of levels one size apart around the first open.  The
+    band of a series is a rung of it; a price at or beyond the band's upper
+    level moves the band up by one and draws the new rung upwards, one at or
+    below its lower level moves it down and draws downwards.  Before the first
+    brick the band is two rungs wide.  With ``dynamic`` a brick's size follows
+    its price.  A bar without close, or before the first open, draws nothing.
     """
 
-    def bricks(pdf):  # noqa: ANN001, ANN202  a series' bars in, its bricks out
-        import pandas as pd
+    def fresh():  # noqa: ANN202
+        low = high = height = None
+
+        def step(row: dict) -> tuple | None:
+            nonlocal low, high, height
+            if row["close"] is None:
+                return None
+            if low is None:
+                if row["open"] is None:
+                    return None
+                origin = round(row["open"] / align) * align
+                height = size or float(origin // autosize)
+                origin = int(origin) if round_start else origin
+                low, high = origin - height, origin + height
+            way = 1 if row["high" if hilo else "close"] >= high else -1 if row["low" if hilo else "close"] <= low else 0
+            if not way:
+                return None
+            begin = high if way > 0 else low
+            end = begin + way * height
+            if dynamic and size is None:
+                height = float(row["close"] // autosize)
+                end = round((begin + way * height) / align) * align
+            low, high = min(begin, end), max(begin, end)
+            return float(begin), float(high), float(low), float(end), 0.0
 
-        out, bounds, step = [], None, size
+        return step
 
-        def drawn(base: float, way: int, price: float) -> float:
-            """The brick's far end."""
-            nonlocal step
-            if dynamic and size is None:
-                step = float(price // autosize)
-                return round((base + way * step) / align) * align
-            return base + way * step
-
-        for r in pdf.sort_values(ts).itertuples(index=False):
-            if pd.isna(r.close) or (bounds is None and pd.isna(r.open)):
-                continue
-            if bounds is None:
-                start = round(r.open / align) * align
-                step = size or float(start // autosize)
-                start = int(start) if round_start else start
-                bounds = (start - step, start + step)
-            high, low = (r.high, r.low) if hilo else (r.close, r.close)
-            if high >= bounds[1]:
-                base, end = bounds[1], drawn(bounds[1], 1, r.close)
-                bounds = (base, end)
-            elif low <= bounds[0]:
-                base, end = bounds[0], drawn(bounds[0], -1, r.close)
-                bounds = (end, base)
-            else:
-                continue
-            out.append((*[getattr(r, k) for k in by], getattr(r, ts), float(base), float(max(base, end)), float(min(base, end)), float(end), 0.0))
-        return pd.DataFrame(out, columns=[*by, ts, *PRICES, "volume"])
-
-    schema = T.StructType([bars.schema[c] for c in (*by, ts)] + [T.StructField(c, T.DoubleType()) for c in (*PRICES, "volume")])
-    return bars.select(*by, ts, *PRICES).groupBy(*by).applyInPandas(bricks, schema)
+    columns = [(c, T.DoubleType(), pa.float64()) for c in (*PRICES, "volume")]
+    return stepwise(bars.select(*by, ts, *PRICES), fresh, columns, by=by, ts=ts)
 
 
 def apply_filters(bars: DataFrame, filters: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

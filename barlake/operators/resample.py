@@ -57,6 +57,22 @@ def resample(
     return compress(out, compression, by=by, ts=ts, extra=extra) if unit in PERIODS and compression > 1 else out
 
 
+def calendar_bars(df: DataFrame, closes: DataFrame, *, by: Sequence[str] = BY, ts: str = "ts", tie: Sequence[str] = (), extra: Sequence[str] = (), session_end: str | None = None) -> DataFrame:
+    """Bars that end with the days of ``closes`` (day), such as a calendar's last trading days of weeks, months or years.
+
+    A row belongs to the first of those days at or after its own; rows after
+    the last one make a bar that is still open.  Stamps as for ``resample``.
+    """
+    from .align import benchmark_on
+
+    days = df.select(F.to_date(ts).alias("day")).distinct()
+    closing = benchmark_on(days, closes.select("day").distinct().withColumn("ret", F.lit(1.0)))
+    keyed = df.withColumn("day", F.to_date(ts)).join(closing.select("day", F.col("benchmark_day").alias("_key")), "day")
+    bars = keyed.groupBy(*by, "_key").agg(*bar_aggregates(ts, tie, extra))
+    stamp = F.col("last_ts") if session_end is None else at_time(F.to_date("last_ts"), session_end)
+    return bars.select(*by, stamp.alias(ts), *FIELDS, *extra)
+
+
 def compress(df: DataFrame, n: int, *, by: Sequence[str] = BY, ts: str = "ts", tie: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
     """Every ``n`` rows of a series as one bar, stamped with the last; the rest at the end is one too."""
     group = F.floor((position(by, (ts, *tie)) - 1) / n)
@@ -75,5 +91,19 @@ def preset(df: DataFrame, name: str, compression: int = 1, **options: object) ->
 
 
 def timeframes(df: DataFrame, frames: Sequence[tuple[str, int]], **options: object) -> dict[tuple[str, int], DataFrame]:
-    """The same source at several frames; cache ``df`` if its scan is dear."""
-    return {(unit, n): resample(df, unit, n, **options) for unit, n in frames}
+    """The same source at several frames; a sub-day frame is made from a finer one that divides it, not from the source.
+
+    Bars at right edges keep what a coarser bar needs: firsts, lasts, extremes
+    and sums.  Options that move stamps off those edges make each frame anew.
+    """
+    plain = not set(options) - {"by", "tie", "extra"}
+    by = tuple(options.get("by", BY))
+    out: dict[tuple[str, int], DataFrame] = {}
+    for unit, n in sorted(frames, key=lambda f: SECONDS.get(f[0], 10**9) * f[1]):
+        width = SECONDS.get(unit, 0) * n
+        finer = [f for f in out if width and plain and width % (SECONDS[f[0]] * f[1]) == 0 and 86_400 % (SECONDS[f[0]] * f[1]) == 0]
+        if finer:
+            out[unit, n] = resample(out[finer[-1]], unit, n, by=by, extra=options.get("extra", ()))
+        else:
+            out[unit, n] = resample(df, unit, n, **options)
+    return {f: out[f] for f in frames}

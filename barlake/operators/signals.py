@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from ..functions.windows import BY, ORDER, before, expanding, series
 from .cross import cross_down, cross_up
 from .recursive import ema, macd, rsi
 from .rolling import highest, lowest, sma
+from .stepwise import stepwise
 
 
 def _all(columns: Sequence[str], test: Callable[[Column], Column]) -> Column:
@@ -147,27 +149,24 @@ def trailing_stop(df: DataFrame, enter: str, distance: str, *, by: Sequence[str]
 
 
 def trailing_stop_positions(df: DataFrame, enter: str, distance: str, *, by: Sequence[str] = BY, ts: str = "ts") -> DataFrame:
-    """Positions where an entry acts only while flat and a stop re-arms it: each step needs the last one.
+    """Positions where an entry acts only while flat and a stop re-arms it: each step needs the last one."""
 
-    A series' rows go through one task in time order.
-    """
+    def fresh():  # noqa: ANN202
+        stop = None
+
+        def step(row: dict) -> tuple:
+            nonlocal stop
+            close, gap = row["close"], row[distance]
+            if stop is not None and close is not None:
+                stop = None if close < stop else stop if gap is None else max(stop, close - gap)
+            elif stop is None and row[enter] and close is not None and gap is not None:
+                stop = close - gap
+            return int(stop is not None), stop
+
+        return step
 
-    def run(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values(ts)
-        held, stop, out = False, None, []
-        for go, close, gap in zip(pdf[enter], pdf["close"], pdf[distance], strict=True):
-            if held and close < stop:
-                held = False
-            elif held:
-                stop = max(stop, close - gap) if gap == gap else stop
-            elif go and gap == gap and gap is not None:
-                held, stop = True, close - gap
-            out.append((int(held), stop if held else None))
-        pdf["position"], pdf["stop"] = [x for x, _ in out], [y for _, y in out]
-        return pdf[[*by, ts, "position", "stop"]]
-
-    schema = T.StructType([df.schema[c] for c in (*by, ts)] + [T.StructField("position", T.IntegerType()), T.StructField("stop", T.DoubleType())])
-    return df.select(*by, ts, enter, distance, "close").groupBy(*by).applyInPandas(run, schema)
+    columns = [("position", T.IntegerType(), pa.int32()), ("stop", T.DoubleType(), pa.float64())]
+    return stepwise(df.select(*by, ts, enter, distance, "close"), fresh, columns, by=by, ts=ts)
 
 
 def parameter_grid(df: DataFrame, grid: Mapping[str, Sequence[object]]) -> DataFrame:

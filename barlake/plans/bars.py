@@ -18,19 +18,19 @@ def rs1_hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(hour_bars(spark, sf_dir))
 
 
-@query(f"WITH ticks AS ({EVENTS}), k AS (SELECT sid, {edge('ts', 900)} AS e, min(ts) AS a, max(price) AS high, sum(volume) AS volume FROM ticks GROUP BY sid, {edge('ts', 900)}) SELECT sid, {t('e - INTERVAL 15 MINUTE', 'ts')}, {r('high')}, {r('volume')} FROM k")
+@query(f"WITH ticks AS ({EVENTS}), k AS (SELECT sid, {edge('ts', 900)} AS e, arg_min(price, (ts, tb)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, tb)) AS close, sum(volume) AS volume FROM ticks GROUP BY sid, {edge('ts', 900)}) SELECT sid, {t('e - INTERVAL 15 MINUTE', 'ts')}, {r('open')}, {r('high')}, {r('low')}, {r('close')}, {r('volume')} FROM k")
 def rs2_left_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = resample.resample(src.ticks_as_bars(event_ticks(spark, sf_dir)), "minutes", 15, tie=("tb",), right_edge=False)
-    return shown(bars, "sid", "ts", "high", "volume")
+    return shown(bars, "sid", "ts", "open", "high", "low", "close", "volume")
 
 
 _CUT = f"CASE WHEN strftime(ts, '%H:%M:%S') < '15:00:00' OR ts = date_trunc('day', ts) + INTERVAL 15 HOUR THEN least({edge('ts', 7200)}, date_trunc('day', ts) + INTERVAL 15 HOUR) ELSE {edge('ts', 7200)} END"
 
 
-@query(f"WITH ticks AS ({EVENTS}), k AS (SELECT *, {_CUT} AS e FROM ticks) SELECT sid, {t('e', 'ts')}, {r('max(price)', 'high')}, {r('min(price)', 'low')}, {r('sum(volume)', 'volume')} FROM k GROUP BY sid, e")
+@query(f"WITH ticks AS ({EVENTS}), k AS (SELECT *, {_CUT} AS e FROM ticks) SELECT sid, {t('e', 'ts')}, {r('arg_min(price, (ts, tb))', 'open')}, {r('max(price)', 'high')}, {r('min(price)', 'low')}, {r('arg_max(price, (ts, tb))', 'close')}, {r('sum(volume)', 'volume')} FROM k GROUP BY sid, e")
 def rs3_session_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = resample.resample(src.ticks_as_bars(event_ticks(spark, sf_dir)), "hours", 2, tie=("tb",), session_end="15:00:00")
-    return shown(bars, "sid", "ts", "high", "low", "volume")
+    return shown(bars, "sid", "ts", "open", "high", "low", "close", "volume")
 
 
 @query(f"{DAYS}SELECT sid, {t('ts + INTERVAL 15 HOUR', 'ts')}, {OHLC} FROM bars")
@@ -68,10 +68,10 @@ def rs11_period_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(table(spark, sf_dir, "events").select("event_id", *[period_end(F.col("ts"), u).alias(u) for u in ("days", "weeks", "months", "years", "hours")]))
 
 
-@query(f"WITH ticks AS ({EVENTS}) SELECT 'hours' AS frame, count(DISTINCT (sid, {edge('ts', 3600)})) AS n FROM ticks UNION ALL SELECT 'minutes', count(DISTINCT (sid, {edge('ts', 300)})) FROM ticks")
+@query(f"WITH ticks AS ({EVENTS}) SELECT f AS frame, sid, {t('e', 'ts')}, {r('arg_min(price, (ts, tb))', 'open')}, {r('max(price)', 'high')}, {r('min(price)', 'low')}, {r('arg_max(price, (ts, tb))', 'close')}, {r('sum(volume)', 'volume')} FROM (SELECT *, 'hours' AS f, {edge('ts', 3600)} AS e FROM ticks UNION ALL SELECT *, 'minutes', {edge('ts', 300)} FROM ticks) x GROUP BY f, sid, e")
 def rs12_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = resample.timeframes(src.ticks_as_bars(event_ticks(spark, sf_dir)), [("hours", 1), ("minutes", 5)], tie=("tb",))
-    return sinks.union_all([df.agg(F.count("*").alias("n")).select(F.lit(unit).alias("frame"), "n") for (unit, _), df in frames.items()])
+    return shown(sinks.union_all([df.select(F.lit(unit).alias("frame"), "sid", "ts", "open", "high", "low", "close", "volume") for (unit, _), df in frames.items()]))
 
 
 # --- sources ----------------------------------------------------------------------
@@ -82,10 +82,10 @@ def src10_range_and_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(src.select_range(event_ticks(spark, sf_dir), "2024-01-05", "2024-01-12", ["click", "view"]).select("sid", "ts", F.col("price").alias("close")))
 
 
-@query(f"{DAYS}, f AS (SELECT sid, ts, close, CASE WHEN ts < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS feed FROM bars WHERE volume > 10), m AS (SELECT sid, max(ts) AS seen FROM f WHERE feed = 0 GROUP BY sid) SELECT f.sid, {t('f.ts', 'ts')}, {r('f.close', 'close')} FROM f LEFT JOIN m ON f.sid = m.sid WHERE f.feed = 0 OR m.seen IS NULL OR f.ts > m.seen")
+@query(f"{DAYS}, f AS (SELECT sid, ts, close, CASE WHEN ts < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS feed FROM bars), m AS (SELECT sid, max(ts) AS seen FROM f WHERE feed = 0 GROUP BY sid) SELECT f.sid, {t('f.ts', 'ts')}, {r('f.close', 'close')} FROM f LEFT JOIN m ON f.sid = m.sid WHERE f.feed = 0 OR m.seen IS NULL OR f.ts > m.seen")
 def src8_chained_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = day_bars(spark, sf_dir).where("volume > 10").select("sid", "ts", "close")
-    return shown(src.chain([bars.where("ts < timestamp '1998-01-01'"), bars.where("ts >= timestamp '1997-06-01'").where("ts >= timestamp '1998-01-01'")]))
+    bars = day_bars(spark, sf_dir).select("sid", "ts", "close")
+    return shown(src.chain([bars.where("ts < timestamp '1998-01-01'"), bars.where("ts >= timestamp '1997-06-01'")]))
 
 
 @query(f"WITH ticks AS ({TICKS}), k AS (SELECT *, row_number() OVER (PARTITION BY sid, ts ORDER BY tb) AS n FROM ticks) SELECT sid, {t()}, {r('price')} FROM k WHERE n = 1")
@@ -246,7 +246,10 @@ def fl9_ohl_then_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(fill.ohl_then_close(day_bars(spark, sf_dir)), "sid", "part", "ts", "close", "volume")
 
 
-@query()
+_BRICKS = f"{DAYS}, n AS (SELECT sid, ts, close, round(arg_min(open, ts) OVER (PARTITION BY sid ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS s, row_number() OVER (PARTITION BY sid ORDER BY ts) AS i FROM bars), k AS (SELECT sid, ts, i, s, NULL::INT AS was, CASE WHEN close >= s + 500 THEN 1 WHEN close <= s - 500 THEN -2 END AS k FROM n WHERE i = 1 UNION ALL SELECT n.sid, n.ts, n.i, n.s, k.k, CASE WHEN k.k IS NULL THEN CASE WHEN n.close >= n.s + 500 THEN 1 WHEN n.close <= n.s - 500 THEN -2 END WHEN n.close >= n.s + (k.k + 1) * 500 THEN k.k + 1 WHEN n.close <= n.s + k.k * 500 THEN k.k - 1 ELSE k.k END FROM k JOIN n ON n.sid = k.sid AND n.i = k.i + 1), b AS (SELECT sid, ts, k > coalesce(was, 0) AS up, s + k * 500 AS low, s + (k + 1) * 500 AS high FROM k WHERE k IS DISTINCT FROM was)"
+
+
+@query(f"{_BRICKS} SELECT sid, {t()}, {r('CASE WHEN up THEN low ELSE high END', 'open')}, {r('high')}, {r('low')}, {r('CASE WHEN up THEN high ELSE low END', 'close')}, 0.0e0 AS volume FROM b")
 def fl11_renko(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(fill.renko(day_bars(spark, sf_dir).withColumn("sid", F.col("sid")), size=500.0))
 
@@ -298,12 +301,12 @@ def jn6_fills_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.fills_with_orders(fills, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("sid")))
 
 
-_OT = "o AS (SELECT event_id AS order_id, event_type AS sid, ts AS created_dt FROM events WHERE event_id % 3 = 0)"
+_OT = "o AS (SELECT event_id AS order_id, event_type AS sid, ts AS created_dt FROM events)"
 
 
 @query(f"{HOURS}, {_OT} SELECT o.order_id, o.sid, {t('min(b.ts)', 'bar_ts')} FROM o LEFT JOIN bars b ON b.sid = o.sid AND b.ts >= o.created_dt AND b.ts::DATE = o.created_dt::DATE GROUP BY o.order_id, o.sid")
 def jn7_first_bar_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     orders = e.select(F.col("event_id").alias("order_id"), F.col("event_type").alias("sid"), F.col("ts").alias("created_dt"))
     return shown(align.first_bar_after(orders, hour_bars(spark, sf_dir)), "order_id", "sid", "bar_ts")
 

@@ -67,7 +67,10 @@ def sg8_trailing_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(signals.trailing_stop(rows, "go", "gap"), "sid", "ts", "stop", "stopped")
 
 
-@query()
+_STOP = f"{DAYS}, n AS (SELECT sid, ts, close, volume > 45 AS go, row_number() OVER (PARTITION BY sid ORDER BY ts) AS i FROM bars), st AS (SELECT sid, ts, i, CASE WHEN go THEN close - 800 END AS stop FROM n WHERE i = 1 UNION ALL SELECT n.sid, n.ts, n.i, CASE WHEN st.stop IS NULL THEN CASE WHEN n.go THEN n.close - 800 END WHEN n.close >= st.stop THEN greatest(st.stop, n.close - 800) END FROM st JOIN n ON n.sid = st.sid AND n.i = st.i + 1)"
+
+
+@query(f"{_STOP} SELECT sid, {t()}, (stop IS NOT NULL)::BIGINT AS position, {r('stop')} FROM st")
 def sg8_trailing_stop_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = day_bars(spark, sf_dir).withColumns({"go": F.col("volume") > 45, "gap": F.lit(800.0)})
     return shown(signals.trailing_stop_positions(rows, "go", "gap"))
@@ -156,12 +159,12 @@ def tx4_reference_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(day_bars(spark, sf_dir).withColumns({k: execution.reference_price(F.lit(v), F.lit(0.1)) for k, v in rules.items()}), "sid", "ts", *rules)
 
 
-_ORD = "o AS (SELECT event_id AS order_id, event_type AS sid, ts AS created_dt, (event_id % 20 + 1) AS size, value * CASE WHEN event_id % 2 = 0 THEN 0.9e0 ELSE 1.1e0 END AS pricelimit, event_id % 2 = 0 AS is_buy FROM events WHERE event_id % 5 = 0)"
+_ORD = "o AS (SELECT event_id AS order_id, event_type AS sid, ts AS created_dt, (event_id % 20 + 1) AS size, value * CASE WHEN event_id % 2 = 0 THEN 0.9e0 ELSE 1.1e0 END AS pricelimit, event_id % 2 = 0 AS is_buy FROM events)"
 _MET = f"{HOURS}, {_ORD}, met AS (SELECT o.*, b.ts AS bar_ts, b.open, b.high, b.low, b.close, b.volume FROM o JOIN bars b ON b.sid = o.sid AND b.ts::DATE = o.created_dt::DATE AND b.ts >= o.created_dt)"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events")
     even = F.col("event_id") % 2 == 0
     return e.select(F.col("event_id").alias("order_id"), F.col("event_type").alias("sid"), F.col("ts").alias("created_dt"), (F.col("event_id") % 20 + 1).alias("size"), (F.col("value") * F.when(even, 0.9).otherwise(1.1)).alias("pricelimit"), even.alias("is_buy"))
 
@@ -202,7 +205,10 @@ def tx10_twap_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(execution.twap_schedule(_orders(spark, sf_dir), hour_bars(spark, sf_dir), 2), "order_id", "bar_ts", "target")
 
 
-@query()
+_CARRY = _schedule("volume").replace("WITH ", "WITH RECURSIVE ", 1).replace("WITH RECURSIVE RECURSIVE", "WITH RECURSIVE").rpartition(" SELECT order_id")[0] + ", sl AS (SELECT z.order_id, z.bar_ts, z.target, met.close, row_number() OVER (PARTITION BY z.order_id ORDER BY z.bar_ts) AS i, count(*) OVER (PARTITION BY z.order_id) AS n FROM z JOIN met ON met.order_id = z.order_id AND met.bar_ts = z.bar_ts WHERE z.target > 0), cs AS (SELECT order_id, bar_ts, i, n, target AS held, i = n OR target * close >= 500 AS go FROM sl WHERE i = 1 UNION ALL SELECT sl.order_id, sl.bar_ts, sl.i, sl.n, CASE WHEN cs.go THEN 0 ELSE cs.held END + sl.target, sl.i = sl.n OR (CASE WHEN cs.go THEN 0 ELSE cs.held END + sl.target) * sl.close >= 500 FROM cs JOIN sl ON sl.order_id = cs.order_id AND sl.i = cs.i + 1)"
+
+
+@query(f"{_CARRY} SELECT order_id, {t('bar_ts')}, held::BIGINT AS target FROM cs WHERE go")
 def tx11_carry_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     slices = execution.vwap_schedule(_orders(spark, sf_dir), hour_bars(spark, sf_dir), 2)
     return shown(execution.carry_small(slices, 500.0), "order_id", "bar_ts", "target")
@@ -225,17 +231,17 @@ def tx13_commission(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-@query("WITH f AS (SELECT l_orderkey AS order_id, sum(l_quantity)::BIGINT AS filled FROM lineitem WHERE l_linenumber < 4 GROUP BY l_orderkey), o AS (SELECT o_orderkey AS order_id, (20 + o_orderkey % 80) AS size FROM orders) SELECT o.order_id, coalesce(filled, 0) AS filled, CASE WHEN coalesce(filled, 0) >= size THEN 'completed' WHEN coalesce(filled, 0) > 0 THEN 'partial' ELSE 'open' END AS status FROM o LEFT JOIN f USING (order_id)")
+@query("WITH f AS (SELECT l_orderkey AS order_id, sum(l_quantity)::BIGINT AS filled FROM lineitem GROUP BY l_orderkey), o AS (SELECT o_orderkey AS order_id, (60 + o_orderkey % 240) AS size FROM orders) SELECT o.order_id, coalesce(filled, 0) AS filled, CASE WHEN coalesce(filled, 0) >= size THEN 'completed' WHEN coalesce(filled, 0) > 0 THEN 'partial' ELSE 'open' END AS status FROM o LEFT JOIN f USING (order_id)")
 def tx26_order_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fills = table(spark, sf_dir, "lineitem").where("l_linenumber < 4").select(F.col("l_orderkey").alias("order_id"), F.col("l_quantity").cast("long").alias("executed_size"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), (20 + F.col("o_orderkey") % 80).alias("size"))
+    fills = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_quantity").cast("long").alias("executed_size"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), (60 + F.col("o_orderkey") % 240).alias("size"))
     return execution.order_status(orders, fills).select("order_id", "filled", "status")
 
 
-@query("WITH f AS (SELECT l_orderkey AS order_id, sum(l_quantity)::BIGINT AS done FROM lineitem WHERE l_linenumber < 4 GROUP BY l_orderkey) SELECT o_orderkey AS order_id, (20 + o_orderkey % 80) - coalesce(done, 0) AS remaining FROM orders LEFT JOIN f ON f.order_id = o_orderkey WHERE (20 + o_orderkey % 80) - coalesce(done, 0) > 0")
+@query("WITH f AS (SELECT l_orderkey AS order_id, sum(l_quantity)::BIGINT AS done FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS order_id, (60 + o_orderkey % 240) - coalesce(done, 0) AS remaining FROM orders LEFT JOIN f ON f.order_id = o_orderkey WHERE (60 + o_orderkey % 240) - coalesce(done, 0) > 0")
 def al7_pending_sells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fills = table(spark, sf_dir, "lineitem").where("l_linenumber < 4").select(F.col("l_orderkey").alias("order_id"), F.col("l_quantity").cast("long").alias("executed_size"))
-    planned = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), (20 + F.col("o_orderkey") % 80).alias("size"))
+    fills = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_quantity").cast("long").alias("executed_size"))
+    planned = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), (60 + F.col("o_orderkey") % 240).alias("size"))
     return allocate.pending_sells(planned, fills).select("order_id", "remaining")
 
 
@@ -294,10 +300,10 @@ def tx21_mergers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ledger.apply_mergers(pos, dim), "id", "sid", "size", "cost_basis")
 
 
-@query(f"WITH {_FILLS}, m AS (SELECT experiment_id, sid, sum(CASE WHEN is_buy THEN q ELSE -q END)::BIGINT AS size FROM fills GROUP BY experiment_id, sid) SELECT * FROM m WHERE size <> 0")
+@query(f"WITH {_FILLS}, m AS (SELECT experiment_id, sid, sum(CASE WHEN is_buy THEN q ELSE -q END)::BIGINT AS size, sum(CASE WHEN is_buy THEN q ELSE -q END * p) AS paid FROM fills GROUP BY experiment_id, sid) SELECT experiment_id, sid, size, {r('paid / size', 'cost_basis')} FROM m WHERE size <> 0")
 def tx22_merge_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _fills(spark, sf_dir).select("experiment_id", "sid", F.when(F.col("is_buy"), F.col("executed_size")).otherwise(-F.col("executed_size")).alias("size"), F.col("executed_price").alias("cost_basis"))
-    return ledger.drop_flat(ledger.merge_positions(f)).select("experiment_id", "sid", "size")
+    return shown(ledger.drop_flat(ledger.merge_positions(f)), "experiment_id", "sid", "size", "cost_basis")
 
 
 @query(f"WITH {_FILLS} SELECT experiment_id, order_id::VARCHAR AS ref, {r('1000000 + sum(CASE WHEN is_buy THEN -q * p ELSE q * p END - comm) OVER (PARTITION BY experiment_id ORDER BY executed_dt, order_id::VARCHAR ROWS UNBOUNDED PRECEDING)', 'cash').replace('+ 3e-08, 6)', '+ 0.0013, 2)')} FROM fills")

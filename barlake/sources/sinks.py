@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.windows import carried
+
 #: Rows a file of a written table holds at most.
 ROWS_PER_FILE = 5_000_000
 #: Conflict keys of the persisted tables.
@@ -46,8 +47,7 @@ def metric_pivot(log: DataFrame, metrics: Sequence[str], by: Sequence[str] = (),
     """Last value of each metric by time, wide and carried forward; rows before the first ``need`` go."""
     order = arrival if arrival in log.columns else "value"
     wide = log.groupBy(*by, "ts").pivot("metric", list(metrics)).agg(F.max_by("value", order))
-    w = W.partitionBy(*by or [F.lit(0)]).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    return wide.select(*by, "ts", *[F.last(m, True).over(w).alias(m) for m in metrics]).dropna(subset=[need])
+    return carried(wide.select(*by, "ts", *metrics), list(metrics), by, "ts").dropna(subset=[need])
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder, or in a temporary one where none is set."""
+    """A fresh path in the cluster's shared folder; only a local session without one gets a temporary folder."""
     found = spark.conf.get(_SETTING, "") or spark.sparkContext.getConf().get(_SETTING, "")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_SETTING, found)
     return f"{found.rstrip('/')}/barlake-{name}-{uuid.uuid4().hex[:12]}"

@@ -131,6 +131,37 @@ def day_triggers(ticks: DataFrame, delay: str = DELAY, *, by: Sequence[str] = BY
     return ticks.withColumn("eod_ts", day_end).withWatermark("eod_ts", delay).groupBy(*by, "eod_ts").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
 
 
+def periodic_triggers(ticks: DataFrame, every: str, delay: str = DELAY, *, by: Sequence[str] = BY) -> DataFrame:
+    """One row a series and stretch of ``every`` (metric or risk checks), when the watermark passes its end."""
+    grouped = ticks.withWatermark("ts", delay).groupBy(*by, F.window("ts", every).alias("_w"))
+    return grouped.agg(F.count("*").alias("n"), F.max("ts").alias("last_ts")).select(*by, F.col("_w.end").alias("trigger_ts"), "n", "last_ts")
+
+
+def split_late(stream: DataFrame, delivered: DataFrame, path: str, late_path: str, checkpoint: str, *, by: Sequence[str] = BY) -> StreamingQuery:
+    """Rows after what their series has delivered (by, last_ts) go to ``path``, the others to ``late_path``.
+
+    A micro-batch is written as a version of its own under both paths, so a
+    repeated batch overwrites itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        for rows, to in zip(late_rows(batch, delivered, by=by), (path, late_path), strict=True):
+            rows.select(*batch.columns).write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hand_over(history: DataFrame, stream: DataFrame, path: str, checkpoint: str, *, by: Sequence[str] = BY) -> StreamingQuery:
+    """Writes the history to ``path``, then the rows of the stream that come after each series' end of it."""
+    history.select(*stream.columns).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    last = history.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch=-1").groupBy(*by).agg(F.max("ts").alias("last_ts"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        late_rows(batch, last, by=by)[0].select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def metric_stream(log: DataFrame, path: str, checkpoint: str, kind: str = "parquet", once: bool = True) -> StreamingQuery:
     """Writes a metric stream to parquet, csv or json files."""
     writer = log.writeStream.format(kind).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
