@@ -14,8 +14,12 @@ belongs to a language if it occurs in at least ``MIN_SHARE`` of the sampled
 documents and at least ``MIN_RATIO`` as often as in its strongest language.
 
 Null text, empty text and text without a letter: ``und``, score 0.  Text with
-letters but no known n-gram: the most frequent learned language, score 0.
-Rows without label are not learned from; without any label all is ``und``.
+letters but no known n-gram: the most frequent learned language, score 0; of
+languages with equal shares (or equally many rows) the first by code point.
+Rows without label or text are not learned from; without any label all is
+``und``.  Repeated rows count as often as they stand and are judged alike, rows
+without id too (they share one place in the sample).  Further columns are not
+read.
 """
 
 from __future__ import annotations

@@ -4,9 +4,15 @@ Templates and texts are words (A-Z lower-cased, ASCII digits, letters and all
 non-ASCII characters) in five-word shingles.  Templates are grouped by size:
 class W holds those of W/2 < n <= W shingles.  A text is cut into blocks of W/4
 shingles and a window is five consecutive blocks, so any stretch of W shingles
-lies inside a window.  A template of which three quarters occur in a window has
-a Jaccard similarity of at least 0.27 with it; each of ``HASHES`` MinHash values
-is a band of its own, so it is retrieved with probability 1 - 0.73^64 > 1 - 2e-9.
+lies inside a window.
+
+Each shingle is hashed once; the low bits name one of ``BINS`` bins, and the
+least hash of a bin is a MinHash value and a band of its own.  A template of
+which three quarters occur in a window has a Jaccard similarity of at least 0.27
+with it.  Templates of more than ``BINS`` shingles fill 50 bins or more of the
+union, each of which collides with that probability, so one is missed with
+probability 0.73^50 < 2e-7.  Smaller templates would leave bins empty; for them
+every shingle is a value of its own (a bin for each), so that none is missed.
 Block minima of one class are merged to those of the next.
 
 A retrieved pair counts if the window holds at least ``CONTAINMENT`` of the
@@ -14,11 +20,14 @@ template's distinct shingles.  Templates of fewer than five words are one
 shingle of their own length.
 
 Null or word-less text has no matches; null or word-less templates match
-nothing.  Repeated rows are judged alike; of templates with one id each counts.
+nothing.  Repeated rows are judged alike, rows without id too; of templates with
+one id each counts.  Time is linear in the text, whatever it repeats.  Further
+columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import alnum_table, grams, row_slices, text_buffer, words_of
+from .words import alnum_table, grams, mix, row_slices, text_buffer, words_of
 
 K = 5
-HASHES = 64
+BINS = 64
 CONTAINMENT = 0.75
 #: Templates travel with the task; more than this many words of them are refused.
 MOST_WORDS = 2_000_000
-_rng = np.random.default_rng(20240607)
-_A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _MAX = np.uint32(0xFFFFFFFF)
 
 # Notices of public licenses.
@@ -68,21 +74,46 @@ TEMPLATES = {
         "following disclaimer in the documentation and/or other materials provided with the distribution."
     ),
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-3-clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "lgpl-3.0-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your "
+        "option) any later version."
+    ),
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for "
+        "any purpose, commercial or non-commercial, and by any means."
+    ),
+    "cc0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
 
-def _minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """MinHash values (one row a hash) of the stretches that begin at ``starts``."""
-    low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((HASHES, len(starts)), np.uint32)
-    for i in range(HASHES):
-        out[i] = np.minimum.reduceat(low * _A[i] + high * _B[i], starts)
+def _minima(shingles: np.ndarray, stretch: np.ndarray, n: int) -> np.ndarray:
+    """MinHash values (one row a bin) of ``n`` stretches, given each shingle's stretch."""
+    h = mix(shingles)
+    out = np.full((BINS, n), _MAX, np.uint32)
+    np.minimum.at(out.ravel(), (h & np.uint64(BINS - 1)).astype(np.int64) * n + stretch, (h >> np.uint64(33)).astype(np.uint32))
     return out
 
 
 class Templates:
-    """Templates by class, with the MinHash values that retrieve them."""
+    """Templates by class, with the values that retrieve them."""
 
     def __init__(self, named: list[tuple[str, str]]):
         self.names: list[str] = []
@@ -104,10 +135,12 @@ class Templates:
             self.classes.setdefault(max(4, 1 << (len(h) - K).bit_length()), []).append(t)
         self.values = {}
         for size, members in self.classes.items():
-            values = np.concatenate([_minima(self.sets[t], np.zeros(1, np.int64)) for t in members], axis=1)
-            flags = np.zeros((HASHES, 1 << 16), bool)
-            flags[np.arange(HASHES)[:, None], values & np.uint32(0xFFFF)] = True
-            self.values[size] = values, flags
+            if size <= BINS:  # every shingle: sorted, and whose it is
+                flat, owner = np.concatenate([self.sets[t] for t in members]), np.repeat(np.arange(len(members)), [len(self.sets[t]) for t in members])
+                order = np.argsort(flat, kind="stable")
+                self.values[size] = flat[order], owner[order]
+            else:
+                self.values[size] = np.concatenate([_minima(self.sets[t], np.zeros(len(self.sets[t]), np.int64), 1) for t in members], axis=1)
 
     def matches(self, hashes: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
         """Per row: (template, first word, end word, containment)."""
@@ -121,22 +154,30 @@ class Templates:
                 r = int(row[p])
                 out[r] += [(t, p - int(offsets[r]), p - int(offsets[r]) + n, 1.0) for x, t in listed if x == int(g[p])]
         long = np.flatnonzero(np.diff(offsets) >= K)
-        if not self.classes or not len(long):
-            return out
-        g = grams(hashes, K)
-        counts = np.diff(offsets)[long] - K + 1
-        first = np.cumsum(counts) - counts  # of each long row among the shingles inside rows
-        at = np.repeat(offsets[long] - first, counts) + np.arange(int(counts.sum()))
-        shingles = g[at]
-        size = min(self.classes)
-        block = max(1, size // 4)
+        if self.classes and len(long):
+            counts = np.diff(offsets)[long] - K + 1
+            first = np.cumsum(counts) - counts  # of each long row among the shingles inside rows
+            at = np.repeat(offsets[long] - first, counts) + np.arange(int(counts.sum()))
+            self._long_matches(grams(hashes, K)[at], first, counts, long, out)
+        return [_distinct(x) for x in out]
+
+    def _long_matches(self, shingles: np.ndarray, first: np.ndarray, counts: np.ndarray, long: np.ndarray, out: list) -> None:
+        owner = np.repeat(np.arange(len(counts)), counts)
+        for size in [x for x in self.classes if x <= BINS]:
+            for t, r, b in self._sharing(size, shingles, owner, first, counts):
+                self._verify(t, r, b, size // 4, shingles, first, counts, long, out)
+        if max(self.classes) <= BINS:
+            return
+        size = min(x for x in self.classes if x > BINS)
+        block = size // 4
         n_blocks = -(-counts // block)
         begin = np.cumsum(n_blocks) - n_blocks
-        starts = np.repeat(first, n_blocks) + block * (np.arange(int(n_blocks.sum())) - np.repeat(begin, n_blocks))
-        minima = _minima(shingles, starts)
+        minima = _minima(shingles, begin[owner] + (np.arange(len(owner)) - first[owner]) // block, int(n_blocks.sum()))
         while True:
             if size in self.classes:
-                self._class_matches(size, block, minima, n_blocks, begin, first, counts, long, shingles, out)
+                for k, b in self._colliding(size, minima, n_blocks):
+                    r = int(np.searchsorted(begin, b, side="right")) - 1
+                    self._verify(self.classes[size][k], r, b - int(begin[r]), block, shingles, first, counts, long, out)
             if size >= max(self.classes):
                 break
             halves = -(-n_blocks // 2)
@@ -144,38 +185,54 @@ class Templates:
             pairs = np.repeat(begin, halves) + 2 * (np.arange(int(halves.sum())) - np.repeat(heads, halves))
             minima = np.minimum.reduceat(minima, pairs, axis=1)
             n_blocks, begin, block, size = halves, heads, block * 2, size * 2
-        return [_distinct(x) for x in out]
 
-    def _class_matches(self, size, block, minima, n_blocks, begin, first, counts, long, shingles, out) -> None:
+    def _sharing(self, size: int, shingles: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, row, window) of all windows that share a shingle with a small template."""
+        values, whose = self.values[size]
+        low, high = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
+        at = np.flatnonzero(low < high)
+        n = (high - low)[at]
+        p = np.repeat(at, n)
+        k = whose[np.repeat(low[at] - (np.cumsum(n) - n), n) + np.arange(len(p))]
+        r = owner[p]
+        block = (p - first[r]) // (size // 4)
+        found = np.unique(np.concatenate([np.stack((k, r, block - j))[:, block >= j] for j in range(5)], axis=1), axis=1)
+        return [(self.classes[size][k], r, b) for k, r, b in found.T.tolist()]
+
+    def _colliding(self, size: int, minima: np.ndarray, n_blocks: np.ndarray) -> list[tuple[int, int]]:
+        """(member of the class, window) whose bands collide."""
         owner = np.repeat(np.arange(len(n_blocks)), n_blocks)
         window = minima.copy()
         for j in range(1, 5):
             if j < len(owner):
                 near = np.where(owner[j:] == owner[:-j], minima[:, j:], _MAX)
                 np.minimum(window[:, :-j], near, out=window[:, :-j])
-        values, flags = self.values[size]
-        maybe = np.zeros(len(owner), bool)
-        for i in range(HASHES):
-            maybe |= flags[i][window[i] & np.uint32(0xFFFF)]
-        for b in np.flatnonzero(maybe).tolist():
-            for k in np.flatnonzero((window[:, b, None] == values).any(axis=0)).tolist():
-                t, r = self.classes[size][k], int(owner[b])
-                x = int(first[r]) + block * (b - int(begin[r]))
-                y = min(x + 5 * block, int(first[r] + counts[r]))
-                hit = np.isin(shingles[x:y], self.sets[t])
-                share = len(np.unique(shingles[x:y][hit])) / len(self.sets[t])
-                if share >= CONTAINMENT:
-                    places = np.flatnonzero(hit) + x - int(first[r])
-                    out[int(long[r])].append((t, int(places[0]), int(places[-1]) + K, share))
+        found = []
+        for k, value in enumerate(self.values[size].T):
+            same = (window == value[:, None]) & (value[:, None] != _MAX)
+            found += [(k, b) for b in np.flatnonzero(same.any(axis=0)).tolist()]
+        return found
+
+    def _verify(self, t: int, r: int, b: int, block: int, shingles: np.ndarray, first: np.ndarray, counts: np.ndarray, long: np.ndarray, out: list) -> None:
+        """Adds the match of a template in window ``b`` of a row, if enough of it is there."""
+        x = int(first[r]) + block * b
+        y = min(x + 5 * block, int(first[r] + counts[r]))
+        hit = np.isin(shingles[x:y], self.sets[t])
+        share = len(np.unique(shingles[x:y][hit])) / len(self.sets[t])
+        if share >= CONTAINMENT:
+            places = np.flatnonzero(hit) + x - int(first[r])
+            out[int(long[r])].append((t, int(places[0]), int(places[-1]) + K, share))
 
 
 def _distinct(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
     """Of overlapping matches of one template the fullest and then shortest stays."""
-    kept: list[tuple[int, int, int, float]] = []
-    for m in sorted(found, key=lambda x: (x[0], -x[3], x[2] - x[1], x[1])):
-        if not any(m[0] == k[0] and m[1] < k[2] and k[1] < m[2] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+    kept: dict[int, list[tuple[int, int, float]]] = {}
+    for t, a, b, share in sorted(set(found), key=lambda x: (x[0], -x[3], x[2] - x[1], x[1])):
+        own = kept.setdefault(t, [])  # disjoint and in order, so that only neighbours can overlap
+        i = bisect_left(own, (a,))
+        if not (i < len(own) and own[i][0] < b) and not (i and own[i - 1][1] > a):
+            own.insert(i, (a, b, share))
+    return sorted(((t, *x) for t, own in kept.items() for x in own), key=lambda x: (x[1], x[2], x[0]))
 
 
 MATCH = "array<struct<template_id:string,start:int,end:int,containment:double>>"

@@ -13,7 +13,7 @@ stays.  The first place of a pair may lose one of its lines where that line
 belongs to another pair that stands still earlier.
 
 Only digests and places are shuffled to find repeats; texts do not move unless
-more than ``BROADCAST_ROWS`` rows lose lines.
+the lines to go exceed ``BROADCAST_BYTES``.
 
 ``n_chunks`` counts chunks with content-defined boundaries: a rolling hash over
 the last two line hashes closes a chunk where it is 0 modulo ``ONE_IN`` (and
@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import dropped, stored
 from .words import Words, line_table, mix, row_slices, text_buffer, words_of
 
 ONE_IN = 3
 LEAST_LINES, MOST_LINES = 2, 64
-#: Rows with their lists of places up to this count are sent to all executors; beyond it rows are shuffled.
-BROADCAST_ROWS = 250_000
+#: Rows with their lists of places are sent to all executors up to this size, at ROW_BYTES a row and 4 bytes a place; beyond it rows are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 120
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, lines: Words | None = None) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
@@ -123,7 +123,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     n = same.count()
     if not n:
         return docs.withColumn("copy", F.lit(0))
-    same = F.broadcast(same) if n <= BROADCAST_ROWS else same
+    same = F.broadcast(same) if n * ROW_BYTES <= BROADCAST_BYTES else same
     # one row and a count stand for equal rows: no window over them, and they are dealt out again by number
     once = docs.where("text is not null").join(same, ["doc_id", "row_key"], "left_semi").groupBy("doc_id", "row_key", "text").agg(F.count("*").alias("n"))
     copies = once.select("doc_id", "row_key", "text", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy")).repartition("doc_id", "row_key", "copy")
@@ -141,8 +141,12 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     pairs = stored(pairs, "pairs")
     first = F.min(F.struct(*row, "position")).alias("first")
     repeats = pairs.groupBy("pair").agg(F.count("*").alias("n"), first).where("n > 1").select("pair", F.struct(*[f"first.{c}" for c in row]).alias("first"), F.col("first.position").alias("at"))
+    # written, so that the join below has nothing but rows on both sides and a very common pair can be split
+    repeats = stored(repeats, "repeats")
     later = (F.struct(*row) != F.col("first")) | (F.col("position") > F.col("at") + 1)
     gone = pairs.join(repeats, "pair").where(later).groupBy(*row).agg(F.collect_set("position").alias("gone"))
     gone = stored(gone, "gone")
-    marked = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left")
+    places = gone.select(F.sum(F.size("gone") * 4 + ROW_BYTES)).first()[0] or 0
+    marked = docs.join(F.broadcast(gone) if places <= BROADCAST_BYTES else gone, row, "left")
+    dropped(repeats, pairs)
     return marked.select("doc_id", "text", "gone").mapInArrow(_without, "doc_id long, n_lines long, n_chunks long, n_removed long, n_removed_lines long, text string")

@@ -20,8 +20,14 @@ Scoring tasks map the shards (files of a remote store are read one shard at a
 time) and look up their sorted distinct pairs, so memory does not grow with
 the model.
 
+The order is two, so a successor's id is relative to what its own context's
+range follows; ids by rank within a shorter context begin with a third level,
+which is not built.
+
 Null or empty text: the end token alone.  Repeated rows count as often as they
-stand.  Without training rows every token is unknown: N = V = 0.
+stand, and rows without id score like others.  A text of any length is scored
+whole, its slice held in memory.  Further columns are not read.  Without
+training rows every token is unknown: N = V = 0.
 """
 
 from __future__ import annotations
@@ -217,15 +223,15 @@ def _vocabulary(texts: DataFrame, n: int) -> Vocabulary:
             _write(f"{folder}/{s}", [*EliasFano.of(keys).words(), *EliasFano.of(runs).words()])
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (s, len(keys), int(runs[-1]))], ["shard", "types", "tokens"])
 
-    counted = texts.mapInArrow(count, "shard int, keys binary, counts binary").repartition(n, "shard")
+    counted = texts.mapInArrow(count, "shard int, keys binary, counts binary").repartitionById(n, F.col("shard"))
     made = stored(counted.mapInArrow(build, "shard long, types long, tokens long"), "lm1-index").toArrow()
     types, tokens = np.zeros(n, np.int64), np.zeros(n, np.int64)
     types[made["shard"].to_numpy()], tokens[made["shard"].to_numpy()] = made["types"].to_numpy(), made["tokens"].to_numpy()
     return Vocabulary(folder, np.concatenate(([0], np.cumsum(types))), np.concatenate(([0], np.cumsum(tokens))))
 
 
-def _successors(texts: DataFrame, vocabulary: Vocabulary, n: int) -> str:
-    """Builds level 2 and returns its folder."""
+def _successors(texts: DataFrame, vocabulary: Vocabulary, n: int) -> tuple[str, np.ndarray]:
+    """Builds level 2; its folder, and which of the ``n`` shards hold anything."""
     folder = new_folder(texts.sparkSession, "lm2")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +281,11 @@ def _successors(texts: DataFrame, vocabulary: Vocabulary, n: int) -> str:
             _write(f"{folder}/{s}", [np.array([h[0], h[-1]], np.uint64), *EliasFano.of(pointers.astype(np.uint64)).words(), *chain.words(), book, np.array([len(pad) // 8], np.uint64), pad])
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (s, len(keys))], ["shard", "pairs"])
 
-    counted = texts.mapInArrow(count, "shard int, first long, contexts binary, words binary, counts binary").repartition(n, "shard")
-    stored(counted.mapInArrow(build, "shard long, pairs long"), "lm2-index").count()
-    return folder
+    counted = texts.mapInArrow(count, "shard int, first long, contexts binary, words binary, counts binary").repartitionById(n, F.col("shard"))
+    made = stored(counted.mapInArrow(build, "shard long, pairs long"), "lm2-index").toArrow()
+    there = np.zeros(n, bool)
+    there[made["shard"].to_numpy()] = True
+    return folder, there
 
 
 def _found(uri: str, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,6 +316,7 @@ class TrieModel:
     vocabulary: Vocabulary
     folder: str
     shards: int
+    there: np.ndarray
 
     def log_probabilities(self, t: _Tokens) -> np.ndarray:
         """log10 p of each token after its context."""
@@ -318,28 +327,21 @@ class TrieModel:
         context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         hit, value = np.zeros(len(keys), bool), np.zeros(len(keys))
         cuts = np.searchsorted(shard, np.arange(self.shards + 1))
-        for s in range(self.shards):
+        for s in np.flatnonzero(self.there & (cuts[1:] > cuts[:-1])).tolist():
             a, b = int(cuts[s]), int(cuts[s + 1])
-            if a < b and _exists(uri := f"{self.folder}/{s}"):
-                hit[a:b], value[a:b] = _found(uri, context[a:b], word[a:b])
+            hit[a:b], value[a:b] = _found(f"{self.folder}/{s}", context[a:b], word[a:b])  # a missing file is an error
         out[known] = np.where(hit[back], value[back], out[known])
         return out
 
 
-def _exists(uri: str) -> bool:
-    if uri in _mapped:
-        return True
-    fs, at = pa.fs.FileSystem.from_uri(uri)
-    return fs.get_file_info(at).type == pa.fs.FileType.File
-
-
 def fit(texts: DataFrame) -> TrieModel:
     """A model of the column ``text`` of all rows."""
     texts = texts.select(F.col("text").cast("string").alias("text"))
     size = texts.select(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     vocabulary = _vocabulary(texts, max(1, math.ceil(size / SHARD_1)))
     shards = max(1, math.ceil(size / SHARD_2))
-    return TrieModel(vocabulary, _successors(texts, vocabulary, shards), shards)
+    folder, there = _successors(texts, vocabulary, shards)
+    return TrieModel(vocabulary, folder, shards, there)
 
 
 def scores(docs: DataFrame, model: TrieModel) -> DataFrame:

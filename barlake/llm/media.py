@@ -2,19 +2,24 @@
 
 A document's bytes, padded with zeros to a positive multiple of 64, are the
 samples of an 8-bit grey PNG 64 pixels wide, one row for each 64 bytes.  The
-digest of the text's bytes is the address: every distinct content is stored
-once, and rows carry shard, offset and length.  Width, height and bit depth are
-read back from the first 33 bytes alone (a range read); the other features from
-the stored member.
+digest of the text's bytes is the address: distinct content is stored once
+(again only for rows equal in id and text in one go, which nothing tells apart
+where they are read; the first place counts), and rows carry shard, offset and
+length.  Width, height and bit depth are read back from the first 33 bytes
+alone (``header_columns`` makes range reads and no others); the other features
+from the stored member.
 
 Of rows with one digest the smallest doc_id stands for all: only digests and
 ids are shuffled to find it.  Texts stay where they are read: each task writes
-the contents that its rows stand for as one tar shard, under a temporary name
-that becomes the shard's name when it is complete, so a repeated task leaves
-the same shard.  The index of the shards is a written table, from which the
+the contents that its rows stand for as tar shards of about ``SHARD_BYTES``,
+under temporary names that become the shards' names when they are complete, so
+a repeated task leaves the same shards.  The index of the shards is a written table, from which the
 columns are read back shard by shard.
 
 Null text is stored as empty text (64 zero bytes); equal texts share all values.
+Every input row is returned, repeated ones and rows without id too; a content
+that only rows without id have is stored like any other.  A text is held in
+memory whole.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +44,10 @@ UNIT = 64
 #: Digests (32 bytes and an id) up to this count are sent to all executors.
 BROADCAST_ROWS = 1_000_000
 HEADER_BYTES = 33
+#: A tar shard ends with the member that reaches this size.
+SHARD_BYTES = 256 << 20
+#: Shards of one task have numbers of their own.
+SHARDS_A_TASK = 1 << 20
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -76,19 +85,23 @@ def decode(media: bytes) -> bytes:
     return np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, width + 1)[:, 1:].tobytes()
 
 
-def _writer(folder: str):
-    """Writes a partition's contents as one shard; gives (shard, digest, n_bytes, offset, length)."""
+def _writer(folder: str, limit: int):
+    """Writes a partition's contents as shards; gives (shard, digest, n_bytes, offset, length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, at, out = TaskContext.get().partitionId(), 0, None
+        shard, at, out = TaskContext.get().partitionId() * SHARDS_A_TASK, 0, None
         for batch in batches:
             digests = batch.column(0).to_pylist()
             data, offsets = text_buffer(batch.column(1))
             for a, b in row_slices(offsets, 4 << 20):
                 rows = []
                 for i in range(a, b):
+                    if at >= limit:
+                        out.write(bytes(1024))
+                        out.close()
+                        shard, at, out = shard + 1, 0, None
                     if out is None:
                         out = SharedFile(f"{folder}/{shard}.tar")
                     content = data[offsets[i] : offsets[i + 1]].tobytes()
@@ -101,7 +114,7 @@ def _writer(folder: str):
                     out.write(bytes(-len(media) % 512))
                     rows.append((shard, digests[i], len(content), at + len(head), len(media)))
                     at += len(head) + len(media) + -len(media) % 512
-                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(kinds)], ["shard", "digest", "n_bytes", "offset", "length"])
         if out is not None:
             out.write(bytes(1024))
@@ -137,10 +150,28 @@ def _reader(folder: str):
 
 
 NAMES = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "media_offset", "width", "height", "bit_depth"]
-KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 _DDL = {pa.binary(): "binary", pa.string(): "string", pa.int64(): "long", pa.int32(): "int"}
 
 
+def header_columns(places: DataFrame) -> DataFrame:
+    """``places`` (media_uri, media_offset) with width, height and bit_depth, from one range read of 33 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
+        for batch in batches:
+            out = []
+            for uri, offset in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if uri != name:
+                    fs, path = pa.fs.FileSystem.from_uri(uri)
+                    file, name = fs.open_input_file(path), uri
+                out.append(header(file.read_at(HEADER_BYTES, offset)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in out], pa.int32()) for i in range(3))], ["media_uri", "media_offset", "width", "height", "bit_depth"])
+
+    places = places.select("media_uri", "media_offset").sortWithinPartitions("media_uri", "media_offset")
+    return places.mapInArrow(run, "media_uri string, media_offset long, width int, height int, bit_depth int")
+
+
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id and the media columns for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -154,7 +185,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     others = stored(keys.join(first, ["digest", "id"], "left_anti").distinct(), "others")
     others = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
     own = docs.withColumn("id", least).join(others, ["digest", "id"], "left_anti").select("digest", "text")
-    written = stored(own.mapInArrow(_writer(folder), "shard int, digest binary, n_bytes long, offset long, length long"), "media-index")
+    written = stored(own.mapInArrow(_writer(folder, SHARD_BYTES), "shard long, digest binary, n_bytes long, offset long, length long"), "media-index")
     # equal rows may each have been written: the first place counts
     place = F.min(F.struct("shard", "offset", "n_bytes", "length")).alias("p")
     index = written.groupBy("digest").agg(place).select("p.shard", "digest", "p.n_bytes", "p.offset", "p.length")

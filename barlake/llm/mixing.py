@@ -19,7 +19,9 @@ ascending order the sources that stop are a prefix, so the level is found by
 running sums over the small per-source table.
 
 Null or word-less text has size 0 and is taken 0 words.  A source of size 0 has
-target 0.  Documents with equal ids have equal hashes and are taken alike.
+target 0.  Documents with equal ids (or none) have equal hashes and are taken
+alike, repeated rows too.  Further columns are not read.  Targets come from
+windows over one row a source: a task's work for thousands of sources.
 """
 
 from __future__ import annotations

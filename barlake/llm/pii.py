@@ -13,6 +13,8 @@ those that fail the kind's check, without retrying shorter ones.  Every scan is
 linear in the text: runs are entered at their start and never re-entered.
 
 Null or empty text has no spans.  Offsets count code points, end exclusive.
+Each row is judged by its own text: equal rows alike, rows without id too.
+Further columns are not read.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in four)):
                 yield at, end
             at = end + 1
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 #: Rows of an Arrow batch: with texts of a few thousand bytes the usual 10,000 fill a worker and the JVM's buffers.
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, "16m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -24,6 +24,7 @@ def bounded_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
         spark.conf.set(name, ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
