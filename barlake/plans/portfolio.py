@@ -412,7 +412,16 @@ def pf14_buy_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(performance.buy_and_hold(day_bars(spark, sf_dir), 100.0), "sid", "ts", "buy_and_hold")
 
 
-@query()
+_PLAN = (
+    "WITH li AS (SELECT *, date_trunc('month', l_shipdate)::DATE AS day, l_extendedprice / l_quantity AS price FROM lineitem), sc AS (SELECT day, l_partkey AS sid, sum(l_extendedprice) AS score FROM li GROUP BY day, l_partkey), rk AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, sid) AS rank FROM sc QUALIFY rank <= 20), "
+    "h AS (SELECT l_suppkey AS experiment_id, day, l_partkey AS sid, min(price) AS price, max(price * (1 + l_discount * 2)) AS cost_basis, max(dayofmonth(l_shipdate)) AS days_held FROM li WHERE l_linenumber = 1 GROUP BY l_suppkey, day, l_partkey), ac AS (SELECT l_suppkey AS experiment_id, day, max(l_discount) * 2 AS drawdown, sum(l_extendedprice) AS cash FROM li GROUP BY l_suppkey, day), "
+    "j AS (SELECT h.*, CASE WHEN ac.drawdown >= 0.2 THEN 'drawdown' WHEN h.price / h.cost_basis <= 0.9 THEN 'stop' WHEN h.days_held >= 4 AND rk.rank IS NULL THEN 'expired' END AS reason FROM h JOIN ac ON ac.experiment_id = h.experiment_id AND ac.day = h.day LEFT JOIN rk ON rk.day = h.day AND rk.sid = h.sid), "
+    "n AS (SELECT experiment_id, day, count(*) AS held, count(reason) AS sold FROM j GROUP BY experiment_id, day), free AS (SELECT ac.experiment_id, ac.day, 10 - coalesce(held, 0) + coalesce(sold, 0) AS free FROM ac LEFT JOIN n ON n.experiment_id = ac.experiment_id AND n.day = ac.day WHERE drawdown < 0.2 AND cash > 10000), "
+    "b AS (SELECT f.experiment_id, f.day, rk.sid, f.free, row_number() OVER (PARTITION BY f.experiment_id, f.day ORDER BY rk.rank, rk.sid) AS turn FROM free f JOIN rk ON rk.day = f.day WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.experiment_id = f.experiment_id AND h.day = f.day AND h.sid = rk.sid))"
+)
+
+
+@query(f"{_PLAN} SELECT experiment_id, {d('day')}, sid, 'sell' AS action, reason, (CASE WHEN reason = 'stop' THEN 0 ELSE 1 END)::BIGINT AS priority FROM j WHERE reason IS NOT NULL UNION ALL SELECT experiment_id, {d('day')}, sid, 'buy', 'ranked', (turn + 1)::BIGINT FROM b WHERE turn <= free")
 def al6_rebalance_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan for every supplier book and month: held parts against the month's best scores."""
     li = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date(F.date_trunc("month", "l_shipdate")))
