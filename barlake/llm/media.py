@@ -41,8 +41,8 @@ from .shared import SharedFile, new_folder, stored
 from .words import row_slices, text_buffer
 
 UNIT = 64
-#: Digests (32 bytes and an id) up to this count are sent to all executors.
-BROADCAST_ROWS = 1_000_000
+#: Digests and ids are sent to all executors up to this size, at ROW_BYTES a row with its hash entry; beyond it rows are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 100
 HEADER_BYTES = 33
 #: A tar shard ends with the member that reaches this size.
 SHARD_BYTES = 256 << 20
@@ -183,7 +183,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     first = keys.groupBy("digest").agg(F.min("id").alias("id"))
     # rows that another row stands for; a few of the corpus as a rule, else they are shuffled
     others = stored(keys.join(first, ["digest", "id"], "left_anti").distinct(), "others")
-    others = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    others = F.broadcast(others) if others.count() * ROW_BYTES <= BROADCAST_BYTES else others
     own = docs.withColumn("id", least).join(others, ["digest", "id"], "left_anti").select("digest", "text")
     written = stored(own.mapInArrow(_writer(folder, SHARD_BYTES), "shard long, digest binary, n_bytes long, offset long, length long"), "media-index")
     # equal rows may each have been written: the first place counts
