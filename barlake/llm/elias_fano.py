@@ -21,17 +21,20 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_ONES, _HIGHS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the set bit number r (from 0) of a byte b, at b | r << 8.
+_IN_BYTE = np.array([next((i for i in range(8) if b >> i & 1 and (b & ((1 << i) - 1)).bit_count() == r), 0) for r in range(8) for b in range(256)], np.int64)
+
+
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the set bit number ``rank`` (from 0) in each word."""
-    place = np.zeros(len(words), np.int64)
-    rank = rank.astype(np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        low = (words >> place.astype(_U)) & _U((1 << half) - 1)
-        n = np.bitwise_count(low).astype(np.int64)
-        beyond = rank >= n
-        rank = np.where(beyond, rank - n, rank)
-        place = np.where(beyond, place + half, place)
-    return place
+    """Place of the set bit number ``rank`` (from 0) in each word: counts of set bits by byte, then a table."""
+    x = words - ((words >> _ONE) & _U(0x5555555555555555))
+    x = (x & _U(0x3333333333333333)) + ((x >> _U(2)) & _U(0x3333333333333333))
+    sums = ((x + (x >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # up to and with each byte
+    rank = rank.astype(_U)
+    place = np.bitwise_count(((rank * _ONES | _HIGHS) - sums) & _HIGHS).astype(_U) << _U(3)
+    inside = rank - (((sums << _U(8)) >> place) & _U(0xFF))
+    return place.astype(np.int64) + _IN_BYTE[((words >> place) & _U(0xFF)) | (inside << _U(8))]
 
 
 class EliasFano:
@@ -88,31 +91,33 @@ class EliasFano:
         place = (word << 6) + _select_in_word(self.high[word], i - self.ranks[word])
         return ((place - i).astype(_U) << _U(self.width)) | self._low_bits(i)
 
-    def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """First position in ``begin .. end`` whose value is at least ``x``; ``end`` if none.
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """First position whose value is at least ``x`` in the whole sequence."""
+        return self._bisected(x)[0]
+
+    def index(self, x: np.ndarray) -> np.ndarray:
+        """First position of each value of ``x``, -1 where it is not there."""
+        at, end = self._bisected(x)
+        there = at < end
+        return np.where(there & (self._low_bits(np.where(there, at, 0)) == (x & _U((1 << self.width) - 1))), at, -1)
+
+    def _bisected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``find`` gives, and the end of the values that share the high bits of ``x``.
 
-        A bisection over all queries at once, confined to each one's own range.
+        The zeros of the high part delimit those values, so only they are
+        bisected, for all queries at once, and only low bits are compared.
         """
-        begin, end = begin.copy(), end.copy()
+        part, low = (x >> _U(self.width)).astype(np.int64), x & _U((1 << self.width) - 1)
+        begin, stop = self._zeros_rank(part - 1), self._zeros_rank(part)
+        end = stop.copy()
         live = np.flatnonzero(begin < end)
         while len(live):
             mid = (begin[live] + end[live]) >> 1
-            less = self.access(mid) < x[live]
+            less = self._low_bits(mid) < low[live]
             begin[live[less]] = mid[less] + 1
             end[live[~less]] = mid[~less]
             live = live[begin[live] < end[live]]
-        return begin
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """First position whose value is at least ``x`` in the whole sequence.
-
-        The zeros of the high part delimit the values that share high bits, so
-        only those are bisected.
-        """
-        part = (x >> _U(self.width)).astype(np.int64)
-        begin = self._zeros_rank(part - 1)
-        end = self._zeros_rank(part)
-        return self.successor(x, begin, end)
+        return begin, stop
 
     def _zeros_rank(self, part: np.ndarray) -> np.ndarray:
         """Number of values whose high bits are at most ``part``."""

@@ -83,7 +83,7 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram and unigram log-probabilities of every document, learned from six of seven folds."""
+    """Trigram and unigram log-probabilities of every document, learned from six of seven folds."""
     from .lm import fit, scores
 
     docs = _table(spark, sf_dir, "documents")

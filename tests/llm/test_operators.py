@@ -444,7 +444,9 @@ def test_elias_fano(values):
     e, _ = EliasFano.read(np.concatenate(EliasFano.of(v).words()), 0)
     assert (e.access(np.arange(len(v))) == v).all()
     q = np.concatenate((v, v + np.uint64(1), np.array([0], np.uint64)))
-    assert (e.find(q) == np.searchsorted(v, q)).all()
+    at = np.searchsorted(v, q)
+    assert (e.find(q) == at).all()
+    assert (e.index(q) == np.where(np.append(v, 0)[at] == q, np.where(at < len(v), at, -1), -1)).all()
 
 
 def test_language_model(spark):
@@ -454,18 +456,35 @@ def test_language_model(spark):
     got = by_id(lm.scores(df, model))
     tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
     one, two = Counter(x for t in tokens[:30] for x in t), Counter((h, w) for t in tokens[:30] for h, w in zip([None, *t[:-1]], t, strict=True))
+    three = Counter(x for t in tokens[:30] for x in zip([None, *t], t, t[1:], strict=False))
     n, v = sum(one.values()), len(one)
     for i, t in enumerate(tokens):
         p1 = [(one[w] + 1) / (n + v + 1) for w in t]
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
         assert got[i].base_score == pytest.approx(sum(np.log10(p1)), abs=1e-9)
-        want = sum(np.log10((two[h, w] + lm.MU * p) / (one[h] + lm.MU)) for h, w, p in zip([None, *t[:-1]], t, p1, strict=True))
-        assert got[i].score == pytest.approx(want, abs=0.01 * len(t))
+        p2 = [(two[h, w] + lm.MU * p) / (one[h] + lm.MU) for h, w, p in zip([None, *t[:-1]], t, p1, strict=True)]
+        p3 = [(three[g, h, w] + lm.MU_3 * p) / (two[g, h] + lm.MU_3) for g, h, w, p in zip([None, *t], t, t[1:], p2[1:], strict=False)]
+        assert got[i].score == pytest.approx(sum(np.log10([p2[0], *p3])), abs=0.01 * len(t))
     known = list(one)
     total = sum((two[None, w] + lm.MU * (one[w] + 1) / (n + v + 1)) / (one[None] + lm.MU) for w in known) + lm.MU / (n + v + 1) / (one[None] + lm.MU)
     assert total == pytest.approx(1)
 
 
+def test_language_model_over_many_shards(spark, monkeypatch):
+    """Contexts cut into several shards: small shards give the scores of one shard."""
+    rows = ["the " + " the ".join(prose(i % 11, 60).split()) for i in range(60)] + ["the the the " * 40, "a the b"]
+    df = docs(spark, rows)
+    whole = by_id(lm.scores(df, lm.fit(df.where("doc_id < 50"))))
+    monkeypatch.setattr(lm, "SHARD_1", 200)
+    monkeypatch.setattr(lm, "SHARD_2", 300)
+    model = lm.fit(df.where("doc_id < 50"))
+    cut = by_id(lm.scores(df, model))
+    assert len(model.there) > 50 and (model.pairs.heads > 0).any()  # a context's successors do lie in several
+    for i, row in whole.items():
+        assert cut[i].n_known == row.n_known and cut[i].base_score == pytest.approx(row.base_score)
+        assert cut[i].score == pytest.approx(row.score, abs=0.01 * row.n_tokens)
+
+
 def test_language_model_without_training(spark):
     df = docs(spark, ["a b", None])
     got = by_id(lm.scores(df, lm.fit(df.where("false"))))
