@@ -116,9 +116,30 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's digests, and every document's proof before and after a trial tampering."""
+    from .merkle import tamper_check
+
+    return tamper_check(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to five words."""
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth, among all."""
+    from .neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_line_chunks, op3_mix, op4_licenses, op5_decontaminate, op6_near_dup, op7_lm_score, op8_media, op9_language, op10_token_shards)
+    for f in (op1_pii, op2_line_chunks, op3_mix, op4_licenses, op5_decontaminate, op6_near_dup, op7_lm_score, op8_media, op9_language, op10_token_shards, op11_merkle, op12_collocations, op13_neighbours)
 }
 
 #: SQL for the same results; the others are tested against brute force, a round trip or held-out accuracy.
@@ -164,5 +185,35 @@ e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
 m AS (SELECT x AS doc_id, min(y) AS y FROM r GROUP BY x)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, w.doc_id <= coalesce(m.y, w.doc_id) AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id
+""",
+    "op11_merkle": r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+raw AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, tab),
+e AS (SELECT doc_id, source, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM raw),
+d AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS changed FROM e)),
+low AS (SELECT s, 0 AS level, i, leaf AS h, n FROM d UNION ALL SELECT s, any_value(level) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY s, i // 3),
+sub AS (SELECT s, h AS subroot, count(*) OVER () AS trees FROM low WHERE n = 1),
+up AS (SELECT 0 AS level, s AS i, subroot AS h, trees AS n FROM sub UNION ALL SELECT any_value(level) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY i // 3),
+root AS (SELECT h AS root FROM up WHERE n = 1),
+st AS (SELECT id, level, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < d.i // (3 ** level)::BIGINT), '') AS l, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > d.i // (3 ** level)::BIGINT), '') AS r FROM d JOIN low x ON x.s = d.s AND x.n > 1 AND x.i // 3 = d.i // (3 ** (level + 1))::BIGINT GROUP BY id, level
+UNION ALL SELECT id, level + 1000, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < d.s // (3 ** level)::BIGINT), ''), coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > d.s // (3 ** level)::BIGINT), '') FROM d JOIN up x ON x.n > 1 AND x.i // 3 = d.s // (3 ** (level + 1))::BIGINT GROUP BY id, level),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level) AS k FROM st),
+fold AS (SELECT id, 0 AS k, changed AS h FROM d UNION ALL SELECT fold.id, k.k, sha256(k.l || fold.h || k.r) FROM fold JOIN k ON k.id = fold.id AND k.k = fold.k + 1),
+ended AS (SELECT id, arg_max(h, k) AS folded_root FROM fold GROUP BY id),
+pr AS (SELECT id, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM k GROUP BY id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM d JOIN sub USING (s) JOIN ended USING (id) LEFT JOIN pr USING (id), root
+""",
+    "op12_collocations": r"""
+WITH RECURSIVE p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+g AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS k FROM p WHERE len(w) > 0))),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+i AS (SELECT DISTINCT lang, unnest([list_slice(g, 1, k - 1), list_slice(g, 2, k)]) AS g, a FROM c WHERE k > 2),
+t AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = c.lang AND i.g = c.g AND i.a = c.a)),
+s AS (SELECT t.lang, t.g, t.a, x.a AS l, y.a AS r, n.n, t.cut, ((1000::HUGEINT * t.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM t JOIN n ON n.lang = t.lang JOIN f x ON x.lang = t.lang AND x.g = list_slice(t.g, 1, t.cut) JOIN f y ON y.lang = t.lang AND y.g = list_slice(t.g, t.cut + 1, t.k)),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS j FROM s),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM m WHERE j = 1)
+SELECT * FROM o WHERE rank <= 2000
 """,
 }
