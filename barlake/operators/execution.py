@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.windows import BY, series
+from .steps import CarriedSlice
 from .stepwise import stepwise
 
 # Board and lot by symbol prefix.
@@ -128,30 +127,15 @@ def twap_schedule(orders: DataFrame, bars: DataFrame, lot_size: int = LOT, **opt
     return vwap_schedule(orders, bars, lot_size, equal=True, **options)
 
 
-def carry_small(slices: DataFrame, least: float = LEAST_NOTIONAL) -> DataFrame:
+def carry_small(slices: DataFrame, least: float = LEAST_NOTIONAL, *, tie: Sequence[str]) -> DataFrame:
     """Slices of an order below ``least`` in value accumulate to a later bar; the last bar takes what is left.
 
     What is carried depends on what was released, so an order's bars go through
-    one step at a time, in time order.
+    one step at a time, in time order and, of one time, in that of ``tie``.
     """
-
-    def fresh():  # noqa: ANN202
-        held = 0
-
-        def step(row: dict) -> tuple | None:
-            nonlocal held
-            held += row["target"]
-            if not row["_last"] and held * row["bar_close"] < least:
-                return None
-            out, held = held, 0
-            return (out, row["bar_close"]) if out > 0 else None
-
-        return step
-
-    last = F.row_number().over(W.partitionBy("order_id").orderBy(F.col("bar_ts").desc())) == 1
-    rows = slices.select("order_id", "bar_ts", "target", "bar_close", last.alias("_last"))
-    columns = [("target", T.LongType(), pa.int64()), ("bar_close", T.DoubleType(), pa.float64())]
-    return stepwise(rows, fresh, columns, by=("order_id",), ts="bar_ts")
+    backwards = [F.col("bar_ts").desc(), *[F.col(c).desc() for c in tie]]
+    last = F.row_number().over(W.partitionBy("order_id").orderBy(*backwards)) == 1
+    return stepwise(slices.withColumn("_last", last), lambda: CarriedSlice(least), by=("order_id",), ts="bar_ts", tie=tie)
 
 
 def slip(price: Column, is_buy: Column, day_low: Column, day_high: Column, percent: float = 0.0, fixed: float = 0.0) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..functions.buckets import at_time, in_session
 from ..functions.windows import BY, series
 from ..sources.schema import PRICES
 from .scan import affine_scan
+from .steps import Renko
 from .stepwise import stepwise
 
 
@@ -141,7 +141,10 @@ def heikin_ashi(bars: DataFrame, *, by: Sequence[str] = BY, order: Sequence[str]
     return out.withColumns({"ha_high": F.greatest("high", "ha_open", "ha_close"), "ha_low": F.least("low", "ha_open", "ha_close")})
 
 
-def renko(bars: DataFrame, *, by: Sequence[str] = BY, ts: str = "ts", size: float | None = None, autosize: float = 20.0, align: float = 1.0, hilo: bool = False, dynamic: bool = False, round_start: bool = True) -> DataFrame:
+def renko(
+    bars: DataFrame, *, tie: Sequence[str], by: Sequence[str] = BY, ts: str = "ts", size: float | None = None, autosize: float = 20.0, align: float = 1.0, hilo: bool = False, dynamic: bool = False,
+    round_start: bool = True,
+) -> DataFrame:
     """Bricks of a fixed size (or the first open / ``autosize``): at most one a bar, volume 0, other bars dropped.
 
     Prices lie on a ladder of levels one size apart around the first open.  The
@@ -150,37 +153,10 @@ def renko(bars: DataFrame, *, by: Sequence[str] = BY, ts: str = "ts", size: floa
     below its lower level moves it down and draws downwards.  Before the first
     brick the band is two rungs wide.  With ``dynamic`` a brick's size follows
     its price.  A bar without close, or before the first open, draws nothing.
-    """
-
-    def fresh():  # noqa: ANN202
-        low = high = height = None
-
-        def step(row: dict) -> tuple | None:
-            nonlocal low, high, height
-            if row["close"] is None:
-                return None
-            if low is None:
-                if row["open"] is None:
-                    return None
-                origin = round(row["open"] / align) * align
-                height = size or float(origin // autosize)
-                origin = int(origin) if round_start else origin
-                low, high = origin - height, origin + height
-            way = 1 if row["high" if hilo else "close"] >= high else -1 if row["low" if hilo else "close"] <= low else 0
-            if not way:
-                return None
-            begin = high if way > 0 else low
-            end = begin + way * height
-            if dynamic and size is None:
-                height = float(row["close"] // autosize)
-                end = round((begin + way * height) / align) * align
-            low, high = min(begin, end), max(begin, end)
-            return float(begin), float(high), float(low), float(end), 0.0
-
-        return step
-
-    columns = [(c, T.DoubleType(), pa.float64()) for c in (*PRICES, "volume")]
-    return stepwise(bars.select(*by, ts, *PRICES), fresh, columns, by=by, ts=ts)
+    Bars of one time are taken in the order of ``tie``, whose columns stay in
+    the result; it is empty where a series has one bar a time.
+    """
+    return stepwise(bars, lambda: Renko(size, autosize, align, hilo, dynamic, round_start), by=by, ts=ts, tie=tie)
 
 
 def apply_filters(bars: DataFrame, filters: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from itertools import product
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +14,7 @@ from ..functions.windows import BY, ORDER, before, expanding, series
 from .cross import cross_down, cross_up
 from .recursive import ema, macd, rsi
 from .rolling import highest, lowest, sma
+from .steps import ArmedStop
 from .stepwise import stepwise
 
 
@@ -148,25 +148,13 @@ def trailing_stop(df: DataFrame, enter: str, distance: str, *, by: Sequence[str]
     return rows.withColumns({"stop": F.when(~gone, F.col("_level")), "stopped": (F.col("_hit") == 1) & ~gone}).drop("_g", "_level", "_hit", "_hits")
 
 
-def trailing_stop_positions(df: DataFrame, enter: str, distance: str, *, by: Sequence[str] = BY, ts: str = "ts") -> DataFrame:
-    """Positions where an entry acts only while flat and a stop re-arms it: each step needs the last one."""
+def trailing_stop_positions(df: DataFrame, enter: str, distance: str, *, tie: Sequence[str], by: Sequence[str] = BY, ts: str = "ts") -> DataFrame:
+    """Positions where an entry acts only while flat and a stop re-arms it: each step needs the last one.
 
-    def fresh():  # noqa: ANN202
-        stop = None
-
-        def step(row: dict) -> tuple:
-            nonlocal stop
-            close, gap = row["close"], row[distance]
-            if stop is not None and close is not None:
-                stop = None if close < stop else stop if gap is None else max(stop, close - gap)
-            elif stop is None and row[enter] and close is not None and gap is not None:
-                stop = close - gap
-            return int(stop is not None), stop
-
-        return step
-
-    columns = [("position", T.IntegerType(), pa.int32()), ("stop", T.DoubleType(), pa.float64())]
-    return stepwise(df.select(*by, ts, enter, distance, "close"), fresh, columns, by=by, ts=ts)
+    Rows of one time are taken in the order of ``tie``, whose columns stay in the
+    result; it is empty where a series has one row a time.
+    """
+    return stepwise(df, lambda: ArmedStop(enter, distance), by=by, ts=ts, tie=tie)
 
 
 def parameter_grid(df: DataFrame, grid: Mapping[str, Sequence[object]]) -> DataFrame:

@@ -1,24 +1,35 @@
-"""Operators whose every step needs the last one and is not affine: one Python step a row, in bounded memory."""
+"""Step machines over tables: one Python step a row, in bounded memory."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Step = Callable[[dict], tuple | None]
+from .steps import Make
 
 
-def stepwise(df: DataFrame, fresh: Callable[[], Step], columns: Sequence[tuple[str, T.DataType, pa.DataType]], *, by: Sequence[str], ts: str) -> DataFrame:
-    """(by, ts, columns): rows of each series in time order through the step that ``fresh`` makes for it.
+def _sorted(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
+    return df.repartition(*by).sortWithinPartitions(*by, ts, *tie)
 
-    A step takes a row and gives the new columns' values, or None to drop it.
-    Rows arrive sorted in Arrow batches and only the step's state is carried, so
-    a series of any length takes the memory of one batch; series are the unit of
-    parallelism.  Rows of one time come in no defined order.
+
+def stepwise(df: DataFrame, make: Make, *, by: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
+    """(by, ts, tie, columns): rows of each series in order through a machine of its own.
+
+    Rows of one time are taken in the order of ``tie``, nulls first; it should
+    be total, or rows equal in it come in no defined order.  Rows arrive sorted
+    in Arrow batches and only the machine's state is carried, so a series of
+    any length takes the memory of one batch; series are the unit of
+    parallelism.
     """
+    named = make()
+    new = [(name, kind) for name, (kind, _) in named.columns]
+    kinds = [kind for _, (_, kind) in named.columns]
+    keep = [*by, ts, *[c for c in tie if c not in dict(new)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         series, step = None, None
@@ -27,14 +38,50 @@ def stepwise(df: DataFrame, fresh: Callable[[], Step], columns: Sequence[tuple[s
             for i, row in enumerate(batch.to_pylist()):
                 own = (tuple(row[k] for k in by),)
                 if own != series:
-                    series, step = own, fresh()
+                    series, step = own, make()
                 out = step(row)
-                if out is not None:
-                    kept.append(i)
-                    values.append(out)
-            same = batch.select([*by, ts]).take(pa.array(kept, pa.int64()))
-            new = [pa.array([v[j] for v in values], kind) for j, (_, _, kind) in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*same.columns, *new], [*by, ts, *[name for name, _, _ in columns]])
-
-    schema = T.StructType([df.schema[c] for c in (*by, ts)] + [T.StructField(name, kind) for name, kind, _ in columns])
-    return df.repartition(*by).sortWithinPartitions(*by, ts).mapInArrow(run, schema)
+                kept += [i] * len(out)
+                values += out
+            same = batch.select(keep).take(pa.array(kept, pa.int64()))
+            made = [pa.array([v[j] for v in values], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*same.columns, *made], [*keep, *[name for name, _ in new]])
+
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind) for name, kind in new])
+    needed = dict.fromkeys([*by, ts, *tie, *named.inputs])
+    return _sorted(df.select(*needed), by, ts, tie).mapInArrow(run, schema)
+
+
+def final_states(df: DataFrame, make: Make, *, by: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
+    """(by, state, last_ts, last_tie): what the machine of each series holds after its last row, as JSON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, step, last = None, None, None
+        done: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = (tuple(row[k] for k in by),)
+                if own != series:
+                    if series is not None:
+                        done.append((*series[0], json.dumps(step.state), *last))
+                    series, step = own, make()
+                step(row)
+                last = row[ts], json.dumps([row[c] for c in tie], default=str)
+            if len(done) > 1000:
+                yield _rows(done)
+                done = []
+        if series is not None:
+            done.append((*series[0], json.dumps(step.state), *last))
+        if done:
+            yield _rows(done)
+
+    names = [*by, "state", "last_ts", "last_tie"]
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("state", T.StringType()), T.StructField("last_ts", df.schema[ts].dataType), T.StructField("last_tie", T.StringType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema, timestamp_utc=True)
+
+    def _rows(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[j] for d in done], arrow.field(j).type) for j in range(len(names))], names)
+
+    needed = dict.fromkeys([*by, ts, *tie, *make().inputs])
+    return _sorted(df.select(*needed).where(F.col(ts).isNotNull()), by, ts, tie).mapInArrow(run, schema)

@@ -251,7 +251,7 @@ _BRICKS = f"{DAYS}, n AS (SELECT sid, ts, close, round(arg_min(open, ts) OVER (P
 
 @query(f"{_BRICKS} SELECT sid, {t()}, {r('CASE WHEN up THEN low ELSE high END', 'open')}, {r('high')}, {r('low')}, {r('CASE WHEN up THEN high ELSE low END', 'close')}, 0.0e0 AS volume FROM b")
 def fl11_renko(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(fill.renko(day_bars(spark, sf_dir).withColumn("sid", F.col("sid")), size=500.0))
+    return shown(fill.renko(day_bars(spark, sf_dir), tie=(), size=500.0))
 
 
 # --- alignment ----------------------------------------------------------------------------

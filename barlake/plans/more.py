@@ -67,7 +67,7 @@ def st5_backfill_then_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(live.backfill_then_live(bars.where("ts < timestamp '1999-01-01'"), bars.where("ts >= timestamp '1998-01-01'")))
 
 
-@query(f"{_HALF} SELECT b.sid, {t('b.ts', 'ts')}, b.ts <= h.z AS late FROM bars b JOIN h ON h.sid = b.sid WHERE b.ts >= TIMESTAMP '1998-01-01'")
+@query(f"{_HALF} SELECT b.sid, {t('b.ts', 'ts')}, b.ts < h.z AS late FROM bars b JOIN h ON h.sid = b.sid WHERE b.ts >= TIMESTAMP '1998-01-01'")
 def st3_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = day_bars(spark, sf_dir).select("sid", "ts")
     last = bars.where("ts < timestamp '1999-01-01'").groupBy("sid").agg(F.max("ts").alias("last_ts"))

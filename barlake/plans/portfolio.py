@@ -73,7 +73,7 @@ _STOP = f"{DAYS}, n AS (SELECT sid, ts, close, volume > 45 AS go, row_number() O
 @query(f"{_STOP} SELECT sid, {t()}, (stop IS NOT NULL)::BIGINT AS position, {r('stop')} FROM st")
 def sg8_trailing_stop_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = day_bars(spark, sf_dir).withColumns({"go": F.col("volume") > 45, "gap": F.lit(800.0)})
-    return shown(signals.trailing_stop_positions(rows, "go", "gap"))
+    return shown(signals.trailing_stop_positions(rows, "go", "gap", tie=()))
 
 
 _BAND = f"{RSI}, q AS (SELECT nb.sid, nb.ts, CASE WHEN v.y = 0 AND u.y = 0 THEN 50.0e0 WHEN v.y = 0 THEN 100.0e0 ELSE 100 - 100 / (1 + u.y / v.y) END AS x FROM nb LEFT JOIN u ON nb.sid = u.sid AND nb.rn = u.rn LEFT JOIN v ON nb.sid = v.sid AND nb.rn = v.rn), z AS (SELECT *, CASE WHEN x IS NOT NULL THEN coalesce(last_value(nullif(x - 30, 0) IGNORE NULLS) OVER {UPTO}, 0.0e0) END AS lo, CASE WHEN x IS NOT NULL THEN coalesce(last_value(nullif(x - 70, 0) IGNORE NULLS) OVER {UPTO}, 0.0e0) END AS hi FROM q)"
@@ -211,7 +211,7 @@ _CARRY = _schedule("volume").replace("WITH ", "WITH RECURSIVE ", 1).replace("WIT
 @query(f"{_CARRY} SELECT order_id, {t('bar_ts')}, held::BIGINT AS target FROM cs WHERE go")
 def tx11_carry_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     slices = execution.vwap_schedule(_orders(spark, sf_dir), hour_bars(spark, sf_dir), 2)
-    return shown(execution.carry_small(slices, 500.0), "order_id", "bar_ts", "target")
+    return shown(execution.carry_small(slices, 500.0, tie=()), "order_id", "bar_ts", "target")
 
 
 @query(f"{_MET.replace(', met AS', ', dd AS (SELECT sid AS dsid, ts::DATE AS day, max(high) AS dh, min(low) AS dl FROM bars GROUP BY sid, ts::DATE), met AS')} SELECT order_id, {t('bar_ts')}, {r('greatest(least(CASE WHEN is_buy THEN close * 1.01e0 ELSE close * 0.99e0 END, dh), dl)', 'price')} FROM met JOIN dd ON dsid = sid AND day = bar_ts::DATE")

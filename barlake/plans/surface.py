@@ -237,33 +237,6 @@ def uf8_user_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- live hand-over ----------------------------------------------------------------------------------
 
-_SEEN = f"WITH ticks AS ({EVENTS}), z AS (SELECT sid, max(ts) AS z FROM ticks WHERE ts < TIMESTAMP '2024-01-10' GROUP BY sid)"
-
-
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_ticks(spark, sf_dir).select("sid", "ts", "tb", "price").where("ts < timestamp '2024-01-10'")
-
-
-@query(f"{_SEEN} SELECT ticks.sid, {t('ts')}, tb, coalesce(ts <= z, FALSE) AS late FROM ticks LEFT JOIN z ON z.sid = ticks.sid WHERE ts >= TIMESTAMP '2024-01-08'")
-def st3_late_side_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream that overlaps what was delivered: rows on time go to one table, late ones to another beside it."""
-    stream = _stream(spark, sf_dir).select("sid", "ts", "tb", "price").where("ts >= timestamp '2024-01-08'")
-    seen = _history(spark, sf_dir).groupBy("sid").agg(F.max("ts").alias("last_ts"))
-    out, side = new_folder(spark, "on-time"), new_folder(spark, "late")
-    live.split_late(stream, seen, out, side, new_folder(spark, "late-state")).awaitTermination()
-    on_time, late = (spark.read.schema(stream.schema).parquet(p) for p in (out, side))
-    return shown(on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))), "sid", "ts", "tb", "late")
-
-
-@query(f"WITH ticks AS ({EVENTS}) SELECT sid, {t()}, tb, {r('price')} FROM ticks")
-def st5_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History as a batch, then a stream over all events that goes on where each series' history ended."""
-    stream = _stream(spark, sf_dir).select("sid", "ts", "tb", "price")
-    out = new_folder(spark, "hand-over")
-    live.hand_over(_history(spark, sf_dir), stream, out, new_folder(spark, "hand-over-state")).awaitTermination()
-    return shown(spark.read.schema(stream.schema).parquet(out), "sid", "ts", "tb", "price")
-
-
 @query(f"WITH ticks AS ({EVENTS}), k AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS mark FROM ticks) SELECT sid, {t('mark', 'trigger_ts')}, count(*) AS n, {t('max(ts)', 'last_ts')} FROM k GROUP BY sid, mark HAVING mark <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ticks)")
 def st8_periodic_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metric row a series every six hours."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.buckets import bucket_end, period_key
 from ..functions.windows import BY
 from ..operators.resample import bar_aggregates
+from ..operators.steps import Average, Kaufman, Make, Renko
+from ..operators.stepwise import final_states
 from ..sources.schema import FIELDS
 
 DELAY = "1 hour"
@@ -40,16 +43,63 @@ def drop_duplicates(ticks: DataFrame, delay: str = DELAY, keys: Sequence[str] =
 
 
 def late_rows(batch: DataFrame, delivered: DataFrame, *, by: Sequence[str] = BY) -> tuple[DataFrame, DataFrame]:
-    """Rows of a micro-batch after, and not after, what their series has delivered (by, last_ts)."""
+    """Rows of a table that are not older, and those that are older, than what their series has delivered (by, last_ts)."""
     marked = batch.join(delivered, list(by), "left")
-    on_time = F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))
+    on_time = F.col("last_ts").isNull() | (F.col("ts") >= F.col("last_ts"))
     return marked.where(on_time).drop("last_ts"), marked.where(~on_time).drop("last_ts")
 
 
 def backfill_then_live(history: DataFrame, live: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
-    """History, and of the live rows (a batch or a micro-batch) those after its end."""
+    """History, and of the live rows (a table) those after its end."""
     last = history.groupBy(*by).agg(F.max("ts").alias("last_ts"))
-    return history.unionByName(late_rows(live, last, by=by)[0].select(*history.columns))
+    after = live.join(last, list(by), "left").where(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts")))
+    return history.unionByName(after.select(*history.columns))
+
+
+def mark_late(stream: DataFrame, delivered: DataFrame | None = None, *, by: Sequence[str] = BY, ts: str = "ts", arrival: Sequence[str] = ()) -> DataFrame:
+    """The rows of a stream with ``late``: whether their series has delivered a newer row before.
+
+    Each series keeps the newest time it has delivered as state, so the mark
+    advances with every micro-batch; ``delivered`` (by, last_ts) seeds it.  Late
+    rows don't move it, rows of the same time are not late.  The rows of a
+    micro-batch count as arriving in the order of ``arrival``, by default in
+    time order, so that none is late because of another of its batch; a task
+    holds the rows of one series and micro-batch.  Rows without time are on
+    time and leave the mark.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    names = stream.columns
+    order = list(arrival) or [ts]
+
+    class Mark(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "us long")
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: ANN001, N802, N803
+            times = initialState["last_ts"].dropna()
+            if len(times):
+                self.last.update((int(times.max().value // 1000),))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: ANN001, N802, N803
+            import numpy as np
+            import pandas as pd
+
+            batch = pd.concat(list(rows)).sort_values(order, kind="stable", na_position="first")
+            least = np.iinfo(np.int64).min
+            last = self.last.get()[0] if self.last.exists() else least
+            us = np.where(batch[ts].isna(), least, batch[ts].astype("datetime64[us]").astype("int64"))
+            newest = np.maximum.accumulate(np.concatenate([[last], us]))
+            if newest[-1] > least:
+                self.last.update((int(newest[-1]),))
+            yield batch.assign(late=(us < newest[:-1]) & (us > least))[[*names, "late"]]
+
+        def close(self) -> None:
+            pass
+
+    schema = T.StructType([*stream.schema, T.StructField("late", T.BooleanType())])
+    seed = None if delivered is None else delivered.select(*by, "last_ts").groupBy(*by)
+    return stream.groupBy(*by).transformWithStateInPandas(Mark(), outputStructType=schema, outputMode="Append", timeMode="None", initialState=seed)
 
 
 def inactivity_sessions(ticks: DataFrame, gap: str = "12 hours", delay: str = DELAY, *, by: Sequence[str] = BY) -> DataFrame:
@@ -58,39 +108,57 @@ def inactivity_sessions(ticks: DataFrame, gap: str = "12 hours", delay: str = DE
     return grouped.agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("_w")
 
 
-def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str = "sid", ts: str = "ts", delay: str = DELAY, tie: Sequence[str] = ()) -> DataFrame:
-    """(sid, ts, close, average) of a stream, one state a series.
+def live_steps(
+    rows: DataFrame, make: Make, *, by: Sequence[str] = BY, ts: str = "ts", tie: Sequence[str] = (), delay: str = DELAY, history: DataFrame | None = None, idle: int | None = None,
+) -> DataFrame:
+    """(by, ts, tie, the machine's columns) of a stream, one machine of ``operators.steps`` a series.
 
     Rows wait in the state until the watermark has passed them, and are then
-    taken in time order, rows of one time in the order of ``tie`` (nulls first) and then of arrival; the average
-    begins with the mean of n values and recurs as in the batch operator.
-    """
+    taken in time order, rows of one time in the order of ``tie`` (nulls first)
+    and then of arrival.  With ``history``, a table of earlier rows, each
+    series' machine begins where its history ended, and rows up to that point
+    (in time and tie) are passed over: history through ``stepwise`` and the
+    stream together are what ``stepwise`` gives for all rows.  A series without
+    rows for ``idle`` seconds (of event time) is forgotten and begins anew.
+    """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    k = 1.0 / n if wilder else 2.0 / (n + 1)
-    ties = [bars.schema[c] for c in tie]
-    held = T.StructType([T.StructField("close", T.DoubleType()), *[T.StructField(f"tie_{i}", f.dataType) for i, f in enumerate(ties)]])
-    # pandas turns whole numbers beside nulls into floats
-    kinds = [int if isinstance(f.dataType, T.IntegralType) else None for f in ties]
+    machine = make()
+    inputs = list(dict.fromkeys([*machine.inputs, *tie]))
+    held = T.StructType([T.StructField(f"c{i}", rows.schema[c].dataType) for i, c in enumerate(inputs)])
+    # pandas turns whole numbers beside nulls into floats and truth values into objects
+    kinds = [int if isinstance(rows.schema[c].dataType, T.IntegralType) else bool if isinstance(rows.schema[c].dataType, T.BooleanType) else None for c in inputs]
+    ties = [inputs.index(c) for c in tie]
+    columns = [*by, ts, *tie, *[name for name, _ in machine.columns if name not in tie]]
+    picked = [j for j, (name, _) in enumerate(machine.columns) if name not in tie]
 
     def plain(x: object, kind: type | None) -> object:
         if x is None or x != x:
             return None
         return kind(x) if kind else x.item() if hasattr(x, "item") else x
 
-    class Average(StatefulProcessor):
+    def rank(values: Sequence) -> list:
+        return [(x is not None, x) for x in values]
+
+    class Steps(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.state = handle.getValueState("average", "n int, total double, value double, released long")
+            self.state = handle.getValueState("machine", "state string, last long, tie string, released long")
             self.arrived = handle.getValueState("arrived", "n long")
             self.waiting = handle.getMapState("waiting", "at long, arrival long", held)
 
+        def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: ANN001, N802, N803
+            for state, last, ended in zip(initialState["state"], initialState["last_ts"], initialState["last_tie"], strict=True):
+                self.state.update((state, int(last.value // 1000), ended, -1))
+                if idle is not None:
+                    self.handle.registerTimer(int(last.value // 1_000_000) + idle * 1000 + 1)
+
         def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: ANN001, N802, N803
             slots, arrived = set(), self.arrived.get()[0] if self.arrived.exists() else 0
             for pdf in rows:
-                for at, close, *of in zip(pdf[ts], pdf["close"], *[pdf[c] for c in tie], strict=True):
+                for at, *of in zip(pdf[ts], *[pdf[c] for c in inputs], strict=True):
                     us = int(at.value // 1000)
-                    self.waiting.updateValue((us, arrived), (None if close is None else float(close), *map(plain, of, kinds)))
+                    self.waiting.updateValue((us, arrived), tuple(map(plain, of, kinds)))
                     arrived += 1
                     slots.add((us // TIMER_US + 1) * TIMER_US // 1000)
             self.arrived.update((arrived,))
@@ -102,27 +170,63 @@ def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str
             import pandas as pd
 
             limit = timerValues.getCurrentWatermarkInMs()
-            count, total, value, released = self.state.get() if self.state.exists() else (0, 0.0, None, -1)
+            state, last, ended, released = self.state.get() if self.state.exists() else (None, None, None, -1)
             if released == limit:
                 return  # another timer of this watermark has taken all that was due
-            out = []
-            due = [(at, [(x is not None, x) for x in of], arrival, close) for (at, arrival), (close, *of) in self.waiting.iterator() if at < limit * 1000]
-            for at, _, arrival, close in sorted(due, key=lambda x: x[:3]):
+            step = make()
+            if state is not None:
+                step.state = json.loads(state)
+            end = None if ended is None else (last, rank(json.loads(ended)))
+            out, rest = [], 0
+            due = []
+            for (at, arrival), of in self.waiting.iterator():
+                if at < limit * 1000:
+                    due.append((at, rank([of[i] for i in ties]), arrival, of))
+                else:
+                    rest += 1
+            for at, order, arrival, of in sorted(due, key=lambda x: x[:3]):
                 self.waiting.removeKey((at, arrival))
-                if close is not None and close == close:
-                    count, total = count + 1, total + close
-                    value = None if count < n else total / n if count == n else (1 - k) * value + k * close
-                out.append((key[0], pd.Timestamp(at, unit="us"), close, value))
-            self.state.update((count, total, value, limit))
+                if end is not None and (at, order) <= end:
+                    continue
+                values = [of[i] for i in ties]
+                last = at
+                out += [(*key, pd.Timestamp(at, unit="us"), *values, *[made[j] for j in picked]) for made in step(dict(zip(inputs, of, strict=True)))]
+            if idle is not None and last is not None and not rest and limit * 1000 > last + idle * 1_000_000:
+                self.state.clear()
+                self.arrived.clear()
+            else:
+                # history's end matters until a newer row has come
+                ended = ended if end is not None and last == end[0] else None
+                self.state.update((json.dumps(step.state), last, ended, limit))
+                if idle is not None and last is not None:
+                    self.handle.registerTimer(last // 1000 + idle * 1000 + 1)
             if out:
-                yield pd.DataFrame(out, columns=[by, ts, "close", "average"])
+                yield pd.DataFrame(out, columns=columns)
 
         def close(self) -> None:
             pass
 
-    schema = T.StructType([T.StructField(by, T.StringType()), T.StructField(ts, T.TimestampType()), T.StructField("close", T.DoubleType()), T.StructField("average", T.DoubleType())])
-    rows = bars.select(by, ts, "close", *tie).withWatermark(ts, delay)
-    return rows.groupBy(by).transformWithStateInPandas(Average(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    made = [T.StructField(machine.columns[j][0], machine.columns[j][1][0]) for j in picked]
+    schema = T.StructType([*[rows.schema[c] for c in (*by, ts, *tie)], *made])
+    seed = None if history is None else final_states(history, make, by=by, ts=ts, tie=tie).groupBy(*by)
+    waiting = rows.select(*dict.fromkeys([*by, ts, *inputs])).where(F.col(ts).isNotNull()).withWatermark(ts, delay)
+    return waiting.groupBy(*by).transformWithStateInPandas(Steps(), outputStructType=schema, outputMode="Append", timeMode="EventTime", initialState=seed)
+
+
+def live_average(bars: DataFrame, n: int = 14, wilder: bool = False, *, by: str = "sid", ts: str = "ts", delay: str = DELAY, tie: Sequence[str] = (), **options: object) -> DataFrame:
+    """(by, ts, close, average) of a stream: begun with the mean of n values, recurring as in the batch operator."""
+    out = live_steps(bars, lambda: Average(n, wilder), by=(by,), ts=ts, delay=delay, tie=tie, **options)
+    return out.select(by, ts, "close", "average")
+
+
+def live_kama(bars: DataFrame, n: int = 30, fast: int = 2, slow: int = 30, **options: object) -> DataFrame:
+    """(by, ts, tie, close, kama) of a stream; the last n closes of a series are its state."""
+    return live_steps(bars, lambda: Kaufman(n, fast, slow), **options)
+
+
+def live_renko(bars: DataFrame, size: float | None = None, *, renko: dict | None = None, **options: object) -> DataFrame:
+    """Bricks of a stream as they are drawn; the band of a series is its state."""
+    return live_steps(bars, lambda: Renko(size, **(renko or {})), **options)
 
 
 def day_triggers(ticks: DataFrame, delay: str = DELAY, *, by: Sequence[str] = BY) -> DataFrame:
@@ -137,29 +241,111 @@ def periodic_triggers(ticks: DataFrame, every: str, delay: str = DELAY, *, by: S
     return grouped.agg(F.count("*").alias("n"), F.max("ts").alias("last_ts")).select(*by, F.col("_w.end").alias("trigger_ts"), "n", "last_ts")
 
 
-def split_late(stream: DataFrame, delivered: DataFrame, path: str, late_path: str, checkpoint: str, *, by: Sequence[str] = BY) -> StreamingQuery:
-    """Rows after what their series has delivered (by, last_ts) go to ``path``, the others to ``late_path``.
+def clock_triggers(ticks: DataFrame, every: int, delay: str = DELAY, *, by: Sequence[str] = BY, ts: str = "ts", until: int | None = None) -> DataFrame:
+    """One row a series for every stretch of ``every`` seconds from its first row on, silent stretches too.
 
-    A micro-batch is written as a version of its own under both paths, so a
-    repeated batch overwrites itself.
+    (by, trigger_ts, n, last_ts): the rows of the stretch [start, end), and the
+    newest time before its end.  Each series holds one timer, at the end of its
+    current stretch; when the watermark passes it the timer renews itself, so a
+    series fires by the clock as long as the stream goes on, whether it has rows
+    or not.  With ``until`` a series without rows for that many seconds stops
+    and starts again with its next row.
     """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    width = every * 1_000_000
+
+    class Clock(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.next = handle.getValueState("next", "us long, last long")
+            self.counts = handle.getMapState("counts", "slot long", "n long, last long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: ANN001, N802, N803
+            import numpy as np
+            import pandas as pd
+
+            us = pd.concat([pdf[ts] for pdf in rows]).astype("datetime64[us]").astype("int64").to_numpy()
+            slots, inverse, n = np.unique(us // width, return_inverse=True, return_counts=True)
+            newest = np.full(len(slots), np.iinfo(np.int64).min)
+            np.maximum.at(newest, inverse, us)
+            for slot, count, last in zip(slots.tolist(), n.tolist(), newest.tolist(), strict=True):
+                was, before = self.counts.getValue((slot,)) if self.counts.containsKey((slot,)) else (0, last)
+                self.counts.updateValue((slot,), (was + count, max(last, before)))
+            first = (int(slots[0]) + 1) * width
+            due, last = self.next.get() if self.next.exists() else (None, None)
+            if due is None or first < due:
+                if due is not None:
+                    self.handle.deleteTimer(due // 1000)
+                self.next.update((first, last))
+                self.handle.registerTimer(first // 1000)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: ANN001, N802, N803
+            import pandas as pd
+
+            limit, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+            due, last = self.next.get()
+            while due <= limit:
+                slot, n = due // width - 1, 0
+                if self.counts.containsKey((slot,)):
+                    n, last = self.counts.getValue((slot,))
+                    self.counts.removeKey((slot,))
+                if until is not None and n == 0 and last is not None and due - last > until * 1_000_000:
+                    waiting = [k[0] for k in self.counts.keys()]  # noqa: SIM118
+                    if not waiting:
+                        self.next.clear()
+                        due = None
+                        break
+                    due = (min(waiting) + 1) * width
+                    continue
+                out.append((*key, pd.Timestamp(due, unit="us"), n, None if last is None else pd.Timestamp(last, unit="us")))
+                due += width
+            if due is not None:
+                self.next.update((due, last))
+                self.handle.registerTimer(due // 1000)
+            if out:
+                yield pd.DataFrame(out, columns=[*by, "trigger_ts", "n", "last_ts"])
+
+        def close(self) -> None:
+            pass
+
+    stamp = ticks.schema[ts].dataType
+    schema = T.StructType([*[ticks.schema[c] for c in by], T.StructField("trigger_ts", stamp), T.StructField("n", T.LongType()), T.StructField("last_ts", stamp)])
+    rows = ticks.select(*by, ts).where(F.col(ts).isNotNull()).withWatermark(ts, delay)
+    return rows.groupBy(*by).transformWithStateInPandas(Clock(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def split_late(
+    stream: DataFrame, path: str, late_path: str, checkpoint: str, delivered: DataFrame | None = None, *, by: Sequence[str] = BY, ts: str = "ts", arrival: Sequence[str] = ()
+) -> StreamingQuery:
+    """Rows on time go to ``path``, rows older than what their series has delivered by then to ``late_path``.
+
+    The marks are those of ``mark_late``.  A micro-batch is written as a version
+    of its own under both paths, so a repeated batch overwrites itself.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        for rows, to in zip(late_rows(batch, delivered, by=by), (path, late_path), strict=True):
-            rows.select(*batch.columns).write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
+        batch.persist()  # the state is read once
+        for late, to in ((False, path), (True, late_path)):
+            batch.where(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
+        batch.unpersist()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    marked = mark_late(stream, delivered, by=by, ts=ts, arrival=arrival)
+    return marked.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def hand_over(history: DataFrame, stream: DataFrame, path: str, checkpoint: str, *, by: Sequence[str] = BY) -> StreamingQuery:
-    """Writes the history to ``path``, then the rows of the stream that come after each series' end of it."""
+    """Writes the history to ``path``, then the rows of the stream after each series' end of it, late ones left out."""
     history.select(*stream.columns).write.mode("overwrite").parquet(f"{path}/batch=-1")
     last = history.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch=-1").groupBy(*by).agg(F.max("ts").alias("last_ts"))
+    # rows of the time at which history ended are its own
+    seed = last.withColumn("last_ts", F.timestamp_micros(F.unix_micros("last_ts") + 1))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        late_rows(batch, last, by=by)[0].select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.where(~F.col("late")).drop("late").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return mark_late(stream, seed, by=by).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def metric_stream(log: DataFrame, path: str, checkpoint: str, kind: str = "parquet", once: bool = True) -> StreamingQuery:

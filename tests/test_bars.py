@@ -87,7 +87,7 @@ def test_splitters(spark):
 
 def test_renko(spark):
     df = ticks(spark, [("a", f"2024-01-01 10:00:{i:02d}", p) for i, p in enumerate([100, 104, 111, 125, 98, 97, 88])])
-    got = collect(fill.renko(df, size=10.0), "ts", "open", "close", "high", "low")
+    got = collect(fill.renko(df, tie=(), size=10.0), "ts", "open", "close", "high", "low")
     assert [(t.second, o, c, h, l_) for t, o, c, h, l_ in got] == [(2, 110, 120, 120, 110), (3, 120, 130, 130, 120), (4, 120, 110, 120, 110), (5, 110, 100, 110, 100), (6, 100, 90, 100, 90)]
 
 

@@ -101,7 +101,7 @@ def test_safe_division(spark):
 
 def test_position_and_stop(spark):
     df = bars(spark, [10.0, 12.0, 11.0, 9.0, 10.0, 8.0]).withColumns({"go": F.col("close") == 10, "gap": F.lit(2.5)})
-    got = signals.trailing_stop_positions(df, "go", "gap").orderBy("ts").collect()
+    got = signals.trailing_stop_positions(df, "go", "gap", tie=()).orderBy("ts").collect()
     assert [(r.position, r.stop) for r in got] == [(1, 7.5), (1, 9.5), (1, 9.5), (0, None), (1, 7.5), (1, 7.5)]
 
 

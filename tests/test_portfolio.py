@@ -45,7 +45,7 @@ def test_fills_never_exceed_size_or_cap(spark):
     slices = execution.vwap_schedule(orders, bars, 10).orderBy("bar_ts")
     assert [r.target for r in slices.collect()] == [30]
     assert [r.target for r in execution.twap_schedule(orders, bars, 10).orderBy("bar_ts").collect()] == [10, 10, 10]
-    assert [r.target for r in execution.carry_small(execution.twap_schedule(orders, bars, 10), 20.0).orderBy("bar_ts").collect()] == [20, 10]
+    assert [r.target for r in execution.carry_small(execution.twap_schedule(orders, bars, 10), 20.0, tie=()).orderBy("bar_ts").collect()] == [20, 10]
 
 
 def test_performance(spark):

@@ -32,13 +32,13 @@ def test_values_are_carried_over_stretches(spark):
 def test_bricks_follow_the_ladder(spark):
     closes = [100.0, None, 104.0, 105.0, 111.0, 109.0, 104.0, 94.0, 94.0]
     rows = [("s", i, 100.0, c, c, c) for i, c in enumerate(closes)]
-    out = fill.renko(spark.createDataFrame(rows, "sid string, ts int, open double, high double, low double, close double"), size=5.0).orderBy("ts").collect()
+    out = fill.renko(spark.createDataFrame(rows, "sid string, ts int, open double, high double, low double, close double"), tie=(), size=5.0).orderBy("ts").collect()
     assert [(r.ts, r.open, r.close) for r in out] == [(3, 105, 110), (4, 110, 115), (5, 110, 105), (6, 105, 100), (7, 100, 95), (8, 95, 90)]
 
 
 def test_stop_positions_rearm(spark):
     rows = [("s", i, go, c, 2.0) for i, (go, c) in enumerate([(False, 9.0), (True, 10.0), (True, 12.0), (True, 9.5), (False, 9.0), (True, 8.0), (False, None), (False, 5.0)])]
-    out = signals.trailing_stop_positions(spark.createDataFrame(rows, "sid string, ts int, go boolean, close double, gap double"), "go", "gap").orderBy("ts").collect()
+    out = signals.trailing_stop_positions(spark.createDataFrame(rows, "sid string, ts int, go boolean, close double, gap double"), "go", "gap", tie=()).orderBy("ts").collect()
     assert [(r.position, r.stop) for r in out] == [(0, None), (1, 8.0), (1, 10.0), (0, None), (0, None), (1, 6.0), (1, 6.0), (0, None)]
 
 
