@@ -36,7 +36,7 @@ from .words import row_slices, text_buffer, words_of
 
 LONGEST, THRESHOLD, BEST = 5, 100, 2000
 #: Numbers of a shard, words of a block of the vocabulary, phrases of a block of tries.
-SHARD, VOCABULARY, TRIE = 1 << 22, 1 << 21, 1 << 17
+SHARD, VOCABULARY, TRIE = 1 << 21, 1 << 21, 1 << 17
 #: A block's own numbers: blocks are cut by hash, so they have about the given size and less than this.
 BLOCK = 1 << 24
 #: Parts into which a language's phrases are split before its best are chosen.
@@ -168,9 +168,14 @@ def _neighbours(tries: list[str] | None, width: int, least: int) -> Callable:
         for ids in _shards(batches, width):
             found = _accepted(ids, tries)
             both = np.flatnonzero((found[1:] >= 0) & (found[:-1] >= 0))
-            left, a = np.unique(found[both], return_inverse=True)
-            right, b = np.unique(found[both + 1], return_inverse=True)
-            pair, count = np.unique(a * max(len(right), 1) + b, return_counts=True)
+            left, pair = np.unique(found[both], return_inverse=True)
+            both += 1
+            right, b = np.unique(found[both], return_inverse=True)
+            del found, both
+            pair *= max(len(right), 1)
+            pair += b
+            del b
+            pair, count = np.unique(pair, return_counts=True)
             pair, count = pair[count >= least], count[count >= least]
             columns = [left[pair // max(len(right), 1)], right[pair % max(len(right), 1)], count]
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["left", "right", "n"])
