@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.windows import BY, series
+from .daybook import Day, against_days, ranges
 from .steps import CarriedSlice
 from .stepwise import stepwise
 
@@ -22,6 +26,8 @@ STAMP, TRANSFER, TRADE_OLD, TRADE_NEW, TRADE_CUT = 0.001, 0.0001, 0.003, 0.0005,
 IMPACT = 0.05
 FLAT = 0.01
 LEAST_NOTIONAL = 20_000.0
+#: Orders whose slices a task works out at once.
+_BLOCK = 4096
 
 
 def board(sid: Column) -> Column:
@@ -64,8 +70,8 @@ def reference_price(rule: Column, limit: Column, *, by: Sequence[str] = BY, orde
     return (1 + limit) * field
 
 
-def _day_bars(orders: DataFrame, bars: DataFrame, by: Sequence[str], created: str, ts: str) -> DataFrame:
-    """Each order with its series' bars of the same day at or after its time (an equi-join on series and day)."""
+def bars_met(orders: DataFrame, bars: DataFrame, *, by: Sequence[str] = BY, created: str = "created_dt", ts: str = "ts") -> DataFrame:
+    """Each order with every bar of its day at or after its time: for what needs all pairs (an equi-join on series and day)."""
     asked = orders.withColumn("_day", F.to_date(created))
     rest = [c for c in bars.columns if c not in (*by, ts)]
     seen = bars.select(*by, F.col(ts).alias("bar_ts"), *[F.col(c).alias(f"bar_{c}") for c in rest]).withColumn("_day", F.to_date("bar_ts"))
@@ -73,12 +79,26 @@ def _day_bars(orders: DataFrame, bars: DataFrame, by: Sequence[str], created: st
 
 
 def limit_touch(orders: DataFrame, bars: DataFrame, *, by: Sequence[str] = BY, created: str = "created_dt", ts: str = "ts") -> DataFrame:
-    """First bar of the order's day that reaches its limit: touch_ts and touch_price (the open if it gapped through)."""
-    met = _day_bars(orders, bars, by, created, ts)
-    touched = F.when(F.col("is_buy"), F.col("bar_low") <= F.col("pricelimit")).otherwise(F.col("bar_high") >= F.col("pricelimit"))
-    price = F.when(F.col("is_buy"), F.least("bar_open", "pricelimit")).otherwise(F.greatest("bar_open", "pricelimit"))
-    first = met.where(touched).groupBy("order_id").agg(F.min_by(F.struct(F.col("bar_ts").alias("touch_ts"), price.alias("touch_price")), "bar_ts").alias("_t"))
-    return orders.join(first, "order_id", "left").select(*orders.columns, "_t.touch_ts", "_t.touch_price")
+    """First bar of the order's day that reaches its limit: touch_ts and touch_price (the open if it gapped through).
+
+    Each order looks its bar up by binary search (``daybook``); ``order_id`` is unique.
+    """
+
+    def touch(asked: pa.Table, day: Day) -> tuple[np.ndarray, dict]:
+        buys = asked["is_buy"].to_numpy(zero_copy_only=False).astype(bool)
+        limit, start = asked["pricelimit"].to_numpy().astype(float), day.starts(asked["_us"].to_numpy())
+        open_, found = day.column("open"), np.full(len(buys), day.n)
+        found[buys] = day.first_at_most(day.column("low"), start[buys], limit[buys])
+        found[~buys] = day.first_at_most(-day.column("high"), start[~buys], -limit[~buys])
+        at = np.flatnonzero(found < day.n)
+        bar = found[at]
+        with np.errstate(invalid="ignore"):
+            price = np.where(buys[at], np.fmin(open_[bar], limit[at]), np.fmax(open_[bar], limit[at]))
+        return at, {"touch_ts": day.table["_ts"].take(pa.array(bar)), "touch_price": price}
+
+    columns = [("touch_ts", bars.schema[ts].dataType), ("touch_price", T.DoubleType())]
+    met = against_days(orders, bars, touch, columns, by=by, created=created, ts=ts).select("order_id", "touch_ts", "touch_price")
+    return orders.join(met, "order_id", "left").select(*orders.columns, "touch_ts", "touch_price")
 
 
 def locked_factor(is_buy: Column, low: Column, high: Column, day_low: Column, day_high: Column) -> Column:
@@ -91,15 +111,25 @@ def locked_factor(is_buy: Column, low: Column, high: Column, day_low: Column, da
 def capped_fills(orders: DataFrame, bars: DataFrame, impact: float = IMPACT, factor: str | None = None, *, by: Sequence[str] = BY, created: str = "created_dt", ts: str = "ts") -> DataFrame:
     """Fills of at most ``impact`` of each bar's volume, earliest bars first, until the size is done.
 
-    Closed form: a bar takes what is left after the caps before it.  ``factor``
-    is a bar column that scales the cap (``locked_factor``).
+    Closed form: running sums of the caps say where an order is complete, which
+    is a binary search, and a bar takes what is left after the caps before it.
+    ``factor`` is a bar column that scales the cap (``locked_factor``).
     """
-    met = _day_bars(orders, bars, by, created, ts)
-    scale = F.col(f"bar_{factor}") if factor else F.lit(1.0)
-    met = met.withColumn("_cap", F.floor(F.coalesce("bar_volume", F.lit(0.0)) * impact * scale).cast("long"))
-    prior = F.coalesce(F.sum("_cap").over(W.partitionBy("order_id").orderBy("bar_ts").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    filled = met.withColumn("executed_size", F.least("_cap", F.greatest(F.lit(0), F.col("size") - prior)).cast("long")).where("executed_size > 0")
-    return filled.select(*orders.columns, F.col("bar_ts").alias("executed_dt"), "executed_size", F.col("bar_close").alias("executed_price"))
+
+    def fill(asked: pa.Table, day: Day) -> tuple[np.ndarray, dict]:
+        scale = day.column(factor) if factor else 1.0
+        cap = np.floor(np.nan_to_num(day.column("volume") * impact * scale)).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(np.maximum(cap, 0))])
+        size, start = asked["size"].to_numpy().astype(np.int64), day.starts(asked["_us"].to_numpy())
+        last = np.minimum(np.searchsorted(total, total[start] + size, side="left"), day.n)
+        order, bar = ranges(start, np.where(size > 0, last, start))
+        some = cap[bar] > 0
+        order, bar = order[some], bar[some]
+        taken = np.minimum(cap[bar], size[order] - (total[bar] - total[start[order]]))
+        return order, {"executed_dt": day.table["_ts"].take(pa.array(bar)), "executed_size": taken, "executed_price": day.table["close"].take(pa.array(bar))}
+
+    columns = [("executed_dt", bars.schema[ts].dataType), ("executed_size", T.LongType()), ("executed_price", T.DoubleType())]
+    return against_days(orders, bars, fill, columns, by=by, created=created, ts=ts, fields=("close", "volume", *([factor] if factor else [])))
 
 
 def flat_days(bars: DataFrame, least: float = FLAT, *, by: Sequence[str] = BY, ts: str = "ts") -> DataFrame:
@@ -111,15 +141,32 @@ def flat_days(bars: DataFrame, least: float = FLAT, *, by: Sequence[str] = BY, t
 def vwap_schedule(orders: DataFrame, bars: DataFrame, lot_size: int = LOT, equal: bool = False, *, by: Sequence[str] = BY, created: str = "created_dt", ts: str = "ts") -> DataFrame:
     """Slices of each order by the bars' share of the volume still to come that day (or equal shares), in lots.
 
-    The cumulative target is cut to lots and differenced, so slices add up; the last bar takes what is left.
+    The cumulative target is cut to lots and differenced, so slices add up; the
+    last bar takes what is left.  Targets come from running sums of the day's
+    volumes, a block of orders at a time, and only slices leave the task.
     """
-    met = _day_bars(orders, bars, by, created, ts).withColumn("_v", F.lit(1.0) if equal else F.coalesce("bar_volume", F.lit(0.0)))
-    whole, to_here = W.partitionBy("order_id"), W.partitionBy("order_id").orderBy("bar_ts").rowsBetween(W.unboundedPreceding, 0)
-    share = F.try_divide(F.sum("_v").over(to_here), F.sum("_v").over(whole))
-    last = F.row_number().over(W.partitionBy("order_id").orderBy(F.col("bar_ts").desc())) == 1
-    met = met.withColumn("_cum", F.when(last, F.col("size")).otherwise(F.floor(share * F.col("size") / lot_size) * lot_size).cast("long"))
-    step = F.col("_cum") - F.coalesce(F.lag("_cum").over(W.partitionBy("order_id").orderBy("bar_ts")), F.lit(0))
-    return met.withColumn("target", step).where("target > 0").select(*orders.columns, "bar_ts", "target", "bar_close")
+
+    def slices(asked: pa.Table, day: Day) -> tuple[np.ndarray, dict]:
+        volume = np.ones(day.n) if equal else np.nan_to_num(day.column("volume"))
+        total = np.concatenate([[0.0], np.cumsum(volume)])
+        size, start = asked["size"].to_numpy().astype(np.int64), day.starts(asked["_us"].to_numpy())
+        found = []
+        for a in range(0, len(size), _BLOCK):
+            order, bar = ranges(start[a : a + _BLOCK], np.full(len(size[a : a + _BLOCK]), day.n))
+            order += a
+            whole = total[day.n] - total[start[order]]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                share = np.where(whole != 0, (total[bar + 1] - total[start[order]]) / whole, 0.0)
+            upto = np.where(bar == day.n - 1, size[order], (np.floor(share * size[order] / lot_size) * lot_size).astype(np.int64))
+            before = np.concatenate([[0], upto[:-1]])
+            step = upto - np.where(bar == start[order], 0, before)
+            some = step > 0
+            found.append((order[some], bar[some], step[some]))
+        order, bar, step = (np.concatenate(x) for x in zip(*found, strict=True))
+        return order, {"bar_ts": day.table["_ts"].take(pa.array(bar)), "target": step, "bar_close": day.table["close"].take(pa.array(bar))}
+
+    columns = [("bar_ts", bars.schema[ts].dataType), ("target", T.LongType()), ("bar_close", T.DoubleType())]
+    return against_days(orders, bars, slices, columns, by=by, created=created, ts=ts, fields=("close", "volume"))
 
 
 def twap_schedule(orders: DataFrame, bars: DataFrame, lot_size: int = LOT, **options: object) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.windows import expanding, series
+from ..sources.workdir import stored
 from .align import asof
 from .scan import affine_scan
+from .steps import EventHolding, StrictHolding
+from .stepwise import stepwise
 
 KEY, ORDER = ("experiment_id", "sid"), ("executed_dt", "order_id")
 
@@ -49,6 +53,90 @@ def oversells(fills: DataFrame, **options: object) -> DataFrame:
     return availability(fills, **options).where((~F.col("is_buy")) & (F.col("available") < 0))
 
 
+def strict_ledger(fills: DataFrame, *, by: Sequence[str] = KEY, order: Sequence[str] = ORDER) -> DataFrame:
+    """(by, order, ignored, size_after, available_after, cost_basis): the ledger that ignores oversells.
+
+    What was bought is available from the next day on.  A sell of more than is
+    available is ignored and lowers nothing: later sells may use all of it.
+    Whether a sell counts depends on which ones before it did, so each series
+    goes through a machine, in ``order``, which should be total.
+    """
+    rows = fills.withColumn("_day", F.unix_date(F.to_date(order[0])))
+    return stepwise(rows, StrictHolding, by=by, ts=order[0], tie=tuple(order[1:]))
+
+
+def merger_families(instruments: DataFrame) -> DataFrame:
+    """(sid, family, steps): the series at the end of each series' chain of mergers, and how far it is.
+
+    Pointer jumping: in every round a series takes its target's target, so a
+    chain of n mergers takes log n joins.  Mergers in a circle are an error.
+    """
+    moves = instruments.where(_moves()).select("sid", F.col("merger").cast(instruments.schema["sid"].dataType).alias("family"))
+    links = stored(moves.withColumn("steps", F.lit(1).cast("long")), "mergers")
+    count = links.count()
+    for _ in range(max(1, count).bit_length() + 1):
+        then = links.select(F.col("sid").alias("family"), F.col("family").alias("_next"), F.col("steps").alias("_more"))
+        joined = links.join(then, "family", "left")
+        links = stored(joined.select("sid", F.coalesce("_next", "family").alias("family"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps")), "mergers")
+        if not links.join(moves.select(F.col("sid").alias("family")), "family", "left_semi").limit(1).count():
+            return links
+    raise ValueError("mergers form a circle")
+
+
+def _moves() -> Column:
+    to = F.col("merger").cast("string")
+    return F.col("delist").isNotNull() & to.isNotNull() & ~to.isin("", "0") & (F.col("ratio") > 0)
+
+
+def positions_through_events(
+    fills: DataFrame, adjustments: DataFrame, rights: DataFrame, instruments: DataFrame, closes: DataFrame, *, by: Sequence[str] = ("experiment_id",), order: Sequence[str] = ORDER, strict: bool = True,
+) -> DataFrame:
+    """Positions carried through fills, bonus shares, rights issues, mergers and delistings.
+
+    Tables: ``adjustments`` (sid, day, bonus_share, transfer, bonus), ``rights``
+    (sid, day, ratio, price), ``instruments`` (sid, delist, merger, ratio),
+    ``closes`` (sid, day, close).  Of a day, adjustments come first, then rights,
+    then fills, and at its end delistings, along a chain of mergers from its
+    start.  A merger moves the position to its target at the close of the last
+    day known by then, and joins what is held there with size-weighted cost;
+    without a target it ends.  What was bought is available from the next day;
+    with ``strict`` sells of more are ignored.
+
+    One row for every fill and every position that an event changes: (by, day,
+    sid, action, size_after, available_after, cost_basis, cash).  Series that
+    mergers tie together are one family, found by pointer jumping; a family of
+    an experiment goes through one machine, and events reach the experiments
+    that trade their family.
+    """
+    families = merger_families(instruments)
+
+    def tied(df: DataFrame) -> DataFrame:
+        out = df.join(families, "sid", "left")
+        return out.withColumns({"_family": F.coalesce("family", "sid"), "_step": -F.coalesce("steps", F.lit(0))}).drop("family", "steps")
+
+    blank = {"is_buy": "boolean", "executed_size": "long", "executed_price": "double", "_grow": "double", "_paid": "double", "_price": "double", "_to": instruments.schema["sid"].dataType, order[0]: fills.schema[order[0]].dataType, order[1]: fills.schema[order[1]].dataType}
+
+    def log(df: DataFrame, day: Column, kind: str, rank: int, **values: Column) -> DataFrame:
+        given = {k: values.get(k, F.col(k) if kind == "fill" and k in df.columns else F.lit(None)).cast(t).alias(k) for k, t in blank.items()}
+        extra = by if kind == "fill" else ()
+        return df.select(*extra, "_family", "_step", "sid", F.to_date(day).alias("day"), F.lit(kind).alias("_kind"), F.lit(rank).alias("_rank"), *given.values())
+
+    trades = log(tied(fills), F.col(order[0]), "fill", 2)
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    last = instruments.where("delist is not null")
+    seen = closes.join(last.select("sid", F.to_date("delist").alias("_end")), "sid").where(F.to_date("day") <= F.col("_end"))
+    last = last.join(seen.groupBy("sid").agg(F.max_by("close", "day").alias("_close")), "sid", "left")
+    events = log(tied(adjustments), F.col("day"), "bonus", 0, _grow=1 + (part("bonus_share") + part("transfer")) / 10, _paid=part("bonus") / 10)
+    events = events.unionByName(log(tied(rights), F.col("day"), "rights", 1, _grow=1 + part("ratio") / 10, _paid=part("ratio") / 10, _price=part("price")))
+    events = events.unionByName(log(tied(last), F.col("delist"), "ended", 3, _grow=F.col("ratio"), _price=F.col("_close"), _to=F.when(_moves(), F.col("merger"))))
+    everywhere = events.join(trades.select(*by, "_family").distinct(), "_family")
+    rows = trades.unionByName(everywhere.select(*trades.columns)).withColumn("_day", F.unix_date("day"))
+    kind = fills.schema["sid"].dataType
+    sid = (kind, to_arrow_type(kind))
+    out = stepwise(rows, lambda: EventHolding(sid, strict), by=(*by, "_family"), ts="day", tie=("_rank", "_step", *order, "sid"))
+    return out.select(*by, "day", "sid", "action", *order, "size_after", "available_after", "cost_basis", "cash")
+
+
 def mark_to_close(positions: DataFrame, closes: DataFrame, *, ts: str = "day") -> DataFrame:
     """Adds close (the last known) and pnl = size (close - cost)."""
     out = asof(positions, closes, ["close"], by=("sid",), ts=ts)

@@ -185,3 +185,49 @@ class StrictHolding(Step):
         cost = cost if size else None
         self.state = [day, size, available, cost]
         return [(ignored, size, available, cost)]
+
+
+class EventHolding(Step):
+    """Positions of a family of series, tied by mergers, through fills and corporate actions (see ``ledger.positions_through_events``)."""
+
+    inputs = ("_day", "_kind", "sid", "is_buy", "executed_size", "executed_price", "_grow", "_paid", "_price", "_to")
+
+    def __init__(self, sid: tuple[T.DataType, pa.DataType], strict: bool = True):
+        self.columns = (("sid", sid), ("action", TEXT), ("size_after", LONG), ("available_after", LONG), ("cost_basis", DOUBLE), ("cash", DOUBLE))
+        self.strict, self.state = strict, [None, []]
+
+    def __call__(self, row: dict) -> list[tuple]:
+        day, held = self.state
+        held = {sid: [size, size if row["_day"] != day else available, cost] for sid, size, available, cost in held}
+        sid, kind, cash, touched = row["sid"], row["_kind"], 0.0, [row["sid"]]
+        size, available, cost = held.get(sid, (0, 0, None))
+        if kind == "fill":
+            n, price = row["executed_size"], row["executed_price"]
+            if row["is_buy"]:
+                cost = (price if size <= 0 else (cost * size + price * n) / (size + n)) if n else cost
+                size, cash = size + n, -price * n
+            elif self.strict and n > available:
+                kind = "ignored"
+            else:
+                size, available, cash = size - n, available - n, price * n
+            held[sid] = [size, available, cost if size else None]
+        elif not size:
+            touched = []
+        elif kind == "bonus":
+            cash = size * row["_paid"]
+            held[sid] = [int(size * row["_grow"]), int(available * row["_grow"]), cost / row["_grow"]]
+        elif kind == "rights":
+            ratio = row["_paid"]
+            cash = -size * ratio * row["_price"]
+            held[sid] = [int(size * row["_grow"]), available, (cost + ratio * row["_price"]) / row["_grow"]]
+        else:  # a series' last day
+            held[sid] = [0, 0, None]
+            if row["_to"] is not None:
+                moved, ratio = int(size * row["_grow"]), row["_grow"]
+                price = row["_price"] / ratio if known(row["_price"]) else cost / ratio
+                other, free, paid = held.get(row["_to"], (0, 0, None))
+                if moved:
+                    held[row["_to"]] = [other + moved, free + moved, (other * (paid or 0.0) + moved * price) / (other + moved) if other + moved else None]
+                    touched.append(row["_to"])
+        self.state = [row["_day"], [[s, *x] for s, x in held.items() if x[0]]]
+        return [(s, kind if j == 0 else "merged", held[s][0], held[s][1], held[s][2] if held[s][0] else None, cash if j == 0 else 0.0) for j, s in enumerate(touched)]

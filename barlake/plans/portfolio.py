@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -218,7 +218,7 @@ def tx11_carry_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tx12_slippage(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("sid", F.to_date("ts"))
     bars = hour_bars(spark, sf_dir).withColumns({"dh": F.max("high").over(w), "dl": F.min("low").over(w)})
-    met = execution._day_bars(_orders(spark, sf_dir), bars, ("sid",), "created_dt", "ts")
+    met = execution.bars_met(_orders(spark, sf_dir), bars)
     return shown(met.withColumn("price", execution.slip(F.col("bar_close"), F.col("is_buy"), F.col("bar_dl"), F.col("bar_dh"), percent=0.01)), "order_id", "bar_ts", "price")
 
 
@@ -320,6 +320,41 @@ def tx25_account_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- performance: a supplier's month closes as an equity curve -------------------------------------------
 
+# --- ledgers that need the last step: ignored sells, corporate actions --------------------
+
+_STRICT = f"WITH RECURSIVE {_FILLS}, n AS (SELECT *, executed_dt::DATE AS day, row_number() OVER (PARTITION BY experiment_id, sid ORDER BY executed_dt, order_id) AS i FROM fills), st AS (SELECT experiment_id, sid, 0::BIGINT AS i, 0::BIGINT AS order_id, NULL::DATE AS day, FALSE AS ignored, 0::BIGINT AS size, 0::BIGINT AS available, NULL::DOUBLE AS cost FROM n WHERE i = 1 UNION ALL SELECT n.experiment_id, n.sid, n.i, n.order_id, n.day, x.ignored, x.size, x.free - CASE WHEN n.is_buy OR x.ignored THEN 0 ELSE n.q END, CASE WHEN x.size = 0 THEN NULL WHEN NOT n.is_buy THEN st.cost WHEN st.size = 0 THEN n.p ELSE (st.cost * st.size + n.p * n.q) / (st.size + n.q) END FROM st JOIN n ON n.experiment_id = st.experiment_id AND n.sid = st.sid AND n.i = st.i + 1, LATERAL (SELECT CASE WHEN n.day IS DISTINCT FROM st.day THEN st.size ELSE st.available END AS free, NOT n.is_buy AND n.q > free AS ignored, st.size + CASE WHEN n.is_buy THEN n.q WHEN ignored THEN 0 ELSE -n.q END AS size) x)"
+
+
+@query(f"{_STRICT} SELECT experiment_id, sid, order_id, ignored, size AS size_after, available AS available_after, {r('cost', 'cost_basis')} FROM st WHERE i > 0")
+def tx17_strict_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fill, with sells of more than is available ignored; an ignored sell lowers nothing."""
+    return shown(ledger.strict_ledger(_fills(spark, sf_dir)), "experiment_id", "sid", "order_id", "ignored", "size_after", "available_after", "cost_basis")
+
+
+# series 1 and 2, 4 and 5, ... merge into 3, 6, ... one after the other; some of these end without a target
+_ENDS = "SELECT s_suppkey AS sid, CASE WHEN s_suppkey % 3 = 1 THEN DATE '1997-06-30' WHEN s_suppkey % 3 = 2 THEN DATE '1999-03-31' ELSE DATE '2000-06-30' END AS delist, s_suppkey % 3 <> 0 AS moves, CASE WHEN s_suppkey % 3 = 1 THEN 1.5e0 ELSE 0.7e0 END AS ratio FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 7 = 0"
+_EVENTS_LOG = f"{DAYS}, {_FILLS}, ends AS ({_ENDS}), closes AS (SELECT e.sid, arg_max(b.close, b.ts) AS close FROM ends e JOIN bars b ON b.sid = e.sid AND b.ts::DATE <= e.delist GROUP BY e.sid), ev AS (SELECT s_suppkey AS sid, DATE '1996-07-01' + (s_suppkey % 30)::INT AS day, 0 AS kind, NULL::DOUBLE AS close, 0.0e0 AS ratio, FALSE AS moves FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, DATE '1998-02-01' + (s_suppkey % 20)::INT, 1, NULL, 0, FALSE FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT e.sid, delist, 3, c.close, ratio, moves FROM ends e LEFT JOIN closes c ON c.sid = e.sid), who AS (SELECT DISTINCT experiment_id, (sid + 2) // 3 AS fam FROM fills), l AS (SELECT experiment_id, (sid + 2) // 3 AS fam, (sid + 2) % 3 + 1 AS slot, executed_dt::DATE AS day, 2 AS kind, executed_dt AS stamp, order_id, is_buy, q, p, NULL::DOUBLE AS close, 0.0e0 AS ratio, FALSE AS moves FROM fills UNION ALL SELECT experiment_id, fam, (sid + 2) % 3 + 1, day, kind, NULL, NULL, NULL, NULL, NULL, close, ratio, moves FROM ev JOIN who ON fam = (sid + 2) // 3), n AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, fam ORDER BY day, kind, CASE WHEN kind = 3 THEN slot END, stamp NULLS FIRST, order_id NULLS FIRST, slot) AS i FROM l)"
+_EVENTS_STEP = f"{_EVENTS_LOG}, st AS (SELECT experiment_id, fam, 0::BIGINT AS i, NULL::DATE AS day, [0, 0, 0]::BIGINT[] AS size, [0, 0, 0]::BIGINT[] AS free, [NULL, NULL, NULL]::DOUBLE[] AS cost, 0::BIGINT AS slot, 2 AS kind, NULL::BIGINT AS order_id, FALSE AS ignored, 0::BIGINT AS had, 0.0e0 AS cash, FALSE AS moved FROM who UNION ALL SELECT n.experiment_id, n.fam, n.i, n.day, [CASE WHEN j = n.slot THEN z.size WHEN z.moved AND j = n.slot + 1 THEN st.size[j] + z.m ELSE st.size[j] END for j in [1, 2, 3]], [CASE WHEN j = n.slot THEN z.free WHEN z.moved AND j = n.slot + 1 THEN x.free[j] + z.m ELSE x.free[j] END for j in [1, 2, 3]], [CASE WHEN j = n.slot THEN z.cost WHEN z.moved AND j = n.slot + 1 THEN (st.size[j] * coalesce(st.cost[j], 0) + z.m * coalesce(n.close / n.ratio, y.c / n.ratio)) / (st.size[j] + z.m) ELSE st.cost[j] END for j in [1, 2, 3]], n.slot, n.kind, n.order_id, y.ignored, y.s, z.cash, z.moved FROM st JOIN n ON n.experiment_id = st.experiment_id AND n.fam = st.fam AND n.i = st.i + 1, LATERAL (SELECT CASE WHEN n.day IS DISTINCT FROM st.day THEN st.size ELSE st.free END AS free) x, LATERAL (SELECT st.size[n.slot] AS s, x.free[n.slot] AS a, st.cost[n.slot] AS c, n.kind = 2 AND NOT n.is_buy AND n.q > x.free[n.slot] AS ignored) y, LATERAL (SELECT (CASE WHEN n.kind = 0 THEN floor(y.s * 1.5e0) WHEN n.kind = 1 THEN floor(y.s * 1.3e0) WHEN n.kind = 3 THEN 0 WHEN n.is_buy THEN y.s + n.q WHEN y.ignored THEN y.s ELSE y.s - n.q END)::BIGINT AS size, (CASE WHEN n.moves THEN floor(y.s * n.ratio) ELSE 0 END)::BIGINT AS m) v, LATERAL (SELECT v.size AS size, v.m AS m, (CASE WHEN n.kind = 0 THEN floor(y.a * 1.5e0) WHEN n.kind = 3 THEN 0 WHEN n.kind = 1 OR n.is_buy OR y.ignored THEN y.a ELSE y.a - n.q END)::BIGINT AS free, CASE WHEN v.size = 0 THEN NULL WHEN n.kind = 0 THEN y.c / 1.5e0 WHEN n.kind = 1 THEN (y.c + 0.3e0 * 500) / 1.3e0 WHEN n.is_buy THEN CASE WHEN y.s <= 0 THEN n.p ELSE (y.c * y.s + n.p * n.q) / (y.s + n.q) END ELSE y.c END AS cost, CASE WHEN n.kind = 0 THEN y.s * 0.2e0 WHEN n.kind = 1 THEN -y.s * 0.3e0 * 500 WHEN n.kind = 3 OR y.ignored THEN 0 WHEN n.is_buy THEN -n.p * n.q ELSE n.p * n.q END AS cash, v.m > 0 AS moved) z)"
+
+
+@query(f"{_EVENTS_STEP} SELECT experiment_id, fam * 3 - 3 + slot AS sid, {d('day')}, CASE kind WHEN 0 THEN 'bonus' WHEN 1 THEN 'rights' WHEN 3 THEN 'ended' ELSE CASE WHEN ignored THEN 'ignored' ELSE 'fill' END END AS action, order_id, size[slot] AS size_after, free[slot] AS available_after, {r('cost[slot]', 'cost_basis')}, {r('cash')} FROM st WHERE i > 0 AND (kind = 2 OR had > 0) UNION ALL SELECT experiment_id, fam * 3 - 2 + slot, {d('day')}, 'merged', NULL, size[slot + 1], free[slot + 1], {r('cost[slot + 1]', 'cost_basis')}, 0 FROM st WHERE i > 0 AND kind = 3 AND moved")
+def tx19_positions_through_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions carried through bonus shares, rights, chains of two mergers and delistings."""
+    n = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", n.alias("sid"))
+
+    def day(text: str, more: Column) -> Column:
+        return F.date_add(F.lit(text).cast("date"), more.cast("int")).alias("day")
+
+    bonus = s.where("s_suppkey % 2 = 0").select("sid", day("1996-07-01", n % 30), F.lit(3.0).alias("bonus_share"), F.lit(2.0).alias("transfer"), F.lit(2.0).alias("bonus"))
+    rights = s.where("s_suppkey % 4 = 0").select("sid", day("1998-02-01", n % 20), F.lit(3.0).alias("ratio"), F.lit(500.0).alias("price"))
+    ends = F.when(n % 3 == 1, "1997-06-30").when(n % 3 == 2, "1999-03-31").otherwise("2000-06-30").cast("date")
+    instruments = s.where("s_suppkey % 3 <> 0 OR s_suppkey % 7 = 0").select("sid", ends.alias("delist"), F.when(n % 3 != 0, n + 1).alias("merger"), F.when(n % 3 == 1, 1.5).otherwise(0.7).alias("ratio"))
+    closes = day_bars(spark, sf_dir).select("sid", F.to_date("ts").alias("day"), "close")
+    out = ledger.positions_through_events(_fills(spark, sf_dir), bonus, rights, instruments, closes)
+    return shown(out, "experiment_id", "sid", "day", "action", "order_id", "size_after", "available_after", "cost_basis", "cash")
+
+
 _EQ = f"{MONTHS}, eq AS (SELECT sid, ts, close AS value, row_number() OVER (PARTITION BY sid ORDER BY ts) AS n FROM bars)"
 
 

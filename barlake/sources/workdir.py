@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -20,3 +20,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_SETTING, found)
     return f"{found.rstrip('/')}/barlake-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh path of the shared folder and read again: later actions start from there."""
+    path, schema = new_folder(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
