@@ -39,6 +39,8 @@ LONGEST, THRESHOLD, BEST = 5, 100, 2000
 SHARD, VOCABULARY, TRIE = 1 << 21, 1 << 21, 1 << 17
 #: A block's own numbers: blocks are cut by hash, so they have about the given size and less than this.
 BLOCK = 1 << 24
+#: Blocks of tries whose sums a task holds, and tasks for each core that sum: partial sums don't grow with the shards.
+HELD, TASKS = 32, 2
 #: Parts into which a language's phrases are split before its best are chosen.
 _SALT = 64
 
@@ -184,14 +186,23 @@ def _neighbours(tries: list[str] | None, width: int, least: int) -> Callable:
 
 
 def _occurrences(tries: list[str], width: int) -> Callable:
-    """Phrases of the tries with their occurrences in each shard."""
+    """Phrases of the tries with their occurrences in a task's shards, summed for as many blocks as it may hold."""
+
+    def emitted(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for b, count in sums.items():
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(b * BLOCK + some), pa.array(count[some])], ["number", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for ids in _shards(batches, width):
             for b, uri in enumerate(tries):
+                if b not in sums and len(sums) == HELD:
+                    yield from emitted(sums)
+                    sums = {}
                 count = _block(uri).counts(ids)
-                some = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(b * BLOCK + some), pa.array(count[some])], ["number", "n"])
+                sums[b] = sums[b] + count if b in sums else count
+        yield from emitted(sums)
 
     return run
 
@@ -268,7 +279,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
         for empty in set(range(blocks)) - have:
             _written(f"{folder}/{empty}.trie", DoubleArray.of(np.zeros((0, k), np.int64)).dump())
         tries = [f"{folder}/{b}.trie" for b in range(blocks)]
-        sums = shards.mapInArrow(_occurrences(tries, width), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
+        summing = shards.coalesce(max(1, TASKS * spark.sparkContext.defaultParallelism))
+        sums = summing.mapInArrow(_occurrences(tries, width), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
         level = stored(candidates.join(sums, "number").select("words", "lang", "phrase", "last", "n", "number"), f"frequent-{k}")
         found.append(level.drop("number").withColumn("k", F.lit(k)))
     out = found[0]
