@@ -63,6 +63,9 @@ class DoubleArray:
     def of(cls, sequences: np.ndarray) -> DoubleArray:
         """The trie of distinct sequences, the rows of a matrix in lexicographic order."""
         count, depth = sequences.shape
+        if not count:
+            none = np.zeros(0, np.int64)
+            return cls(none, np.zeros(1, np.int64), np.full(1, -1), none, depth)
         symbols = np.unique(sequences)
         local = np.searchsorted(symbols, sequences)
         width = len(symbols)
