@@ -17,28 +17,30 @@ from ..functions.windows import BY, ORDER, expanding, series, trailing
 from .fill import heikin_ashi
 from .rolling import true_range
 from .scan import affine_scan
+from .stretches import running
 
 
-def _average(df: DataFrame, k: float, n: int, x: str, name: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """y = (1 - k) y + k x, begun with the mean of the first n known values."""
-    known = F.count(x).over(expanding(by, order))
-    seed = F.avg(x).over(expanding(by, order))
+def _average(df: DataFrame, k: float, n: int, x: str, name: str, by: Sequence[str], order: Sequence[str], width: int | None = None) -> DataFrame:
+    """y = (1 - k) y + k x, begun with the mean of the first n known values; ``width`` as in ``affine_scan``."""
     v = F.col(x)
-    rows = df.withColumns({"_known": known, "_seed": seed})
+    if width is None:
+        rows = df.withColumns({"_known": F.count(x).over(expanding(by, order)), "_seed": F.avg(x).over(expanding(by, order))})
+    else:
+        rows = running(df, {"_known": ("count", v), "_seed": ("sum", v)}, by=by, order=order, width=width).withColumn("_seed", F.try_divide("_seed", "_known"))
     rows = rows.withColumns(
         {"_a": F.when(v.isNull() | (F.col("_known") < n), F.lit(None).cast("double")).when(F.col("_known") == n, 0.0).otherwise(1 - k), "_b": F.when(F.col("_known") == n, F.col("_seed")).otherwise(k * v)}
     ).drop("_known", "_seed")
-    return affine_scan(rows, F.col("_a"), F.col("_b"), name, by=by, order=order).drop("_a", "_b")
+    return affine_scan(rows, F.col("_a"), F.col("_b"), name, by=by, order=order, width=width).drop("_a", "_b")
 
 
-def ema(df: DataFrame, n: int = 14, x: str = "close", name: str = "ema", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> DataFrame:
+def ema(df: DataFrame, n: int = 14, x: str = "close", name: str = "ema", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: int | None = None) -> DataFrame:
     """Exponential average with k = 2 / (n + 1)."""
-    return _average(df, 2.0 / (n + 1), n, x, name, by, order)
+    return _average(df, 2.0 / (n + 1), n, x, name, by, order, width)
 
 
-def wilder(df: DataFrame, n: int = 14, x: str = "close", name: str = "wilder", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> DataFrame:
+def wilder(df: DataFrame, n: int = 14, x: str = "close", name: str = "wilder", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: int | None = None) -> DataFrame:
     """Exponential average with k = 1 / n."""
-    return _average(df, 1.0 / n, n, x, name, by, order)
+    return _average(df, 1.0 / n, n, x, name, by, order, width)
 
 
 def dema(df: DataFrame, n: int = 14, x: str = "close", name: str = "dema", **key: Sequence[str]) -> DataFrame:

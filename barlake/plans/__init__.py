@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import bars, indicators, more, portfolio, streams, surface
+from . import bars, hot, indicators, more, portfolio, streams, surface
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "bars", "indicators", "more", "portfolio", "streams", "surface"]
+__all__ = ["ORACLE", "QUERIES", "bars", "hot", "indicators", "more", "portfolio", "streams", "surface"]
