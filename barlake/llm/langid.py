@@ -145,7 +145,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageFilter
     if not languages:
         return LanguageFilters([], masks, 0)
     part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()])
-    taken = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * part)
+    taken = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * part)
     taken_sizes = {x: min(n, per_language) for x, n in sizes.items()}
     index = {x: i for i, x in enumerate(languages)}
     counts = taken.select("lang", "text").mapInArrow(_presence, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))

@@ -198,9 +198,17 @@ class _Tokens:
         return _dealt(self.context_before, self.context_count, self.word_before, self.total, n)
 
     def keys(self) -> np.ndarray:
+        _fits(self.context, self.word)
         return (self.context.astype(np.uint64) << np.uint64(32)) | self.word.astype(np.uint64)
 
 
+def _fits(*columns: np.ndarray, bits: int = 32) -> None:
+    """An error instead of a wrong score where a number would not fit its field."""
+    for x in columns:
+        if len(x) and (int(x.max()) >> bits):
+            raise OverflowError(f"{int(x.max())} does not fit in {bits} bits; use more shards")
+
+
 @dataclass
 class Pairs:
     """Level 2: shard files; the places and the running counts at which each begins; and how many successors of its first context stand in shards before it."""
@@ -251,6 +259,7 @@ class _Followed:
         last[t.start] = -1
         self.last = last  # the pair that is the context
         whole = np.flatnonzero((last >= 0) & (self.pair >= 0))
+        _fits(last[whole], self.pair[whole])
         # a pair's number is in the order of its place and, after one word, of its rank
         _, first, back, self.triple_count = np.unique((last[whole].astype(np.uint64) << np.uint64(32)) | self.pair[whole].astype(np.uint64), return_index=True, return_inverse=True, return_counts=True)
         self.triple = np.full(len(t.word), -1, np.int64)
@@ -306,6 +315,7 @@ def _packed_counts(shard: np.ndarray, n: int, context: np.ndarray, word: np.ndar
     rows = []
     for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         a, b = int(cuts[s]), int(cuts[s + 1])
+        _fits(np.diff(context[a:b], prepend=context[a]), word[a:b])
         rows.append((s, int(context[a]), _planes(np.diff(context[a:b], prepend=context[a]).astype(np.uint32)), _planes(word[a:b].astype(np.uint32)), _planes(_small(counts[a:b]))))
     columns = list(zip(*rows, strict=True)) or [()] * 5
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -326,7 +336,10 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarr
             counts = np.frombuffer(packed, np.uint8) if len(packed) == len(words) else _from_planes(c, np.uint64)
             # contexts of a shard are near one another: their distance from here fits in 32 bits
             shift = first - zero.setdefault(s, first - (1 << 31))
+            _fits(np.array([0 if shift >= 0 else 1 << 32]))
             contexts = np.cumsum(_from_planes(h, np.uint32), dtype=np.uint64) + np.uint64(shift)
+            _fits(contexts)
+            _fits(counts, bits=31)
             held.setdefault(s, []).append(((contexts << np.uint64(32)) | words, counts.astype(np.int32)))
             if len(held[s]) > 64:
                 held[s] = [_summed(np.concatenate([x for x, _ in held[s]]), np.concatenate([y for _, y in held[s]]))]

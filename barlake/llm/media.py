@@ -2,16 +2,15 @@
 
 A document's bytes, padded with zeros to a positive multiple of 64, are the
 samples of an 8-bit grey PNG 64 pixels wide, one row for each 64 bytes.  The
-digest of the text's bytes is the address: distinct content is stored once
-(again only for rows equal in id and text in one go, which nothing tells apart
-where they are read; the first place counts), and rows carry shard, offset and
-length.  Width, height and bit depth are read back from the first 33 bytes
+digest of the text's bytes is the address: distinct content is stored once, and
+rows carry shard, offset and length.  Width, height and bit depth are read back from the first 33 bytes
 alone (``header_columns`` makes range reads and no others); the other features
 from the stored member.
 
-Of rows with one digest the smallest doc_id stands for all: only digests and
-ids are shuffled to find it.  Texts stay where they are read: each task writes
-the contents that its rows stand for as tar shards of about ``SHARD_BYTES``,
+Of rows with one digest the smallest doc_id (none counts as the smallest) stands
+for all: only digests and ids are shuffled to find it.  Texts stay where they are
+read, but for those of contents that several rows have, of which the rows of that
+id are reduced to one: each task writes its contents as tar shards of about ``SHARD_BYTES``,
 under temporary names that become the shards' names when they are complete, so
 a repeated task leaves the same shards.  The index of the shards is a written table, from which the
 columns are read back shard by shard.
@@ -178,17 +177,19 @@ def media_columns(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     folder = new_folder(spark, "media")
-    least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    keys = stored(docs.select("digest", least.alias("id")), "digests")
-    first = keys.groupBy("digest").agg(F.min("id").alias("id"))
-    # rows that another row stands for; a few of the corpus as a rule, else they are shuffled
-    others = stored(keys.join(first, ["digest", "id"], "left_anti").distinct(), "others")
-    others = F.broadcast(others) if others.count() * ROW_BYTES <= BROADCAST_BYTES else others
-    own = docs.withColumn("id", least).join(others, ["digest", "id"], "left_anti").select("digest", "text")
+    # one row of each content is written: of rows without id, and of rows equal in id and text, those with the least number
+    keys = stored(docs.select("digest", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")), "digests")
+    first = keys.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    # contents of several rows; a few of the corpus as a rule, else they are shuffled
+    several = stored(first.where("n > 1").select("digest", "id"), "others")
+    several = F.broadcast(several) if several.count() * ROW_BYTES <= BROADCAST_BYTES else several
+    known = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(several.withColumn("_several", F.lit(True)), "digest", "left")
+    alone = known.where("_several is null").select("digest", "text")
+    # of the others the rows of the least id, equal in it and so in all that is stored: one stays
+    shared = known.where("_several and _id = id").select("digest", "text").dropDuplicates(["digest"])
+    own = alone.unionByName(shared)
     written = stored(own.mapInArrow(_writer(folder, SHARD_BYTES), "shard long, digest binary, n_bytes long, offset long, length long"), "media-index")
-    # equal rows may each have been written: the first place counts
-    place = F.min(F.struct("shard", "offset", "n_bytes", "length")).alias("p")
-    index = written.groupBy("digest").agg(place).select("p.shard", "digest", "p.n_bytes", "p.offset", "p.length")
+    index = written.select("shard", "digest", "n_bytes", "offset", "length")
     shards = max(1, written.agg(F.countDistinct("shard")).first()[0])
     index = index.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
     ddl = ", ".join(f"{name} {_DDL[kind]}" for name, kind in zip(NAMES, KINDS, strict=True))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a size in words and a 60-bit hash of its id.  A source with
+Every document has a size in words and a 60-bit hash of its id and text.  A source with
 target T and size S takes each document ``floor(T / S)`` times, and the
 documents whose hash lies below a threshold once more, so that the sizes below
 the threshold come as near as whole documents allow to the rest of the target.
@@ -19,8 +19,10 @@ ascending order the sources that stop are a prefix, so the level is found by
 running sums over the small per-source table.
 
 Null or word-less text has size 0 and is taken 0 words.  A source of size 0 has
-target 0.  Documents with equal ids (or none) have equal hashes and are taken
-alike, repeated rows too.  Further columns are not read.  Targets come from
+target 0.  Rows without id are told apart by their texts.  Rows equal in id and
+text have equal hashes and are taken alike: together they are one step, so a
+source comes within half of its largest such group (usually one document) of its
+target.  Further columns are not read.  Targets come from
 windows over one row a source: a task's work for thousands of sources.
 """
 
@@ -38,15 +40,16 @@ MOST = 3
 BITS = 12
 
 
-def hash60(column: Column) -> Column:
-    """The leading 60 bits of the md5 of a value's text, as a long."""
-    return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def hash60(doc_id: Column, text: Column) -> Column:
+    """The leading 60 bits of the md5 of a row's id, a colon and its text, as a long."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): words of each text and the hash of its id."""
+    """(doc_id, source, size, h): words of each text and the hash of its id and text."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), hash60(F.col("doc_id")).alias("h"))
+    return docs.select("doc_id", "source", size.alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -110,13 +113,13 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, most: int = MOST) -> DataFrame:
-    """``docs`` (with doc_id and source) and columns source_size, target and copies.
+    """``docs`` (with source and h, the row's hash) and columns source_size, target and copies.
 
     The plan has one row a source, so Spark sends it to the documents.
     """
     columns = ["source_size", "target", "base", "rest", "threshold"]
     p = plan.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in columns])
-    more = F.when(F.col("_rest") > 0, F.coalesce(hash60(F.col("doc_id")) < F.col("_threshold"), F.lit(True)).cast("long")).otherwise(0)
+    more = F.when(F.col("_rest") > 0, F.coalesce(F.col("h") < F.col("_threshold"), F.lit(True)).cast("long")).otherwise(0)
     joined = docs.join(p, F.col("source").eqNullSafe(F.col("_source")))
     return joined.select(
         *[docs[c] for c in docs.columns if c not in ("source_size", "target", "copies")], F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),

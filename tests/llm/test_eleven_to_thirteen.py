@@ -256,3 +256,49 @@ def test_the_blocks_hold_whole_permutations():
     assert neighbours._permutations(y, y, 4)[2].tolist() == [2, 0, 1, 3]  # ties to the smaller pivot
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([[1.0], [2.0], [3.0]])], ["id", "x"])
     assert [a.tolist() for a, _ in neighbours._slabs(iter([batch, batch]), 1, 4)] == [[1, 2, 3, 1], [2, 3]]
+
+
+# --- rows without id in earlier operators --------------------------------------------------------
+
+
+def test_sources_without_ids_meet_their_targets(spark):
+    from barlake.llm import mixing
+
+    rows = [(i if i % 2 and s != "b" else None, f"w{i} " * (1 + i % 7), "en", s, 1) for s in "abc" for i in range(400)]
+    got = mixing.mixed(table(spark, rows).select("doc_id", "text", "source")).collect()
+    kept = mixing.with_copies(mixing.sizes(table(spark, rows)), mixing.thresholds(mixing.sizes(table(spark, rows))))
+    taken = {r.source: (r.taken, r.target) for r in kept.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert len(got) == 1200 and all(abs(t - goal) <= 7 / 2 + 1 for t, goal in taken.values())
+
+
+def test_media_are_stored_once_without_ids(spark, tmp_path):
+    import tarfile
+
+    from barlake.llm import media
+
+    rows = [(None, f"text {i % 2}", "en", "s", 1) for i in range(40)] + [(5, "same", "en", "s", 1)] * 30 + [(i, f"own {i}", "en", "s", 1) for i in range(6)] + [(7, "text 1", "en", "s", 1)]
+    got = media.media_columns(table(spark, rows).repartition(4)).collect()
+    assert len(got) == len(rows) and len({(r.media_uri, r.media_offset) for r in got}) == 9
+    assert sum(len(tarfile.open(u.removeprefix("file://")).getmembers()) for u in {r.media_uri for r in got}) == 9
+    fields = {r.digest: r.feature for r in got}
+    payload = np.frombuffer(b"same".ljust(64, b"\0"), np.uint8)
+    levels = "/".join(map(str, np.bincount(payload >> 5, minlength=8).tolist()))
+    assert fields[hashlib.sha256(b"same").hexdigest()] == f"64x1x8;mean={payload.mean():.6f};levels={levels}"
+
+
+def test_a_sample_of_rows_without_ids_is_bounded(spark):
+    from barlake.llm import langid
+
+    rows = [(None, f"the cat number {i} sat on the mat", "en", "s", 1) for i in range(3000)] + [(None, f"le chat {i} est sur le tapis", "fr", "s", 1) for i in range(3000)]
+    filters = langid.fit(table(spark, rows), per_language=300)
+    assert {r.lang_pred for r in langid.identify(table(spark, [(1, "the cat sat", None, None, None)]), filters).collect()} == {"en"}
+    part = table(spark, rows).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 100_000).count()
+    assert 450 < part < 750
+
+
+def test_numbers_that_do_not_fit_are_errors():
+    from barlake.llm import lm
+
+    lm._fits(np.array([2**32 - 1]), np.zeros(0, np.int64))
+    with pytest.raises(OverflowError, match="32 bits"):
+        lm._fits(np.array([1, 2**32]))
