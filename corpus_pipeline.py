@@ -50,12 +50,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix takes them.
 
-    The hash of a row's id decides, so rows with equal ids (or without one) of
-    a source are taken alike; a text without words counts nothing and follows
-    the same rule.
+    The hash of a row's id and text decides, so rows of a source that are equal
+    in both are taken alike; a text without words counts nothing and follows the
+    same rule.
     """
     plan = mixing.thresholds(stored(mixing.sizes(docs), "sizes"))
-    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))  # whatever its columns are called
+    h = mixing.hash60(F.col("doc_id"), F.col("text"))
+    rows = docs.select("source", h.alias("h"), F.struct(*docs.columns).alias("row"))  # whatever its columns are called
     taken = mixing.with_copies(rows, plan).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
