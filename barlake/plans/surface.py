@@ -14,6 +14,7 @@ from ..functions.buckets import market_close, market_open
 from ..operators import align, calendar, ledger, resample, signals
 from ..sources import bars as src
 from ..sources import sinks
+from ..sources.upserts import UpsertTable
 from ..sources.workdir import new_folder
 from ..streaming import live
 from .base import DAYS, EVENTS, MONTHS, S, UPTO, d, day_bars, event_ticks, month_bars, query, r, shown, t, table, ticks
@@ -112,7 +113,49 @@ def snk6_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, keys, order = new_folder(spark, "versions"), ("sid",), ("ts", "tb")
     rows = _stream(spark, sf_dir).select("sid", "ts", "tb", "price")
     live.upsert_stream(rows, path, new_folder(spark, "versions-state"), keys, order).awaitTermination()
-    return shown(sinks.latest_by_key(spark.read.schema(rows.schema).parquet(path), keys, order), "sid", "ts", "tb", "price")
+    return shown(UpsertTable(spark, path, keys, order).read(spark.createDataFrame([], rows.schema)), "sid", "ts", "tb", "price")
+
+
+_SPLITS = ("2024-01-08", "2024-01-16", "2024-01-24", "2100-01-01")
+
+
+def _staged(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame], None]) -> None:
+    """All events in four micro-batches by time; the stream is stopped after each."""
+    rows, source, before = event_ticks(spark, sf_dir).select("sid", "ts", "tb", "price"), new_folder(spark, "staged"), "1900-01-01"
+    for cut in _SPLITS:
+        rows.where((F.col("ts") >= F.lit(before).cast("timestamp")) & (F.col("ts") < F.lit(cut).cast("timestamp"))).write.mode("append").parquet(source)
+        run(live.stream_ticks(spark, source, rows.schema))
+        before = cut
+
+
+@query(f"WITH ticks AS ({EVENTS}) SELECT sid, tb % 500 AS slot, {t()}, tb, {r('price')} FROM ticks QUALIFY row_number() OVER (PARTITION BY sid, tb % 500 ORDER BY ts DESC, tb DESC) = 1")
+def snk6_upsert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest row of many keys over four micro-batches, merged into a snapshot after every second one."""
+    path, keys, order, state = new_folder(spark, "versions"), ("sid", "slot"), ("ts", "tb"), new_folder(spark, "versions-state")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select("sid", (F.col("tb") % 500).alias("slot"), "ts", "tb", "price")
+
+    _staged(spark, sf_dir, lambda rows: live.upsert_stream(keyed(rows), path, state, keys, order, parts=2).awaitTermination())
+    like = keyed(event_ticks(spark, sf_dir))
+    return shown(UpsertTable(spark, path, keys, order).read(like), "sid", "slot", "ts", "tb", "price")
+
+
+@query(f"WITH ticks AS ({EVENTS}) SELECT sid, {t()}, tb, ts >= TIMESTAMP '2024-01-24' AS dead FROM ticks")
+def snk10_dead_letter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that takes events up to a day: the micro-batch beyond it goes to dead letters, the others are kept."""
+    path, dead, state = new_folder(spark, "taken"), new_folder(spark, "dead"), new_folder(spark, "taken-state")
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        if batch.where("ts >= timestamp '2024-01-24'").limit(1).count():
+            raise ValueError("the table ends on 24 January")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    _staged(spark, sf_dir, lambda rows: live.dead_letter_stream(rows, take, dead, state).awaitTermination())
+    like = event_ticks(spark, sf_dir).select("sid", "ts", "tb", "price").schema
+    taken = spark.read.schema(like).parquet(path).withColumn("dead", F.lit(False))
+    failed = spark.read.schema(T.StructType([*like, T.StructField("error", T.StringType())])).parquet(dead)
+    return shown(taken.unionByName(failed.withColumn("dead", F.contains("error", F.lit("ends on"))).drop("error")), "sid", "ts", "tb", "dead")
 
 
 # --- hours, bindings, checks ----------------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from ..operators.resample import bar_aggregates
 from ..operators.steps import Average, Kaufman, Make, Renko
 from ..operators.stepwise import final_states
 from ..sources.schema import FIELDS
+from ..sources.upserts import PARTS, UpsertTable
 
 DELAY = "1 hour"
 #: Rows that wait for the watermark set one timer for each such stretch of time.
@@ -354,14 +355,36 @@ def metric_stream(log: DataFrame, path: str, checkpoint: str, kind: str = "parqu
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def upsert_stream(rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
-    """Keeps the newest row of each key: a micro-batch is reduced and written as a version of its own under ``path``.
+def upsert_stream(rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], parts: int = PARTS) -> StreamingQuery:
+    """Keeps the newest row of each key in the ``UpsertTable`` at ``path``; a repeated micro-batch counts once."""
 
-    Readers take ``latest_by_key`` over the folder; a repeated batch overwrites its version.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        UpsertTable(batch.sparkSession, path, keys, order, parts).put(batch, batch_id)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dead_letter_stream(rows: DataFrame, sink: Callable[[DataFrame, int], None], dead_path: str, checkpoint: str, attempts: int = 2) -> StreamingQuery:
+    """Gives each micro-batch to ``sink``; one that it fails to take goes to files below ``dead_path`` and the stream goes on.
+
+    ``sink`` must bear being called again with the same batch, as every
+    ``foreachBatch`` sink must.  Dead letters keep their columns, with the batch,
+    the time and the first line of the last error; a repeated batch replaces its own.
     """
-    from ..sources.sinks import latest_by_key
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_by_key(batch, list(keys), list(order)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.persist()
+        error = None
+        for _ in range(attempts):
+            try:
+                sink(batch, batch_id)
+                break
+            except Exception as e:  # noqa: BLE001 - whatever the sink raises
+                error = e
+        else:
+            why = str(error).strip().split("\n")[0][:500]
+            failed = batch.withColumns({"failed_batch": F.lit(batch_id).cast("long"), "failed_at": F.current_timestamp(), "error": F.lit(why)})
+            failed.write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
+        batch.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

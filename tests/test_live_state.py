@@ -151,3 +151,42 @@ def test_ties_decide_whatever_the_input_order(spark):
         bricks.add(tuple(map(tuple, fill.renko(df, tie=("tb",), size=2.0).orderBy("tb").collect())))
         stops.add(tuple(map(tuple, signals.trailing_stop_positions(df, "go", "gap", tie=("tb",)).orderBy("tb").collect())))
     assert len(bricks) == len(stops) == 1 and len(next(iter(bricks))) == 5
+
+
+def test_upserts_stay_few_and_whole(spark, tmp_path):
+    from barlake.sources.upserts import UpsertTable
+
+    table = UpsertTable(spark, f"file://{tmp_path}/t", ["k"], ["n"], parts=3)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, n long, v string")
+    assert table.read(frame([])).count() == 0
+    want = {}
+    for batch in range(8):
+        rows = [(k, batch, f"{k}{batch}") for k in ("a", "b", "cdefghij"[batch])]
+        table.put(frame(rows), batch)
+        old = table.read(frame([]))
+        want.update({k: v for k, _, v in rows})
+        assert {r.k: r.v for r in old.collect()} == want
+        assert len(list((tmp_path / "t" / "part").iterdir())) <= 3 + 4 and len([p for p in (tmp_path / "t" / "manifest").iterdir() if p.name.isdigit()]) <= 2
+    table.put(frame([("a", 99, "again")]), 2)  # a repeated batch that a snapshot has
+    assert {r.k: r.v for r in table.read(frame([])).collect()} == want
+    table.put(frame([("a", 7, "a7"), ("b", 7, "b7"), ("j", 7, "j7")]), 7)  # a repeated batch that is a part of its own
+    before = table.read(frame([]))
+    table.put(frame([("z", 8, "z8")]), 8)
+    assert before.count() == len(want)  # readers of the version before go on
+    assert {r.k for r in table.read(frame([])).collect()} == {*want, "z"}
+
+
+def test_what_a_sink_refuses_is_kept(spark, tmp_path):
+    feed, seen, dead = Feed(spark, tmp_path, "sid string, n long"), [], str(tmp_path / "dead")
+
+    def sink(batch, batch_id):
+        seen.append(batch_id)
+        if batch.where("n < 0").count():
+            raise ValueError("negative\nand more")
+
+    for batch in ([("a", 1)], [("a", -1), ("b", 2)], [("c", 3)]):
+        feed.put(batch)
+        live.dead_letter_stream(feed.stream(), sink, dead, feed.state).awaitTermination()
+    got = spark.read.parquet(dead).collect()
+    assert sorted((r.sid, r.n, r.failed_batch, r.error) for r in got) == [("a", -1, 1, "negative"), ("b", 2, 1, "negative")]
+    assert seen == [0, 1, 1, 2]
