@@ -5,10 +5,10 @@ these, cut where a piece ends or an infrequent word stands.  Phrases are found
 level by level.  A phrase of k words can only be frequent if both phrases of k
 - 1 words in it are (Apriori), so a shard walks the double-array trie of the
 last level at all its positions at once and takes neighbouring accepting states
-as candidates.  Of these it names only those that it has at least ``least``
-times itself, with that number; a candidate whose named counts, and the most
-that the other shards may have left unnamed, don't come to the threshold goes
-(the partition algorithm's bound, exact and safe).  The rest form tries, which
+as candidates, with their numbers there.  Where there are fewer shards than the
+threshold a shard leaves out what it has once; a candidate whose named counts,
+and the one that every other shard may have left out, don't come to the
+threshold goes (the partition algorithm's bound, exact and safe).  The rest form tries, which
 every shard walks again: occurrences are a bincount of accepting states, summed
 over the shards.
 
@@ -260,7 +260,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
     width = 4 if blocks < 128 else 8
     shards = stored(texts.mapInArrow(_numbers(folder, blocks), "ids binary"), "numbers")
     n_shards = shards.count()
-    least = max(1, -(-threshold // max(n_shards, 1)))
+    least = 2 if n_shards < threshold else 1  # with more shards nothing that one of them leaves unnamed can be bounded
     level = words.select(F.array("number").alias("words"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", "number")
     found, tries = [level.drop("number").withColumn("k", F.lit(1))], None
     for k in range(2, longest + 1):
