@@ -177,7 +177,7 @@ def test_upserts_stay_few_and_whole(spark, tmp_path):
 
 
 def test_what_a_sink_refuses_is_kept(spark, tmp_path):
-    feed, seen, dead = Feed(spark, tmp_path, "sid string, n long"), [], str(tmp_path / "dead")
+    feed, seen, dead = Feed(spark, tmp_path, "sid string, n long, ts timestamp"), [], str(tmp_path / "dead")
 
     def sink(batch, batch_id):
         seen.append(batch_id)
@@ -185,7 +185,7 @@ def test_what_a_sink_refuses_is_kept(spark, tmp_path):
             raise ValueError("negative\nand more")
 
     for batch in ([("a", 1)], [("a", -1), ("b", 2)], [("c", 3)]):
-        feed.put(batch)
+        feed.put([(*r, START) for r in batch])
         live.dead_letter_stream(feed.stream(), sink, dead, feed.state).awaitTermination()
     got = spark.read.parquet(dead).collect()
     assert sorted((r.sid, r.n, r.failed_batch, r.error) for r in got) == [("a", -1, 1, "negative"), ("b", 2, 1, "negative")]
