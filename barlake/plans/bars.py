@@ -106,10 +106,11 @@ def src12_quote_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(out[0].join(out[1], ["sid", "ts"]).join(out[2], ["sid", "ts"]))
 
 
-@query("WITH w AS (SELECT l_suppkey AS sid, sum(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS a, sum(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS b FROM lineitem GROUP BY l_suppkey) SELECT sid, '1995-01-02' AS day, nullif(coalesce(a, 0), 0) / 100.0e0 AS close FROM w UNION ALL SELECT sid, '1995-01-03', nullif(coalesce(b, 0), 0) / 100.0e0 FROM w")
+@query("WITH n AS (SELECT DISTINCT l_linenumber AS n FROM lineitem WHERE l_linenumber <= 7), s AS (SELECT DISTINCT l_suppkey AS sid FROM lineitem), w AS (SELECT l_suppkey AS sid, l_linenumber AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), a AS (SELECT sid, unnest(range(1, 8)) AS n FROM s) SELECT a.sid, '1995-01-0' || (a.n + 1) AS day, nullif(coalesce(q, 0), 0) / 100.0e0 AS close FROM a LEFT JOIN w ON w.sid = a.sid AND w.n = a.n")
 def src13_price_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column a day for each of the seven line numbers."""
     li = table(spark, sf_dir, "lineitem")
-    wide = li.groupBy(F.col("l_suppkey").alias("sid")).agg(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") == n, F.col("l_quantity"))), F.lit(0.0)).alias(day) for n, day in ((1, "19950102"), (2, "19950103"))])
+    wide = li.groupBy(F.col("l_suppkey").alias("sid")).agg(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") == n, F.col("l_quantity"))), F.lit(0.0)).alias(f"1995010{n + 1}") for n in range(1, 8)])
     return shown(src.matrix_to_long(wide, "close", scale=100.0))
 
 
@@ -179,12 +180,15 @@ def snk6_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(current, batch, ["o_orderkey"], ["o_orderstatus"])
 
 
-@query(f"SELECT o.o_orderkey AS order_id, {t('o.o_orderdate', 'created_dt')}, count(l.l_orderkey) AS n_fills FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' GROUP BY o.o_orderkey, o.o_orderdate")
+@query(f"SELECT o.o_orderkey AS order_id, {t('o.o_orderdate', 'created_dt')}, count(l.l_orderkey) AS n_fills, coalesce(string_agg(strftime(l_shipdate, '%Y-%m-%d') || ':' || l_quantity::BIGINT || ':' || l_extendedprice::DECIMAL(18, 2), ',' ORDER BY l_shipdate, l_quantity, l_extendedprice), '') AS fills FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' GROUP BY o.o_orderkey, o.o_orderdate")
 def snk9_order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of a year with all their fills."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     fills = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("executed_dt"), F.col("l_quantity").alias("executed_size"), F.col("l_extendedprice").alias("executed_price"))
     found = sinks.order_history(o.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("created_dt")), fills, "1997-01-01", "1997-12-31")
-    return shown(found.select("order_id", "created_dt", F.coalesce(F.size("fills"), F.lit(0)).cast("long").alias("n_fills")).withColumn("n_fills", F.greatest("n_fills", F.lit(0))))
+    text = F.transform("fills", lambda x: F.concat_ws(":", F.date_format(x["executed_dt"], "yyyy-MM-dd"), x["executed_size"].cast("long").cast("string"), x["executed_price"].cast("decimal(18,2)").cast("string")))
+    listed = F.coalesce(F.array_join(text, ","), F.lit(""))
+    return shown(found.select("order_id", "created_dt", F.greatest(F.coalesce(F.size("fills"), F.lit(0)), F.lit(0)).cast("long").alias("n_fills"), listed.alias("fills")))
 
 
 # --- filters and fillers ----------------------------------------------------------------
@@ -273,16 +277,22 @@ def jn2_couple_no_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(align.couple(day_bars(spark, sf_dir), _slow(spark, sf_dir), ["slow_close"], look_ahead=False), "sid", "ts", "slow_close")
 
 
-@query(f"{HOURS}, k AS (SELECT ts, max(CASE WHEN sid = 'click' THEN close END) AS click, max(CASE WHEN sid = 'view' THEN close END) AS view_ FROM bars WHERE sid IN ('click', 'view') GROUP BY ts) SELECT {t()}, {r('last_value(click IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)', 'click')}, {r('last_value(view_ IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)', 'view_')} FROM k")
+_KINDS = ("click", "error", "purchase", "signup", "view")
+_CLOCK = ", ".join(f"max(CASE WHEN sid = '{k}' THEN close END) AS {k}_" for k in _KINDS)
+
+
+@query(f"{HOURS}, k AS (SELECT ts, {_CLOCK} FROM bars GROUP BY ts) SELECT {t()}, {', '.join(r(f'last_value({k}_ IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)', f'{k}_') for k in _KINDS)} FROM k")
 def jn3_shared_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All event types on one clock."""
     bars = hour_bars(spark, sf_dir)
-    return shown(align.shared_clock({"click": bars.where("sid = 'click'"), "view_": bars.where("sid = 'view'")}))
+    return shown(align.shared_clock({f"{k}_": bars.where(F.col("sid") == k) for k in _KINDS}))
 
 
-@query(f"{HOURS} SELECT {t('a.ts', 'ts')}, {r('a.close', 'close_l')}, {r('b.close', 'close_r')} FROM bars a JOIN bars b ON a.ts = b.ts WHERE a.sid = 'click' AND b.sid = 'view'")
+@query(f"{HOURS} SELECT {t('a.ts', 'ts')}, a.sid AS sid_l, b.sid AS sid_r, {r('a.close', 'close_l')}, {r('b.close', 'close_r')} FROM bars a JOIN bars b ON a.ts = b.ts WHERE a.sid < b.sid")
 def jn4_equal_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours in which two event types have bars, for all pairs of the five types."""
     bars = hour_bars(spark, sf_dir).select("sid", "ts", "close")
-    return shown(align.equal_times(bars.where("sid = 'click'"), bars.where("sid = 'view'")), "ts", "close_l", "close_r")
+    return shown(align.equal_times(bars, bars).where("sid_l < sid_r"), "ts", "sid_l", "sid_r", "close_l", "close_r")
 
 
 _BM = "bm AS (SELECT date_trunc('week', ts)::DATE AS day, avg(close) AS ret FROM bars GROUP BY date_trunc('week', ts)::DATE)"
@@ -368,3 +378,15 @@ def cal7_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_DAYS}, b AS (SELECT unnest(generate_series((SELECT min(day) FROM days), (SELECT max(day) FROM days), INTERVAL 1 DAY))::DATE AS target) SELECT {d('b.target', 'target')}, {d('min(days.day)', 'day')} FROM b JOIN days ON days.day >= b.target WHERE day(b.target) IN (1, 15) GROUP BY b.target")
 def cal8_month_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(calendar.restricted_days(_trading(spark, sf_dir), month_days=(1, 15)))
+
+
+@query(f"{_DAYS}, b AS (SELECT unnest(generate_series((SELECT min(day) FROM days), (SELECT max(day) FROM days), INTERVAL 1 DAY))::DATE AS target) SELECT {d('b.target', 'target')}, {d('min(days.day)', 'day')} FROM b JOIN days ON days.day >= b.target WHERE isodow(b.target) IN (1, 5) GROUP BY b.target")
+def cal8_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mondays and Fridays, on the next trading day where they are none."""
+    return shown(calendar.restricted_days(_trading(spark, sf_dir), weekdays=(1, 5)))
+
+
+@query(f"{_DAYS} SELECT {d('day', 'target')}, {d('day')} FROM days WHERE isodow(day) = 3 OR day(day) = 15")
+def cal8_without_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wednesdays and the 15th where they are trading days."""
+    return shown(calendar.restricted_days(_trading(spark, sf_dir), weekdays=(3,), month_days=(15,), carry=False))

@@ -181,6 +181,15 @@ def rc1_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(recursive.ema(day_bars(spark, sf_dir), 10), "sid", "ts", "ema")
 
 
+_OSC = _M.replace(MONTHS, DAYS) + _smooth("nb", "close", "(2.0e0 / 13)", 12, "f", "") + _smooth("nb", "close", "(2.0e0 / 27)", 26, "g", "")
+
+
+@query(f"{_OSC} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('f.y - g.y', 'apo')}, {r('100 * (f.y - g.y) / g.y', 'ppo')} FROM nb LEFT JOIN f ON nb.sid = f.sid AND nb.rn = f.rn LEFT JOIN g ON nb.sid = g.sid AND nb.rn = g.rn")
+def wn16_price_oscillator_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oscillator of exponential averages."""
+    return shown(rolling.price_oscillator(day_bars(spark, sf_dir), ma="ema"), "sid", "ts", "apo", "ppo")
+
+
 _E3 = _EMA + _smooth("e1", "y", "(2.0e0 / 11)", 10, "e2", "") + _smooth("e2", "y", "(2.0e0 / 11)", 10, "e3", "")
 
 

@@ -312,6 +312,16 @@ def tx24_cash_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cash.select("experiment_id", "ref", (F.round(F.col("cash") + F.lit(0.0013), 2) + F.lit(0.0)).alias("cash"))
 
 
+@query(f"WITH {_FILLS}, l AS (SELECT experiment_id, executed_dt AS ts, order_id::VARCHAR AS ref, CASE WHEN is_buy THEN -q * p ELSE q * p END - comm AS amount FROM fills UNION ALL SELECT o_custkey % 50, o_orderdate, NULL, o_totalprice / 8 FROM orders WHERE o_orderstatus = 'F') SELECT experiment_id, {t()}, coalesce(ref, '') AS ref, {r('amount')}, round(1000000 + sum(amount) OVER (PARTITION BY experiment_id ORDER BY ts, ref NULLS FIRST, amount ROWS UNBOUNDED PRECEDING) + 0.0013, 2) + 0.0e0 AS cash FROM l")
+def tx24_cash_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash after every fill and every payment from outside, those of a time before its fills."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    events = o.select((F.col("o_custkey") % 50).alias("experiment_id"), F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") / 8).alias("amount"))
+    out = ledger.cash_ledger(_fills(spark, sf_dir), 1_000_000.0, events)
+    near = F.round(F.col("cash") + F.lit(0.0013), 2)
+    return shown(out, "experiment_id", "ts", F.coalesce("ref", F.lit("")).alias("ref"), "amount", near.alias("cash"))
+
+
 @query(f"{_POS.replace(DAYS + ', ', 'WITH ')} SELECT sid AS experiment_id, {d('day')}, {r('sum(size * cost + size * 2)', 'portfolio_value')}, {r('sum(size * 2.0e0)', 'pnl')} FROM pos GROUP BY sid, day")
 def tx25_account_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = _positions(spark, sf_dir).withColumns({"pnl": F.col("size") * 2.0, "day": F.to_date("day")}).withColumnRenamed("sid", "experiment_id")
