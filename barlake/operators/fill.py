@@ -14,8 +14,10 @@ from ..functions.buckets import at_time, in_session
 from ..functions.windows import BY, series
 from ..sources.schema import PRICES
 from .scan import affine_scan
+from .spans import SpanRenko, in_spans
 from .steps import Renko
 from .stepwise import stepwise
+from .stretches import running
 
 
 def session_filter(bars: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
@@ -143,7 +145,7 @@ def heikin_ashi(bars: DataFrame, *, by: Sequence[str] = BY, order: Sequence[str]
 
 def renko(
     bars: DataFrame, *, tie: Sequence[str], by: Sequence[str] = BY, ts: str = "ts", size: float | None = None, autosize: float = 20.0, align: float = 1.0, hilo: bool = False, dynamic: bool = False,
-    round_start: bool = True,
+    round_start: bool = True, width: int | None = None,
 ) -> DataFrame:
     """Bricks of a fixed size (or the first open / ``autosize``): at most one a bar, volume 0, other bars dropped.
 
@@ -154,8 +156,16 @@ def renko(
     brick the band is two rungs wide.  With ``dynamic`` a brick's size follows
     its price.  A bar without close, or before the first open, draws nothing.
     Bars of one time are taken in the order of ``tie``, whose columns stay in
-    the result; it is empty where a series has one bar a time.
+    the result; it is empty where a series has one bar a time.  With ``width``
+    (seconds, ``spans``) a series is spread over tasks; bricks of dynamic size
+    can't be.
     """
+    if width is not None:
+        if dynamic:
+            raise ValueError("bricks of dynamic size need a series in one task")
+        open_ = F.when(F.col("close").isNotNull() & ~F.isnan("close") & ~F.isnan("open"), F.col("open"))
+        rows = running(bars, {"_open": ("first", open_)}, by=by, order=(ts, *tie), width=width)
+        return in_spans(rows, lambda: SpanRenko(size, autosize, align, hilo, False, round_start), by=by, ts=ts, tie=tie, width=width)
     return stepwise(bars, lambda: Renko(size, autosize, align, hilo, dynamic, round_start), by=by, ts=ts, tie=tie)
 
 

@@ -14,6 +14,7 @@ from ..functions.windows import BY, ORDER, before, expanding, series
 from .cross import cross_down, cross_up
 from .recursive import ema, macd, rsi
 from .rolling import highest, lowest, sma
+from .spans import SpanStop, in_spans
 from .steps import ArmedStop
 from .stepwise import stepwise
 
@@ -148,12 +149,15 @@ def trailing_stop(df: DataFrame, enter: str, distance: str, *, by: Sequence[str]
     return rows.withColumns({"stop": F.when(~gone, F.col("_level")), "stopped": (F.col("_hit") == 1) & ~gone}).drop("_g", "_level", "_hit", "_hits")
 
 
-def trailing_stop_positions(df: DataFrame, enter: str, distance: str, *, tie: Sequence[str], by: Sequence[str] = BY, ts: str = "ts") -> DataFrame:
+def trailing_stop_positions(df: DataFrame, enter: str, distance: str, *, tie: Sequence[str], by: Sequence[str] = BY, ts: str = "ts", width: int | None = None) -> DataFrame:
     """Positions where an entry acts only while flat and a stop re-arms it: each step needs the last one.
 
     Rows of one time are taken in the order of ``tie``, whose columns stay in the
-    result; it is empty where a series has one row a time.
+    result; it is empty where a series has one row a time.  With ``width``
+    (seconds, ``spans``) a series is spread over tasks.
     """
+    if width is not None:
+        return in_spans(df, lambda: SpanStop(enter, distance), by=by, ts=ts, tie=tie, width=width)
     return stepwise(df, lambda: ArmedStop(enter, distance), by=by, ts=ts, tie=tie)
 
 

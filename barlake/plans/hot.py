@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import recursive, rolling, stretches
+from ..operators.fill import renko
+from ..operators.signals import trailing_stop_positions
 from .base import EVENTS, TICKS, event_ticks, query, r, shown, t, ticks
+from .streams import _NUMBERED, _SHOWN, _as_bars, _bricks
 
 _HOT = f"WITH ticks AS ({TICKS}), hot AS (SELECT sid % 2 AS sid, ts, tb, price, volume FROM ticks)"
 _BACK = "(PARTITION BY sid ORDER BY ts, tb ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -46,3 +49,16 @@ def rc1_ema_in_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential averages of all events by type, with the chunks' maps carried apart from the rows."""
     rows = event_ticks(spark, sf_dir).select("sid", "ts", "tb", F.col("price").alias("close"))
     return shown(recursive.ema(rows, 14, width=6 * 3600, **_KEY), "sid", "tb", "ema")
+
+
+@query(_bricks(_NUMBERED, 10))
+def fl11_renko_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bricks of events by type: spans of each series are summed up and run on any task."""
+    return shown(renko(_as_bars(event_ticks(spark, sf_dir)), tie=("tb",), size=10.0, width=6 * 3600), *_SHOWN)
+
+
+@query(f"{_NUMBERED}, st AS (SELECT n.*, CASE WHEN tb % 5 = 0 THEN close - 12 END AS stop FROM n WHERE i = 1 UNION ALL SELECT n.*, CASE WHEN st.stop IS NULL THEN CASE WHEN n.tb % 5 = 0 THEN n.close - 12 END WHEN n.close >= st.stop THEN greatest(st.stop, n.close - 12) END FROM st JOIN n ON n.sid = st.sid AND n.i = st.i + 1) SELECT sid, {t()}, tb, (stop IS NOT NULL)::BIGINT AS position, {r('stop')} FROM st")
+def sg8_trailing_stop_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-arming stops on events by type: spans of each series are summed up and run on any task."""
+    rows = event_ticks(spark, sf_dir).select("sid", "ts", "tb", F.col("price").alias("close"), (F.col("tb") % 5 == 0).alias("go"), F.lit(12.0).alias("gap"))
+    return shown(trailing_stop_positions(rows, "go", "gap", tie=("tb",), width=6 * 3600))

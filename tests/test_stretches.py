@@ -80,3 +80,54 @@ def test_three_levels_of_maps(spark, width):
     got = scan.affine_scan(df, F.col("a"), F.col("b"), "y", chunk=3, group=4, width=width, **KEY)  # lists of at most four maps
     found = {r.tb: r.y for r in got.collect()}
     assert found == {k: v if v is None else pytest.approx(v) for k, v in want.items()} and sum(v is not None for v in want.values()) > 800
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("length", [1, 5, 40])
+def test_spans_are_leaps_of_the_machine(seed, length):
+    from barlake.operators import spans, steps
+
+    rng = np.random.default_rng(seed)
+    price = 50 + np.cumsum(rng.integers(-3, 4, 300))
+    rows = [{"go": bool(rng.random() < 0.3), "gap": None if rng.random() < 0.05 else float(rng.integers(0, 9)), "close": None if rng.random() < 0.08 else float(p), "open": float(p), "high": float(p) + 2, "low": float(p) - 2, "_open": None} for p in price]
+    rows[0]["close"] = None
+    begun = next(r["open"] for r in rows if r["close"] is not None)
+    for r in rows:
+        r["_open"] = begun
+    for make, plain in ((lambda: spans.SpanStop("go", "gap"), lambda: steps.ArmedStop("go", "gap")), (lambda: spans.SpanRenko(2.0), lambda: steps.Renko(2.0)), (lambda: spans.SpanRenko(3.0, hilo=True), lambda: steps.Renko(3.0, hilo=True))):
+        leaping, walking = make(), plain()
+        for a in range(0, len(rows), length):
+            part = rows[a : a + length]
+            leaping.leap(make().summary(part))
+            for row in part:
+                walking(row)
+            assert leaping.state == walking.state
+        # and from states that this series never had
+        for state in ([30.0], [95.0], [None]) if isinstance(walking, steps.ArmedStop) else ([begun + 40 * leaping.size, begun + 41 * leaping.size, leaping.size], [begun - 90 * leaping.size, begun - 89 * leaping.size, leaping.size]):
+            leaping.state, walking.state = list(state), list(state)
+            leaping.leap(make().summary(rows[:length]))
+            for row in rows[:length]:
+                walking(row)
+            assert leaping.state == walking.state
+
+
+def test_spans_give_the_loops_rows(spark):
+    from barlake.operators import fill, signals, spans
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for sid, n in (("hot", 500), ("cold", 30), (None, 5)):
+        for i, p in enumerate(60 + np.cumsum(rng.integers(-3, 4, n))):
+            rows.append((sid, START + timedelta(hours=i // 4), i, float(p), float(p) + 1, float(p) - 1, None if i % 11 == 0 else float(p), bool(rng.random() < 0.2), 5.0))
+    df = spark.createDataFrame(rows, "sid string, ts timestamp, tb long, open double, high double, low double, close double, go boolean, gap double").repartition(4)
+    was, spans.ROWS = spans.ROWS, 16
+    try:
+        many = lambda f: sorted(map(repr, f.collect()))
+        assert many(fill.renko(df, tie=("tb",), size=2.0, width=36_000)) == many(fill.renko(df, tie=("tb",), size=2.0))
+        assert many(signals.trailing_stop_positions(df, "go", "gap", tie=("tb",), width=36_000)) == many(signals.trailing_stop_positions(df, "go", "gap", tie=("tb",)))
+        got = spans.in_spans(df, lambda: spans.SpanStop("go", "gap"), by=("sid",), ts="ts", tie=("tb",), rows=16, width=36_000)
+        assert many(got) == many(signals.trailing_stop_positions(df, "go", "gap", tie=("tb",)))
+    finally:
+        spans.ROWS = was
+    with pytest.raises(ValueError, match="dynamic"):
+        fill.renko(df, tie=("tb",), dynamic=True, width=36_000)
