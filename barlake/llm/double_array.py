@@ -8,12 +8,15 @@ arrays, so a step is two gathers for any number of positions.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 #: Places that are tried at once, and the size below which rows look for room from the start again.
 _TRIES, _SMALL = 64, 6
+#: Positions that are walked at once.
+WINDOW = 1 << 18
 
 
 def _places(groups: list[tuple[np.ndarray, np.ndarray]], width: int) -> dict[int, int]:
@@ -115,9 +118,18 @@ class DoubleArray:
             at, state = at[alive], to[alive]
         return at, state
 
+    def windows(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``walk``, ``WINDOW`` positions at a time, so that memory doesn't grow with the text."""
+        for first in range(0, len(ids), WINDOW):
+            at, cell = self.walk(ids[first : first + WINDOW + self.depth - 1])
+            yield at + first, cell
+
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """How often each sequence occurs, overlaps included."""
-        return np.bincount(self.walk(ids)[1], minlength=len(self.parent))[self.cells]
+        total = np.zeros(len(self.parent), np.int64)
+        for _, cell in self.windows(ids):
+            total += np.bincount(cell, minlength=len(self.parent))
+        return total[self.cells]
 
     def dump(self) -> bytes:
         out = io.BytesIO()

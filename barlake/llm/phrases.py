@@ -9,8 +9,8 @@ as candidates, with their numbers there.  Where there are fewer shards than the
 threshold a shard leaves out what it has once; a candidate whose named counts,
 and the one that every other shard may have left out, don't come to the
 threshold goes (the partition algorithm's bound, exact and safe).  The rest form tries, which
-every shard walks again: occurrences are a bincount of accepting states, summed
-over the shards.
+every shard walks again: occurrences are a bincount of accepting states, and the
+vectors are summed over the shards.
 
 Tries are split by the hash of their phrases into blocks of bounded size that
 tasks write to the shared folder and shards read one at a time, so what a task
@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ LONGEST, THRESHOLD, BEST = 5, 100, 2000
 SHARD, VOCABULARY, TRIE = 1 << 21, 1 << 21, 1 << 17
 #: A block's own numbers: blocks are cut by hash, so they have about the given size and less than this.
 BLOCK = 1 << 24
-#: Blocks of tries whose sums a task holds, and tasks for each core that sum: partial sums don't grow with the shards.
-HELD, TASKS = 32, 2
+#: Blocks of tries whose sums a task holds, tasks for each core that sum, and parts in which their vectors are added up first.
+HELD, TASKS, PARTS = 32, 2, 32
 #: Parts into which a language's phrases are split before its best are chosen.
 _SALT = 64
 
@@ -146,20 +147,21 @@ def _numbers(folder: str, blocks: int) -> Callable:
 def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
     for batch in batches:
         for x in batch.column("ids"):
-            yield np.frombuffer(x.as_buffer(), f"<i{width}").astype(np.int64)
+            yield np.frombuffer(x.as_buffer(), f"<i{width}")
 
 
 def _accepted(ids: np.ndarray, tries: list[str] | None) -> np.ndarray:
     """The number of the phrase that begins at each position, -1 without one; without tries, of the word."""
     if tries is None:
         return ids
-    out = np.full(len(ids), -1)
+    kind = np.int32 if len(tries) < 128 else np.int64
+    out = np.full(len(ids), -1, kind)
     for b, uri in enumerate(tries):
         trie = _block(uri)
-        at, cell = trie.walk(ids)
-        number = np.zeros(len(trie.parent), np.int64)
+        number = np.zeros(len(trie.parent), kind)
         number[trie.cells] = b * BLOCK + np.arange(len(trie.cells))
-        out[at] = number[cell]
+        for at, cell in trie.windows(ids):
+            out[at] = number[cell]
     return out
 
 
@@ -186,12 +188,12 @@ def _neighbours(tries: list[str] | None, width: int, least: int) -> Callable:
 
 
 def _occurrences(tries: list[str], width: int) -> Callable:
-    """Phrases of the tries with their occurrences in a task's shards, summed for as many blocks as it may hold."""
+    """Bincounts of the tries' phrases over a task's shards, a vector for each block, for as many blocks as it may hold."""
 
     def emitted(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() % PARTS
         for b, count in sums.items():
-            some = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(b * BLOCK + some), pa.array(count[some])], ["number", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([count.tobytes()], pa.binary())], ["block", "part", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -200,13 +202,45 @@ def _occurrences(tries: list[str], width: int) -> Callable:
                 if b not in sums and len(sums) == HELD:
                     yield from emitted(sums)
                     sums = {}
-                count = _block(uri).counts(ids)
+                count = _block(uri).counts(ids).astype(np.int64)
                 sums[b] = sums[b] + count if b in sums else count
         yield from emitted(sums)
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The sums of the vectors of each key (the first columns); equal keys come one after another."""
+    own, total = None, None
+    for batch in batches:
+        for *key, vector in zip(*batch.columns, strict=True):
+            key, vector = tuple(x.as_py() for x in key[:keys]), np.frombuffer(vector.as_buffer(), np.int64)
+            if key != own:
+                if own is not None:
+                    yield own, total
+                own, total = key, vector.copy()
+            else:
+                total += vector
+    if own is not None:
+        yield own, total
+
+
+def _totals(vectors: DataFrame, threshold: int) -> DataFrame:
+    """(number, n) of the phrases that reach the threshold: vectors are added up in parts and then by block, one at a time in memory."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block, _), total in _summed(batches, 2):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block,), total in _summed(batches, 1):
+            some = np.flatnonzero(total >= threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(block * BLOCK + some), pa.array(total[some])], ["number", "n"])
+
+    near = vectors.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(parts, "block int, counts binary")
+    return near.repartition("block").sortWithinPartitions("block").mapInArrow(whole, "number long, n long")
+
+
 def _blocks_of(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
@@ -280,7 +314,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
             _written(f"{folder}/{empty}.trie", DoubleArray.of(np.zeros((0, k), np.int64)).dump())
         tries = [f"{folder}/{b}.trie" for b in range(blocks)]
         summing = shards.coalesce(max(1, TASKS * spark.sparkContext.defaultParallelism))
-        sums = summing.mapInArrow(_occurrences(tries, width), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
+        sums = _totals(summing.mapInArrow(_occurrences(tries, width), "block int, part int, counts binary"), threshold)
         level = stored(candidates.join(sums, "number").select("words", "lang", "phrase", "last", "n", "number"), f"frequent-{k}")
         found.append(level.drop("number").withColumn("k", F.lit(k)))
     out = found[0]

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barlake.llm import merkle, neighbours, phrases, places
+from barlake.llm import double_array, merkle, neighbours, phrases, places
 from barlake.llm.double_array import DoubleArray
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tree string, i int, hash string, number double"
@@ -179,6 +179,7 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
 def test_double_array_counts(depth, sequences, ids):
     rows = np.unique(np.array([s[:depth] for s in sequences], np.int64).reshape(-1, depth), axis=0)
     trie = DoubleArray.load(DoubleArray.of(rows).dump())
+    double_array.WINDOW = 7
     want = Counter(tuple(ids[i : i + depth]) for i in range(len(ids) - depth + 1))
     assert trie.counts(np.array(ids, np.int64)).tolist() == [want[tuple(r)] for r in rows.tolist()]
 
