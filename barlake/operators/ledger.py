@@ -15,36 +15,45 @@ from .align import asof
 from .scan import affine_scan
 from .steps import EventHolding, StrictHolding
 from .stepwise import stepwise
+from .stretches import running
 
 KEY, ORDER = ("experiment_id", "sid"), ("executed_dt", "order_id")
 
 
-def position_ledger(fills: DataFrame, *, by: Sequence[str] = KEY, order: Sequence[str] = ORDER) -> DataFrame:
+def position_ledger(fills: DataFrame, *, by: Sequence[str] = KEY, order: Sequence[str] = ORDER, width: int | None = None) -> DataFrame:
     """Fills with size_after and cost_basis.
 
     A buy averages into the cost; a sell leaves it; a flat position has none.
     cost' = cost size / size' + price bought / size' is affine in the cost.
+    With ``width`` sizes run in stretches of that many seconds and the scan is
+    spread too (``stretches``, ``scan``), so no task holds a series.
     """
-    signed = F.when(F.col("is_buy"), F.col("executed_size")).otherwise(-F.col("executed_size"))
-    rows = fills.withColumn("_q", signed).withColumn("size_after", F.sum("_q").over(expanding(by, order)))
-    before = F.col("size_after") - F.col("_q")
+    rows = fills.withColumn("_q", F.when(F.col("is_buy"), F.col("executed_size")).otherwise(-F.col("executed_size")))
+    if width is None:
+        rows = rows.withColumns({"size_after": F.sum("_q").over(expanding(by, order)), "_i": F.row_number().over(series(by, order))})
+    else:
+        rows = running(rows, {"size_after": ("sum", F.col("_q")), "_i": ("count", F.lit(1))}, by=by, order=order, width=width)
+    before, first = F.col("size_after") - F.col("_q"), F.col("_i") == 1
     opens = (before <= 0) & F.col("is_buy")
     a = F.when(F.col("size_after") == 0, 0.0).when(opens, 0.0).when(F.col("is_buy"), before / F.col("size_after")).otherwise(1.0)
     b = F.when(F.col("size_after") == 0, 0.0).when(opens, F.col("executed_price")).when(F.col("is_buy"), F.col("executed_price") * F.col("executed_size") / F.col("size_after")).otherwise(0.0)
-    first = F.row_number().over(series(by, order)) == 1
     rows = rows.withColumns({"_a": F.when(first, 0.0).otherwise(a), "_b": F.when(first & ~F.col("is_buy"), 0.0).otherwise(b)})
-    return affine_scan(rows, F.col("_a"), F.col("_b"), "cost_basis", by=by, order=order).drop("_a", "_b", "_q")
+    return affine_scan(rows, F.col("_a"), F.col("_b"), "cost_basis", by=by, order=order, width=width).drop("_a", "_b", "_q", "_i")
 
 
-def availability(fills: DataFrame, *, by: Sequence[str] = KEY, order: Sequence[str] = ORDER) -> DataFrame:
-    """Adds available: what was bought before today less all sells up to and with this fill."""
-    day = F.to_date(order[0])
+def availability(fills: DataFrame, *, by: Sequence[str] = KEY, order: Sequence[str] = ORDER, width: int | None = None) -> DataFrame:
+    """Adds available: what was bought before today less all sells up to and with this fill; ``width`` as in ``position_ledger``."""
     bought = F.when(F.col("is_buy"), F.col("executed_size")).otherwise(0)
     sold = F.when(F.col("is_buy"), 0).otherwise(F.col("executed_size"))
-    rows = fills.withColumn("_day", day)
-    # all earlier days, whatever rows today has: a RANGE frame over the day
-    earlier = W.partitionBy(*by).orderBy(F.unix_date("_day")).rangeBetween(W.unboundedPreceding, -1)
-    out = rows.withColumn("available", (F.coalesce(F.sum(bought).over(earlier), F.lit(0)) - F.sum(sold).over(expanding(by, order))).cast("long"))
+    rows = fills.withColumn("_day", F.to_date(order[0]))
+    if width is None:
+        # all earlier days, whatever rows today has: a RANGE frame over the day
+        earlier = W.partitionBy(*by).orderBy(F.unix_date("_day")).rangeBetween(W.unboundedPreceding, -1)
+        out = rows.withColumn("available", (F.coalesce(F.sum(bought).over(earlier), F.lit(0)) - F.sum(sold).over(expanding(by, order))).cast("long"))
+    else:
+        out = running(rows, {"_bought": ("sum", bought), "_sold": ("sum", sold)}, by=by, order=order, width=width)
+        today = F.sum(bought).over(expanding((*by, "_day"), order))
+        out = out.withColumn("available", (F.col("_bought") - today - F.col("_sold")).cast("long")).drop("_bought", "_sold")
     return out.drop("_day")
 
 

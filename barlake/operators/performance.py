@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.windows import expanding, position, series, trailing
+from .stretches import running
 
 BY, ORDER = ("experiment_id",), ("day",)
 #: Periods a year.
@@ -23,13 +24,24 @@ def time_return(equity: DataFrame, unit: str = "days", *, by: Sequence[str] = BY
     return out.withColumn("ann_ret", F.pow(1 + F.col("cum_ret"), FACTORS[unit] / F.col("_t")) - 1).drop("_t")
 
 
-def drawdown(equity: DataFrame, *, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> DataFrame:
-    """Adds peak, drawdown (share of the peak), dd_len (rows since the peak) and the largest of both so far."""
-    w = expanding(by, order)
-    rows = equity.withColumns({"peak": F.max("value").over(w), "_n": position(by, order)})
+def drawdown(equity: DataFrame, *, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: int | None = None) -> DataFrame:
+    """Adds peak, drawdown (share of the peak), dd_len (rows since the peak) and the largest of both so far.
+
+    With ``width`` values run in stretches of that many seconds (``stretches``), so no task holds a series.
+    """
+
+    def ran(rows: DataFrame, values: dict[str, tuple[str, Column]]) -> DataFrame:
+        if width is not None:
+            return running(rows, values, by=by, order=order, width=width)
+        w = expanding(by, order)
+        over = {"max": lambda x: F.max(x).over(w), "count": lambda x: F.count(x).over(w), "last": lambda x: F.last(x, True).over(w)}
+        return rows.withColumns({name: over[kind](x) for name, (kind, x) in values.items()})
+
+    rows = ran(equity, {"peak": ("max", F.col("value")), "_n": ("count", F.lit(1))})
     rows = rows.withColumn("drawdown", F.try_divide(F.col("peak") - F.col("value"), F.col("peak")))
-    rows = rows.withColumn("dd_len", F.col("_n") - F.last(F.when(F.col("value") == F.col("peak"), F.col("_n")), True).over(w))
-    return rows.withColumns({"max_drawdown": F.max("drawdown").over(w), "max_dd_len": F.max("dd_len").over(w)}).drop("_n")
+    rows = ran(rows, {"_at": ("last", F.when(F.col("value") == F.col("peak"), F.col("_n"))), "max_drawdown": ("max", F.col("drawdown"))})
+    rows = rows.withColumn("dd_len", F.col("_n") - F.col("_at"))
+    return ran(rows, {"max_dd_len": ("max", F.col("dd_len"))}).drop("_n", "_at")
 
 
 def calmar(equity: DataFrame, unit: str = "days", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> DataFrame:

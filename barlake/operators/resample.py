@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.buckets import PERIODS, SECONDS, at_time, bucket_end, local, period_key, session_cut
 from ..functions.windows import BY, position
 from ..sources.schema import FIELDS
+from .stretches import numbered
 
 
 def bar_aggregates(ts: str = "ts", tie: Sequence[str] = (), extra: Sequence[str] = ()) -> list[Column]:
@@ -73,10 +74,13 @@ def calendar_bars(df: DataFrame, closes: DataFrame, *, by: Sequence[str] = BY, t
     return bars.select(*by, stamp.alias(ts), *FIELDS, *extra)
 
 
-def compress(df: DataFrame, n: int, *, by: Sequence[str] = BY, ts: str = "ts", tie: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
-    """Every ``n`` rows of a series as one bar, stamped with the last; the rest at the end is one too."""
-    group = F.floor((position(by, (ts, *tie)) - 1) / n)
-    bars = df.withColumn("_group", group).groupBy(*by, "_group").agg(*bar_aggregates(ts, tie, extra))
+def compress(df: DataFrame, n: int, *, by: Sequence[str] = BY, ts: str = "ts", tie: Sequence[str] = (), extra: Sequence[str] = (), width: int | None = None) -> DataFrame:
+    """Every ``n`` rows of a series as one bar, stamped with the last; the rest at the end is one too.
+
+    With ``width`` rows are numbered in stretches of that many seconds (``stretches``), so no task holds a series.
+    """
+    numbers = df.withColumn("_n", position(by, (ts, *tie))) if width is None else numbered(df, "_n", by=by, order=(ts, *tie), width=width)
+    bars = numbers.groupBy(*by, F.floor((F.col("_n") - 1) / n).alias("_group")).agg(*bar_aggregates(ts, tie, extra))
     return bars.select(*by, F.col("last_ts").alias(ts), *FIELDS, *extra)
 
 

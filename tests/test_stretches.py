@@ -131,3 +131,22 @@ def test_spans_give_the_loops_rows(spark):
         spans.ROWS = was
     with pytest.raises(ValueError, match="dynamic"):
         fill.renko(df, tie=("tb",), dynamic=True, width=36_000)
+
+
+def test_operators_of_hot_series(spark):
+    from barlake.operators import ledger, performance, resample
+
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 5 else "cold", START + timedelta(hours=6 * (i // 3)), i, int(rng.integers(1, 9)), float(rng.integers(5, 50)), bool(rng.random() < 0.6)) for i in range(300)]
+    fills = spark.createDataFrame(rows, "sid string, executed_dt timestamp, order_id long, executed_size long, executed_price double, is_buy boolean").repartition(4)
+    key = {"by": ("sid",), "order": ("executed_dt", "order_id")}
+    many = lambda df, *c: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select("order_id", *c).collect())
+    for f, c in ((ledger.position_ledger, ("size_after", "cost_basis")), (ledger.availability, ("available",))):
+        assert many(f(fills, width=200_000, **key), *c) == many(f(fills, **key), *c)
+    equity = fills.withColumn("value", F.when(F.col("order_id") % 9 != 0, F.col("executed_price")))
+    shown = ("peak", "drawdown", "dd_len", "max_drawdown", "max_dd_len")
+    nulls = lambda df: sorted(map(repr, df.select("order_id", *shown).collect()))
+    assert nulls(performance.drawdown(equity, width=200_000, **key)) == nulls(performance.drawdown(equity, **key))
+    bars = fills.select("sid", F.col("executed_dt").alias("ts"), F.col("order_id").alias("tb"), *[F.col("executed_price").alias(c) for c in ("open", "high", "low", "close", "amount")], F.lit(1.0).alias("volume"))
+    plain, cut = (sorted(map(repr, resample.compress(bars, 7, tie=("tb",), width=w).collect())) for w in (None, 200_000))
+    assert plain == cut and len(plain) == 9 + 35
