@@ -179,9 +179,12 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
 def test_double_array_counts(depth, sequences, ids):
     rows = np.unique(np.array([s[:depth] for s in sequences], np.int64).reshape(-1, depth), axis=0)
     trie = DoubleArray.load(DoubleArray.of(rows).dump())
-    double_array.WINDOW = 7
     want = Counter(tuple(ids[i : i + depth]) for i in range(len(ids) - depth + 1))
-    assert trie.counts(np.array(ids, np.int64)).tolist() == [want[tuple(r)] for r in rows.tolist()]
+    whole, double_array.WINDOW = double_array.WINDOW, 7
+    try:
+        assert trie.counts(np.array(ids, np.int64)).tolist() == [want[tuple(r)] for r in rows.tolist()]
+    finally:
+        double_array.WINDOW = whole
 
 
 # --- 13 permutation index ----------------------------------------------------------------------
