@@ -205,7 +205,7 @@ class _Tokens:
 def _fits(*columns: np.ndarray, bits: int = 32) -> None:
     """An error instead of a wrong score where a number would not fit its field."""
     for x in columns:
-        if len(x) and (int(x.max()) >> bits):
+        if len(x) and int(x.max()) >= 1 << bits:
             raise OverflowError(f"{int(x.max())} does not fit in {bits} bits; use more shards")
 
 
