@@ -170,8 +170,12 @@ def relative_volume_by_slot(df: DataFrame, name: str = "relative_volume", *, by:
 
 
 def pearson_r(df: DataFrame, n: int = 20, a: str = "close", b: str = "volume", name: str = "pearson_r", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> DataFrame:
-    """Correlation of two columns over the last n rows."""
-    return df.withColumn(name, warm(F.corr(a, b).over(trailing(n, by, order)), n, by, order))
+    """Correlation of two columns over the last n rows; NaN where either stands still."""
+    w, both = trailing(n, by, order), F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, F.col(a))).over(w)) * F.sqrt(F.var_pop(F.when(both, F.col(b))).over(w))
+    rows = df.withColumns({"_cov": F.covar_pop(a, b).over(w), "_spread": spread})  # corr itself fails where the spread is 0
+    value = F.when(F.col("_spread") == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col("_cov"), F.col("_spread")))
+    return rows.withColumn(name, warm(value, n, by, order)).drop("_cov", "_spread")
 
 
 def drop_size(df: DataFrame, approach: str = "closeclose", name: str = "drop_size", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> DataFrame:
