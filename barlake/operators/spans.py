@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .steps import ArmedStop, Renko, Step, known
+from .steps import ArmedStop, Renko, Step, known, nearest
 from .stretches import SECONDS, numbered
 
 #: Rows of a span.
@@ -80,7 +80,7 @@ class SpanRenko(Renko, SpanStep):
     inputs = (*Renko.inputs, "_open")
 
     def _ladder(self, open_: float) -> tuple[float, float]:
-        origin = round(open_ / self.align) * self.align
+        origin = nearest(open_ / self.align) * self.align
         height = self.size or float(origin // self.autosize)
         return int(origin) if self.round_start else origin, height
 
