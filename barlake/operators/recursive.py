@@ -7,7 +7,7 @@ rows are counted from the first known value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,31 +16,40 @@ from ..functions.exprs import divide
 from ..functions.windows import BY, ORDER, expanding, series, trailing
 from .fill import heikin_ashi
 from .rolling import true_range
-from .scan import affine_scan
+from .scan import affine_scans
 from .stretches import running
 
 
-def _average(df: DataFrame, k: float, n: int, x: str, name: str, by: Sequence[str], order: Sequence[str], width: int | None = None) -> DataFrame:
-    """y = (1 - k) y + k x, begun with the mean of the first n known values; ``width`` as in ``affine_scan``."""
-    v = F.col(x)
+def _averages(df: DataFrame, wanted: Mapping[str, tuple[float, int, str]], by: Sequence[str], order: Sequence[str], width: int | None = None) -> DataFrame:
+    """For each name (k, n, x): y = (1 - k) y + k x, begun with the mean of the first n known values; ``width`` as in ``affine_scan``."""
+    xs = list(dict.fromkeys(x for _, _, x in wanted.values()))
+    known, seed = ({x: f"_{part}{i}" for i, x in enumerate(xs)} for part in ("known", "seed"))
     if width is None:
-        rows = df.withColumns({"_known": F.count(x).over(expanding(by, order)), "_seed": F.avg(x).over(expanding(by, order))})
+        rows = df.withColumns({known[x]: F.count(x).over(expanding(by, order)) for x in xs} | {seed[x]: F.avg(x).over(expanding(by, order)) for x in xs})
     else:
-        rows = running(df, {"_known": ("count", v), "_seed": ("sum", v)}, by=by, order=order, width=width).withColumn("_seed", F.try_divide("_seed", "_known"))
-    rows = rows.withColumns(
-        {"_a": F.when(v.isNull() | (F.col("_known") < n), F.lit(None).cast("double")).when(F.col("_known") == n, 0.0).otherwise(1 - k), "_b": F.when(F.col("_known") == n, F.col("_seed")).otherwise(k * v)}
-    ).drop("_known", "_seed")
-    return affine_scan(rows, F.col("_a"), F.col("_b"), name, by=by, order=order, width=width).drop("_a", "_b")
+        rows = running(df, {known[x]: ("count", F.col(x)) for x in xs} | {seed[x]: ("sum", F.col(x)) for x in xs}, by=by, order=order, width=width)
+        rows = rows.withColumns({seed[x]: F.try_divide(seed[x], known[x]) for x in xs})
+    maps = {}
+    for name, (k, n, x) in wanted.items():
+        v, count = F.col(x), F.col(known[x])
+        a = F.when(v.isNull() | (count < n), F.lit(None).cast("double")).when(count == n, 0.0).otherwise(1 - k)
+        maps[name] = (a, F.when(count == n, F.col(seed[x])).otherwise(k * v))
+    return affine_scans(rows, maps, by=by, order=order, width=width, drop=[*known.values(), *seed.values()])
+
+
+def emas(df: DataFrame, wanted: Mapping[str, tuple[int, str]], *, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: int | None = None) -> DataFrame:
+    """Several exponential averages, name: (n, x), in one pass."""
+    return _averages(df, {name: (2.0 / (n + 1), n, x) for name, (n, x) in wanted.items()}, by, order, width)
 
 
 def ema(df: DataFrame, n: int = 14, x: str = "close", name: str = "ema", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: int | None = None) -> DataFrame:
     """Exponential average with k = 2 / (n + 1)."""
-    return _average(df, 2.0 / (n + 1), n, x, name, by, order, width)
+    return _averages(df, {name: (2.0 / (n + 1), n, x)}, by, order, width)
 
 
 def wilder(df: DataFrame, n: int = 14, x: str = "close", name: str = "wilder", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: int | None = None) -> DataFrame:
     """Exponential average with k = 1 / n."""
-    return _average(df, 1.0 / n, n, x, name, by, order, width)
+    return _averages(df, {name: (1.0 / n, n, x)}, by, order, width)
 
 
 def dema(df: DataFrame, n: int = 14, x: str = "close", name: str = "dema", **key: Sequence[str]) -> DataFrame:
@@ -62,12 +71,12 @@ def kama(df: DataFrame, n: int = 30, x: str = "close", fast: int = 2, slow: int
     rows = rows.withColumns({"_sc": F.pow(ratio * (f - s) + s, F.lit(2)), "_n": F.row_number().over(w), "_seed": F.avg(x).over(trailing(n, by, order))})
     a = F.when(F.col("_n") < n, F.lit(None).cast("double")).when(F.col("_n") == n, 0.0).otherwise(1 - F.col("_sc"))
     rows = rows.withColumns({"_a": a, "_b": F.when(F.col("_n") == n, F.col("_seed")).otherwise(F.col("_sc") * v)}).drop("_move", "_sc", "_n", "_seed")
-    return affine_scan(rows, F.col("_a"), F.col("_b"), name, by=by, order=order).drop("_a", "_b")
+    return affine_scans(rows, {name: (F.col("_a"), F.col("_b"))}, by=by, order=order, drop=("_a", "_b"))
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, x: str = "close", **key: Sequence[str]) -> DataFrame:
     """Adds macd, macd_signal and macd_histo."""
-    rows = ema(ema(df, fast, x, "_f", **key), slow, x, "_s", **key).withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
+    rows = emas(df, {"_f": (fast, x), "_s": (slow, x)}, **key).withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
     return ema(rows, signal, "macd", "macd_signal", **key).withColumn("macd_histo", F.col("macd") - F.col("macd_signal"))
 
 
@@ -82,7 +91,7 @@ def rsi(df: DataFrame, n: int = 14, x: str = "close", name: str = "rsi", *, by:
     move = F.col(x) - F.lag(x).over(series(by, order))
     rows = df.withColumns({"_up": F.greatest(move, F.lit(0.0)), "_dn": F.greatest(-move, F.lit(0.0))})
     rows = rows.withColumns({c: F.when(move.isNotNull(), F.col(c)) for c in ("_up", "_dn")})
-    rows = wilder(wilder(rows, n, "_up", "_u", by=by, order=order), n, "_dn", "_d", by=by, order=order)
+    rows = _averages(rows, {"_u": (1.0 / n, n, "_up"), "_d": (1.0 / n, n, "_dn")}, by, order)
     value = F.when((F.col("_d") == 0) & (F.col("_u") == 0), 50.0).when(F.col("_d") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_u") / F.col("_d")))
     return rows.withColumn(name, value).drop("_up", "_dn", "_u", "_d")
 
@@ -97,8 +106,7 @@ def directional(df: DataFrame, n: int = 14, *, by: Sequence[str] = BY, order: Se
         return F.when(F.col(a).isNotNull(), F.when((F.col(a) > F.col(b)) & (F.col(a) > 0), F.col(a)).otherwise(0.0))
 
     rows = rows.withColumns({"_pm": movement("_um", "_dm"), "_mm": movement("_dm", "_um")}).drop("_um", "_dm")
-    for source, name in (("_tr", "_atr"), ("_pm", "_p"), ("_mm", "_m")):
-        rows = wilder(rows, n, source, name, by=by, order=order)
+    rows = _averages(rows, {"_atr": (1.0 / n, n, "_tr"), "_p": (1.0 / n, n, "_pm"), "_m": (1.0 / n, n, "_mm")}, by, order)
     rows = rows.withColumns({"plus_di": 100 * divide(F.col("_p"), F.col("_atr")), "minus_di": 100 * divide(F.col("_m"), F.col("_atr"))})
     rows = rows.withColumn("_dx", 100 * divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
     rows = wilder(rows, n, "_dx", "adx", by=by, order=order).drop("_tr", "_pm", "_mm", "_atr", "_p", "_m", "_dx")

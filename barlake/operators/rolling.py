@@ -129,9 +129,9 @@ def acceleration(df: DataFrame, fast: int = 5, slow: int = 34, n: int = 5, name:
 def price_oscillator(df: DataFrame, fast: int = 12, slow: int = 26, x: str = "close", ma: str = "sma", *, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> DataFrame:
     """Adds apo (fast less slow average) and ppo (in percent of the slow one); ``ma`` is sma or ema."""
     if ma == "ema":
-        from .recursive import ema
+        from .recursive import emas
 
-        rows = ema(ema(df, fast, x, "_f", by=by, order=order), slow, x, "_s", by=by, order=order)
+        rows = emas(df, {"_f": (fast, x), "_s": (slow, x)}, by=by, order=order)
     else:
         rows = sma(sma(df, fast, x, "_f", by=by, order=order), slow, x, "_s", by=by, order=order)
     return rows.withColumns({"apo": F.col("_f") - F.col("_s"), "ppo": 100 * F.try_divide(F.col("_f") - F.col("_s"), F.col("_s"))}).drop("_f", "_s")

@@ -172,13 +172,22 @@ def _smooth(source: str, x: str, k: str, n: int, out: str, given: str) -> str:
     )
 
 
+def _closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day bars without the columns that a scan would carry along for nothing, by series in more and smaller tasks.
+
+    The windows by series need this shuffle anyway; a scan's task holds several sorts of its rows at once.
+    """
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return day_bars(spark, sf_dir).select("sid", "ts", "close").repartition(parts, "sid")
+
+
 _M = f"{MONTHS}, nb AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts) AS rn FROM bars)"
 _EMA = _M + _smooth("nb", "close", "(2.0e0 / 11)", 10, "e1", "")
 
 
 @query(f"{_EMA.replace(MONTHS, DAYS)} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('e1.y', 'ema')} FROM nb LEFT JOIN e1 ON nb.sid = e1.sid AND nb.rn = e1.rn")
 def rc1_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(recursive.ema(day_bars(spark, sf_dir), 10), "sid", "ts", "ema")
+    return shown(recursive.ema(_closes(spark, sf_dir), 10), "sid", "ts", "ema")
 
 
 _OSC = _M.replace(MONTHS, DAYS) + _smooth("nb", "close", "(2.0e0 / 13)", 12, "f", "") + _smooth("nb", "close", "(2.0e0 / 27)", 26, "g", "")
@@ -187,7 +196,7 @@ _OSC = _M.replace(MONTHS, DAYS) + _smooth("nb", "close", "(2.0e0 / 13)", 12, "f"
 @query(f"{_OSC} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('f.y - g.y', 'apo')}, {r('100 * (f.y - g.y) / g.y', 'ppo')} FROM nb LEFT JOIN f ON nb.sid = f.sid AND nb.rn = f.rn LEFT JOIN g ON nb.sid = g.sid AND nb.rn = g.rn")
 def wn16_price_oscillator_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oscillator of exponential averages."""
-    return shown(rolling.price_oscillator(day_bars(spark, sf_dir), ma="ema"), "sid", "ts", "apo", "ppo")
+    return shown(rolling.price_oscillator(_closes(spark, sf_dir), ma="ema"), "sid", "ts", "apo", "ppo")
 
 
 _E3 = _EMA + _smooth("e1", "y", "(2.0e0 / 11)", 10, "e2", "") + _smooth("e2", "y", "(2.0e0 / 11)", 10, "e3", "")
@@ -203,7 +212,7 @@ _KAMA = f"{_M}, mv AS (SELECT *, abs(close - lag(close) OVER (PARTITION BY sid O
 
 @query(f"{_KAMA.replace(MONTHS, DAYS)} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('k.y', 'kama')} FROM nb LEFT JOIN k ON nb.sid = k.sid AND nb.rn = k.rn")
 def rc4_kama(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(recursive.kama(day_bars(spark, sf_dir), 10), "sid", "ts", "kama")
+    return shown(recursive.kama(_closes(spark, sf_dir), 10), "sid", "ts", "kama")
 
 
 _MACD = _M + _smooth("nb", "close", "(2.0e0 / 13)", 12, "f", "") + _smooth("nb", "close", "(2.0e0 / 27)", 26, "g", "") + ", md AS (SELECT f.sid, f.rn, f.y - g.y AS m FROM f JOIN g ON f.sid = g.sid AND f.rn = g.rn)" + _smooth("md", "m", "(2.0e0 / 10)", 9, "h", "")
@@ -211,7 +220,7 @@ _MACD = _M + _smooth("nb", "close", "(2.0e0 / 13)", 12, "f", "") + _smooth("nb",
 
 @query(f"{_MACD.replace(MONTHS, DAYS)} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('md.m', 'macd')}, {r('h.y', 'macd_signal')}, {r('md.m - h.y', 'macd_histo')} FROM nb LEFT JOIN md ON nb.sid = md.sid AND nb.rn = md.rn LEFT JOIN h ON nb.sid = h.sid AND nb.rn = h.rn")
 def rc5_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(recursive.macd(day_bars(spark, sf_dir)), "sid", "ts", "macd", "macd_signal", "macd_histo")
+    return shown(recursive.macd(_closes(spark, sf_dir)), "sid", "ts", "macd", "macd_signal", "macd_histo")
 
 
 _TR = f"{_M}, lg AS (SELECT *, lag(close) OVER (PARTITION BY sid ORDER BY ts) AS pc, lag(high) OVER (PARTITION BY sid ORDER BY ts) AS ph, lag(low) OVER (PARTITION BY sid ORDER BY ts) AS pl FROM nb), tr AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS up, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS dn, CASE WHEN ph IS NOT NULL THEN CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0.0e0 END END AS pm, CASE WHEN ph IS NOT NULL THEN CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0.0e0 END END AS mm FROM lg)"
@@ -229,7 +238,7 @@ RSI = _TR + _smooth("tr", "up", _W14, 14, "u", "") + _smooth("tr", "dn", _W14, 1
 
 @query(f"{RSI.replace(MONTHS, DAYS)} SELECT nb.sid, {t('nb.ts', 'ts')}, {r('CASE WHEN v.y = 0 AND u.y = 0 THEN 50.0e0 WHEN v.y = 0 THEN 100.0e0 ELSE 100 - 100 / (1 + u.y / v.y) END', 'rsi')} FROM nb LEFT JOIN u ON nb.sid = u.sid AND nb.rn = u.rn LEFT JOIN v ON nb.sid = v.sid AND nb.rn = v.rn")
 def rc7_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(recursive.rsi(day_bars(spark, sf_dir)), "sid", "ts", "rsi")
+    return shown(recursive.rsi(_closes(spark, sf_dir)), "sid", "ts", "rsi")
 
 
 _DI = ATR + _smooth("tr", "pm", _W14, 14, "p", "") + _smooth("tr", "mm", _W14, 14, "m", "") + ", di AS (SELECT atr.sid, atr.rn, 100 * p.y / atr.y AS pdi, 100 * m.y / atr.y AS mdi FROM atr JOIN p ON p.sid = atr.sid AND p.rn = atr.rn JOIN m ON m.sid = atr.sid AND m.rn = atr.rn), dx AS (SELECT *, CASE WHEN abs(pdi + mdi) < 1e-8 THEN 0.0e0 ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END AS dx FROM di)" + _smooth("dx", "dx", _W14, 14, "ax", "")
