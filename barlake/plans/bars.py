@@ -160,7 +160,7 @@ def snk4_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DAYS}, l AS (SELECT sid, ts, CASE WHEN volume > 20 THEN close END AS c, CASE WHEN volume <= 40 THEN volume END AS v FROM bars), f AS (SELECT sid, ts, last_value(c IGNORE NULLS) OVER {UPTO} AS close, last_value(v IGNORE NULLS) OVER {UPTO} AS volume FROM l WHERE c IS NOT NULL OR v IS NOT NULL) SELECT sid, {t()}, {r('close')}, {r('volume')} FROM f WHERE close IS NOT NULL")
 def snk5_metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = day_bars(spark, sf_dir)
+    bars = day_bars(spark, sf_dir, dealt=True)
     log = sinks.metric_log(bars.select("sid", "ts", F.when(F.col("volume") > 20, F.col("close")).alias("close"), F.when(F.col("volume") <= 40, F.col("volume")).alias("volume")), ["close", "volume"], ids=("sid", "ts"))
     return shown(sinks.metric_pivot(log, ["close", "volume"], by=("sid",)))
 

@@ -39,15 +39,17 @@ def metric_log(df: DataFrame, metrics: Sequence[str], ids: Sequence[str] = ("ts"
 
     ``prefix`` names indicator lines, as in ``ind_SMA_`` + line.
     """
-    wide = df.select(*ids, *[F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias(prefix + m) for m in metrics])
-    return wide.unpivot(list(ids), [prefix + m for m in metrics], "metric", "value").where("value is not null")
+    value = {m: F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")) for m in metrics}
+    lines = F.array(*[F.struct(F.lit(prefix + m).alias("metric"), v.alias("value")) for m, v in value.items()])
+    return df.select(*ids, F.inline(lines)).where("value is not null")  # rows stay where they are, unlike with unpivot
 
 
 def metric_pivot(log: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), need: str = "close", arrival: str = "arrival") -> DataFrame:
     """Last value of each metric by time, wide and carried forward; rows before the first ``need`` go."""
     order = arrival if arrival in log.columns else "value"
-    wide = log.groupBy(*by, "ts").pivot("metric", list(metrics)).agg(F.max_by("value", order))
-    return carried(wide.select(*by, "ts", *metrics), list(metrics), by, "ts").dropna(subset=[need])
+    own = {m: F.col("metric") == m for m in metrics}
+    wide = log.groupBy(*by, "ts").agg(*[F.max_by(F.when(is_m, F.col("value")), F.when(is_m, F.col(order))).alias(m) for m, is_m in own.items()])
+    return carried(wide, list(metrics), by, "ts").dropna(subset=[need])
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
