@@ -27,8 +27,8 @@ _OHLC = ", ".join(r(x) for x in ("open", "high", "low", "close"))
 # --- file presets ---------------------------------------------------------------------
 
 
-def _dated(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    return day_bars(spark, sf_dir).withColumn("date", F.date_format("ts", form))
+def _dated(spark: SparkSession, sf_dir: str, form: str, dealt: bool = False) -> DataFrame:
+    return day_bars(spark, sf_dir, dealt).withColumn("date", F.date_format("ts", form))
 
 
 @query(f"{DAYS}SELECT sid, {t('ts + INTERVAL 15 HOUR', 'ts')}, {_OHLC}, {r('volume')} FROM bars")
@@ -49,13 +49,13 @@ def src5_terminal_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DAYS}SELECT sid, {t()}, {r('open / 2', 'open')}, {r('high / 2', 'high')}, {r('low / 2', 'low')}, {r('close / 2', 'close')}, {r('close', 'raw_close')} FROM bars")
 def src6_adjusted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars in the layout of thirteen fields; adjusted and raw prices are read from the same files."""
+    """Bars in the layout of thirteen fields; adjusted and raw prices are read from the same files, in one pass."""
     path = new_folder(spark, "adjusted")
     half = [(F.col(c) / 2).alias(f"adj_{c}") for c in ("open", "high", "low", "close")]
-    sinks.write_csv(_dated(spark, sf_dir, "yyyy-MM-dd").select("date", "open", "high", "low", "close", F.col("sid").alias("v"), F.lit(0), F.lit(1), *half, "sid"), path)
-    adjusted, raw = src.read_adjusted_csv(spark, path), src.read_adjusted_csv(spark, path, adjusted=False)
-    sid = F.col("volume").cast("long").alias("sid")
-    return shown(adjusted.select(sid, "ts", "open", "high", "low", "close").join(raw.select(sid, "ts", F.col("close").alias("raw_close")), ["sid", "ts"]))
+    bars = _dated(spark, sf_dir, "yyyy-MM-dd", dealt=True)
+    sinks.write_csv(bars.select("date", "open", "high", "low", "close", F.col("sid").alias("v"), F.lit(0), F.lit(1), *half, "sid"), path, compression="gzip")
+    back = src.read_adjusted_csv(spark, path, raw=("close",))
+    return shown(back, F.col("volume").cast("long").alias("sid"), "ts", "open", "high", "low", "close", "raw_close")
 
 
 @query(f"{DAYS}SELECT sid, {t()}, {r('open', 'first')}, {r('close', 'price')}, NULL::DOUBLE AS openinterest FROM bars")

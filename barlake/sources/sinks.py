@@ -25,8 +25,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "append", partition_by:
     df.write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*partition_by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "append", compression: str = "none") -> None:
+    """Text with a header; ``read_csv`` tells ``gzip`` and other codecs by the files' names."""
+    df.write.mode(mode).option("header", True).option("compression", compression).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
